@@ -12,13 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordering import running_totals, split_points
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score: ``pos, neg``, running counts from the top score, group totals."""
-    points = split_points(df, [score])[1][score]
-    cells = (
+    """Per distinct score: ``pos, neg``, running counts from the top score, group totals.
+
+    Scoring may be expensive, so the counts are materialised: the rows are scored once.
+    """
+    cells = materialize(
         df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(*by, F.col(score).cast("double").alias("threshold"))
         .agg(
@@ -26,6 +29,7 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", by:
             F.sum(1 - F.col(label).cast("long")).alias("neg"),
         )
     )
+    points = split_points(cells, ["threshold"])[1]["threshold"]
     return running_totals(cells, "threshold", ["pos", "neg"], points, by=by, descending=True)
 
 

@@ -118,13 +118,16 @@ class ScoreModel(TableModel):
         self.model = model
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        names = list(df.columns)
+        return self.add_score(df, "score", "predicted")
+
+    def add_score(self, df: DataFrame, out: str, predicted: str | None = None) -> DataFrame:
+        """Add (or replace) the probability of class 1 and, if named, the predicted class."""
+        names = [c for c in df.columns if c not in (out, predicted)]
         scored = self.model.transform(feature_vector(df, self.info["columns"], self.info["ranges"]))
-        probability = vector_to_array(F.col("probability"))[1]
-        kept = [F.col(f"`{c}`") for c in names if c not in ("score", "predicted")]
-        return scored.select(
-            *kept, probability.alias("score"), F.col("prediction").cast("int").alias("predicted")
-        )
+        added = [vector_to_array(F.col("probability"))[1].alias(out)]
+        if predicted:
+            added.append(F.col("prediction").cast("int").alias(predicted))
+        return scored.select(*[F.col(f"`{c}`") for c in names], *added)
 
     def importances(self) -> list[float]:
         return [float(x) for x in self.model.featureImportances.toArray()]
@@ -168,20 +171,20 @@ class ScoreClassifier(TableEstimator):
         if kind not in LEARNERS:
             raise ValueError(f"unknown learner {kind}; choose from {sorted(LEARNERS)}")
         self.kind, self.columns, self.label = kind, list(columns), label
-        self.params, self.scale, self.validation, self.seed = dict(params or {}), scale, validation, seed
-        self.spark_params = translate(kind, self.params)
+        self.settings, self.scale, self.validation, self.seed = dict(params or {}), scale, validation, seed
+        self.spark_params = translate(kind, self.settings)
 
     def on(self, columns: Sequence[str]) -> ScoreClassifier:
         """The same learner on other columns."""
         return ScoreClassifier(
-            self.kind, columns, self.label, self.params, self.scale, self.validation, self.seed
+            self.kind, columns, self.label, self.settings, self.scale, self.validation, self.seed
         )
 
     def _fit(self, df: DataFrame) -> ScoreModel:
         known = df.filter(F.col(self.label).isNotNull())
         ranges = MinMaxScaler(self.columns).fit(known).info["ranges"] if self.scale else None
         sizes = {}
-        if self.kind == "logistic_regression" or "class_weight" in self.params:
+        if self.kind == "logistic_regression" or "class_weight" in self.settings:
             sizes = {r[0]: r[1] for r in known.groupBy(self.label).count().collect()}
         weights = self._weights(sizes)
         extra = [F.col(self.validation).alias("_valid")] if self.validation else []
@@ -202,11 +205,11 @@ class ScoreClassifier(TableEstimator):
         return ScoreModel(info, model)
 
     def _weights(self, sizes: dict) -> dict:
-        if self.params.get("class_weight") == "balanced":
+        if self.settings.get("class_weight") == "balanced":
             rows = sum(sizes.values())
             return {k: rows / (2 * n) for k, n in sizes.items()}
-        if self.params.get("scale_pos_weight"):
-            return {1: self.params["scale_pos_weight"]}
+        if self.settings.get("scale_pos_weight"):
+            return {1: self.settings["scale_pos_weight"]}
         return {}
 
     def _learner(self, rows: int, weighted: bool):
@@ -215,12 +218,12 @@ class ScoreClassifier(TableEstimator):
         if weighted:
             params["weightCol"] = "_weight"
         if self.kind == "logistic_regression":
-            params["regParam"] = 1.0 / (self.params.get("C", 1.0) * max(rows, 1))
+            params["regParam"] = 1.0 / (self.settings.get("C", 1.0) * max(rows, 1))
             params["standardization"] = False
             return learner(**params)
-        params["seed"] = self.params.get("random_state", self.seed)
+        params["seed"] = self.settings.get("random_state", self.seed)
         if self.kind == "neural_network":
-            hidden = list(self.params.get("hidden", [16]))
+            hidden = list(self.settings.get("hidden", [16]))
             return learner(layers=[len(self.columns), *hidden, 2], **params)
         if self.kind in BOOSTED and self.validation:
             params["validationIndicatorCol"] = "_valid"
@@ -292,7 +295,7 @@ class EnsembleModel(TableModel):
 def base_scores(df: DataFrame, models: Sequence[ScoreModel]) -> DataFrame:
     """Add ``score_0, score_1, ...`` of several models in one pass."""
     for i, model in enumerate(models):
-        df = model.transform(df).withColumnRenamed("score", f"score_{i}").drop("predicted")
+        df = model.add_score(df, f"score_{i}")
     return df
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from statistics import fmean
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import auc_gini
 from .models import ScoreClassifier, run_parallel
-from .tune import out_of_fold
+from .tune import fold_aucs
 
 
 def union_is_train(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -20,30 +20,38 @@ def union_is_train(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def mean_auc(df: DataFrame, estimator: ScoreClassifier, fold: str) -> float:
-    scores = out_of_fold(df, estimator, estimator.label, fold)
-    return auc_gini(scores, by=["fold"]).agg(F.avg("auc")).first()[0]
+    return fmean(fold_aucs(df, estimator, estimator.label, fold))
 
 
-def rfe_cv(df: DataFrame, estimator: ScoreClassifier, fold: str = "fold", step: int | float = 1) -> tuple[list[str], DataFrame]:
+def _path_table(df: DataFrame, path: list[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(path, "size int, mean_auc double, columns array<string>")
+
+
+def rfe_cv(
+    df: DataFrame, estimator: ScoreClassifier, fold: str = "fold", step: int | float = 1
+) -> tuple[list[str], DataFrame]:
     """Recursive elimination scored by cross-validated AUC.
 
     Returns the columns of the best size (fewest on ties) and the path
     ``size, mean_auc, columns``.
     """
     columns, path = list(estimator.columns), []
-    while True:
-        current = estimator.on(columns)
-        path.append((len(columns), float(mean_auc(df, current, fold)), list(columns)))
-        if len(columns) == 1:
-            break
-        importances = current.fit(df).importances()
-        drop = max(1, int(step * len(columns)) if isinstance(step, float) else step)
-        weakest = sorted(range(len(columns)), key=lambda i: (importances[i], columns[i]))
-        gone = set(weakest[: min(drop, len(columns) - 1)])
-        columns = [c for i, c in enumerate(columns) if i not in gone]
+    df = df.persist()
+    try:
+        while True:
+            current = estimator.on(columns)
+            path.append((len(columns), mean_auc(df, current, fold), list(columns)))
+            if len(columns) == 1:
+                break
+            importances = current.fit(df).importances()
+            drop = max(1, int(step * len(columns)) if isinstance(step, float) else step)
+            weakest = sorted(range(len(columns)), key=lambda i: (importances[i], columns[i]))
+            gone = set(weakest[: min(drop, len(columns) - 1)])
+            columns = [c for i, c in enumerate(columns) if i not in gone]
+    finally:
+        df.unpersist()
     best = max(path, key=lambda p: (p[1], -p[0]))
-    table = df.sparkSession.createDataFrame(path, "size int, mean_auc double, columns array<string>")
-    return best[2], table
+    return best[2], _path_table(df, path)
 
 
 class CovariateShift:
@@ -58,7 +66,7 @@ class CovariateShift:
             test.select(*[F.col(f"`{c}`") for c in self.estimator.columns]),
         )
         learner = ScoreClassifier(
-            self.estimator.kind, self.estimator.columns, "is_train", self.estimator.params, seed=self.estimator.seed
+            self.estimator.kind, self.estimator.columns, "is_train", self.estimator.settings, seed=self.estimator.seed
         )
         model = learner.fit(both)
         self.auc = auc_gini(model.transform(both), label="is_train").first()["auc"]
@@ -94,15 +102,18 @@ def sequential_backward(
     and the path ``size, mean_auc, columns``.
     """
     columns = list(estimator.columns)
-    path = [(len(columns), float(mean_auc(df, estimator, fold)), list(columns))]
-    while len(columns) > max(1, smallest) and (max_steps is None or len(path) <= max_steps):
-        trials = [[c for c in columns if c != gone] for gone in columns]
-        scores = run_parallel(
-            [(lambda t=t: float(mean_auc(df, estimator.on(t), fold))) for t in trials], parallelism
-        )
-        best = max(range(len(trials)), key=lambda i: (scores[i], -i))
-        columns = trials[best]
-        path.append((len(columns), scores[best], list(columns)))
+    df = df.persist()
+    try:
+        path = [(len(columns), mean_auc(df, estimator, fold), list(columns))]
+        while len(columns) > max(1, smallest) and (max_steps is None or len(path) <= max_steps):
+            trials = [[c for c in columns if c != gone] for gone in columns]
+            scores = run_parallel(
+                [(lambda t=t: mean_auc(df, estimator.on(t), fold)) for t in trials], parallelism
+            )
+            best = max(range(len(trials)), key=lambda i: (scores[i], -i))
+            columns = trials[best]
+            path.append((len(columns), scores[best], list(columns)))
+    finally:
+        df.unpersist()
     chosen = max(path, key=lambda p: (p[1], -p[0]))
-    table = df.sparkSession.createDataFrame(path, "size int, mean_auc double, columns array<string>")
-    return chosen[2], table
+    return chosen[2], _path_table(df, path)

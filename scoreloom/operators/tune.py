@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from itertools import product
+from statistics import fmean, pstdev
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,20 +48,24 @@ def cross_validate(df: DataFrame, estimator: TableEstimator, label: str = "label
     return auc_gini(scores, by=["fold", "split"])
 
 
+def fold_aucs(df: DataFrame, estimator: TableEstimator, label: str = "label", fold: str = "fold") -> list[float]:
+    """Development AUC of every fold that has both classes."""
+    scores = out_of_fold(df, estimator, label, fold)
+    return [r["auc"] for r in auc_gini(scores, by=["fold"]).collect() if r["auc"] is not None]
+
+
 def compare(df: DataFrame, estimators: Mapping[str, TableEstimator], label: str = "label", fold: str = "fold"):
-    """Mean and deviation of the fold AUCs per named estimator."""
-    out = None
-    for name, estimator in estimators.items():
-        part = out_of_fold(df, estimator, label, fold).withColumn("name", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return (
-        auc_gini(out, by=["name", "fold"])
-        .groupBy("name")
-        .agg(
-            F.avg("auc").alias("mean_auc"),
-            F.stddev_pop("auc").alias("std_auc"),
-            F.count("auc").alias("folds"),
-        )
+    """Mean and deviation of the fold AUCs per named estimator.  The frame is read once."""
+    rows = []
+    df = df.persist()
+    try:
+        for name, estimator in estimators.items():
+            aucs = fold_aucs(df, estimator, label, fold)
+            rows.append((name, fmean(aucs), pstdev(aucs), len(aucs)))
+    finally:
+        df.unpersist()
+    return df.sparkSession.createDataFrame(
+        rows, "name string, mean_auc double, std_auc double, folds int"
     )
 
 
@@ -73,16 +78,16 @@ def grid_search(
     fold: str = "fold",
     fixed: Mapping | None = None,
 ) -> DataFrame:
-    """Mean fold AUC of every combination: ``run, params map, mean_auc``, best first."""
+    """Mean fold AUC of every combination: ``run, params map, mean_auc, std_auc``, best first."""
     combos = [dict(zip(grid, values)) for values in product(*grid.values())]
     estimators = {
         str(i): ScoreClassifier(kind, columns, label, {**(fixed or {}), **c}) for i, c in enumerate(combos)
     }
-    scores = compare(df, estimators, label, fold)
     text = [(str(i), {k: str(v) for k, v in c.items()}) for i, c in enumerate(combos)]
     params = df.sparkSession.createDataFrame(text, "name string, params map<string,string>")
     return (
-        scores.join(F.broadcast(params), "name")
+        compare(df, estimators, label, fold)
+        .join(F.broadcast(params), "name")
         .select(F.col("name").cast("int").alias("run"), "params", "mean_auc", "std_auc")
         .orderBy(F.desc("mean_auc"), "run")
     )
@@ -190,10 +195,12 @@ def encoder_comparison(
         # Category names may hold dots or quotes; plain names are used from here on.
         plain = [F.col(f"`{c}`").alias(f"e{i}") for i, c in enumerate(added)]
         names = [f"e{i}" for i in range(len(added))]
-        curve = learning_curve(
-            coded.select(label, *plain), coded_dev.select(label, *plain), names, label, steps, params
-        )
-        best = best_iteration(curve)
+        pair = [frame.select(label, *plain).persist() for frame in (coded, coded_dev)]
+        try:
+            best = best_iteration(learning_curve(*pair, names, label, steps, params))
+        finally:
+            for frame in pair:
+                frame.unpersist()
         rows.append((name, best["train_auc"], best["best_auc"], best["best_iteration"]))
     return train.sparkSession.createDataFrame(
         rows, "encoding string, train_auc double, best_auc double, best_iteration int"

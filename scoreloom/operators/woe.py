@@ -140,9 +140,9 @@ def rank_correlation(a: np.ndarray, b: np.ndarray) -> float:
     if len(a) < 2:
         return math.nan
     ra, rb = average_ranks(a), average_ranks(b)
-    ra, rb = ra - ra.mean(), rb - rb.mean()
-    scale = math.sqrt(float(ra @ ra) * float(rb @ rb))
-    return float(ra @ rb) / scale if scale else math.nan
+    if np.ptp(ra) == 0 or np.ptp(rb) == 0:
+        return math.nan
+    return float(np.corrcoef(ra, rb)[0, 1])
 
 
 def quantile_edges(quantiles: dict[float, float], bins: int) -> list[float]:
