@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..base import TableEstimator, TableModel
 from ..session import materialize
 from .lookup import BROADCAST_BYTES, attach
-from .ordering import running_totals, split_points
+from .ordering import column_stats, running_totals
 from .split import hash_fold, stratified_fold
 
 NONE = "none"
@@ -30,8 +30,8 @@ def category_value(name: str) -> Column:
 def long_categories(df: DataFrame, columns: Sequence[str], keep: Sequence[str], none: bool = True) -> DataFrame:
     """``(varname, value, *keep)``: one row per cell of the categorical columns."""
     value = category_value if none else (lambda c: F.col(f"`{c}`").cast("string"))
-    cells = F.array(*[F.struct(F.lit(c).alias("varname"), value(c).alias("value")) for c in columns])
-    return df.select(*keep, F.explode(cells).alias("_c")).select("_c.*", *keep)
+    cells = [x for c in columns for x in (F.lit(c), value(c))]
+    return df.select(*keep, F.stack(F.lit(len(columns)), *cells).alias("varname", "value"))
 
 
 def _sizes(table: DataFrame) -> dict[str, int]:
@@ -125,7 +125,7 @@ class LabelEncoder(TableEstimator):
                 F.lit(1).cast("long").alias("one"),
             )
         )
-        points = split_points(firsts, ["first_id"])[1]["first_id"]
+        points = column_stats(firsts, ["first_id"]).points("first_id")
         ranked = running_totals(firsts, "first_id", ["one"], points, by=["varname"])
         codes = materialize(
             ranked.select("varname", "value", "n", (F.col("cum_one") - 1).cast("long").alias("code"))

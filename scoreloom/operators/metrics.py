@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordering import running_totals, split_points
+from .ordering import column_stats, running_totals
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -29,7 +29,7 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", by:
             F.sum(1 - F.col(label).cast("long")).alias("neg"),
         )
     )
-    points = split_points(cells, ["threshold"])[1]["threshold"]
+    points = column_stats(cells, ["threshold"]).points("threshold")
     return running_totals(cells, "threshold", ["pos", "neg"], points, by=by, descending=True)
 
 

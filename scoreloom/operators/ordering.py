@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_width
 
-MAX_BUCKETS = 2000
+MAX_BUCKETS = 10_000
 ROWS_PER_BUCKET = 200_000
 
 
@@ -69,23 +70,39 @@ def shuffled_row_number(
     )
 
 
-def split_points(df: DataFrame, columns: Sequence[str], pieces: int | None = None):
-    """Non-null counts and near-equal split points of numeric columns, in one aggregation."""
+@dataclass
+class ColumnStats:
+    """Row count, and per column the non-null count, range and near-equal split points."""
+
+    rows: int
+    counts: dict[str, int]
+    low: dict[str, float]
+    high: dict[str, float]
+    sketch: dict[str, list[float]]
+
+    def points(self, column: str) -> list[float]:
+        """Split points worth using: none while one task can sort the whole column."""
+        return self.sketch[column] if self.counts[column] > ROWS_PER_BUCKET else []
+
+
+def column_stats(df: DataFrame, columns: Sequence[str], pieces: int | None = None) -> ColumnStats:
+    """All of :class:`ColumnStats` in one aggregation; the sketch has a fixed size."""
     pieces = pieces or min(MAX_BUCKETS, shuffle_width(df.sparkSession))
     fractions = [i / pieces for i in range(1, pieces)] or [0.5]
-    exprs = []
+    exprs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
         value = F.col(f"`{name}`").cast("double")
         exprs.append(F.count(value).alias(f"n{i}"))
+        exprs.append(F.min(value).alias(f"lo{i}"))
+        exprs.append(F.max(value).alias(f"hi{i}"))
         exprs.append(F.percentile_approx(value, fractions, max(1000, 10 * pieces)).alias(f"q{i}"))
     row = df.agg(*exprs).first()
-    counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    points = {}
-    for i, c in enumerate(columns):
-        useful = min(pieces, math.ceil(counts[c] / ROWS_PER_BUCKET))
-        found = sorted(set(row[f"q{i}"] or []))
-        points[c] = found if useful > 1 else []
-    return counts, points
+
+    def part(prefix):
+        return {c: row[f"{prefix}{i}"] for i, c in enumerate(columns)}
+
+    sketch = {c: sorted(set(q or [])) for c, q in part("q").items()}
+    return ColumnStats(row["rows"], part("n"), part("lo"), part("hi"), sketch)
 
 
 def with_buckets(df: DataFrame, points: Mapping[str, Sequence[float]], suffix: str = "_bucket"):
@@ -142,7 +159,7 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, fractions: Mapping[str, Sequence[float]]
+    df: DataFrame, fractions: Mapping[str, Sequence[float]], stats: ColumnStats | None = None
 ) -> tuple[dict[str, dict[float, float]], dict[str, int]]:
     """Interpolated quantiles ``{column: {p: value}}`` and non-null counts.
 
@@ -151,22 +168,17 @@ def exact_quantiles(
     wanted ranks, and only those buckets are sorted.  Nothing but ranks reaches the driver.
     """
     columns = [c for c in fractions]
-    counts, points = split_points(df, columns)
+    stats = stats or column_stats(df, columns)
+    counts, points = stats.counts, {c: stats.points(c) for c in columns}
     tagged = with_buckets(df.select(*[F.col(f"`{c}`") for c in columns]), points)
-    longform = tagged.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("var"),
-                        F.col(f"`{c}_bucket`").alias("bucket"),
-                        F.col(f"`{c}`").cast("double").alias("value"),
-                    )
-                    for i, c in enumerate(columns)
-                ]
-            )
-        ).alias("_s")
-    ).select("_s.*").filter(F.col("value").isNotNull())
+    cells = [
+        x
+        for i, c in enumerate(columns)
+        for x in (F.lit(i), F.col(f"`{c}_bucket`"), F.col(f"`{c}`").cast("double"))
+    ]
+    longform = tagged.select(F.stack(F.lit(len(columns)), *cells).alias("var", "bucket", "value")).filter(
+        F.col("value").isNotNull()
+    )
     if any(points.values()):
         held = {
             (r["var"], r["bucket"]): r["n"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -16,10 +15,6 @@ from .matrices import sum_arrays
 from .missing import DropColumnsModel
 from .ordering import exact_quantiles, hash_unit
 
-# Up to this many columns the pairwise correlations are one built-in aggregation each.
-WIDE_COLUMNS = 24
-
-
 def target_profile(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Per feature: correlation with the 0/1 label and the median within each class."""
     row = df.agg(
@@ -120,24 +115,11 @@ def _safe_corr(a: str, b: str):
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> pd.DataFrame:
-    """Symmetric Pearson matrix over complete pairs; NaN when a side is constant."""
-    d = len(columns)
-    if d <= WIDE_COLUMNS:
-        pairs = list(combinations(range(d), 2))
-        matrix = np.eye(d)
-        if pairs:
-            row = df.agg(
-                *[_safe_corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs]
-            ).first()
-            for i, j in pairs:
-                r = row[f"r{i}_{j}"]
-                matrix[i, j] = matrix[j, i] = math.nan if r is None else r
-        return pd.DataFrame(matrix, list(columns), list(columns))
-    return pd.DataFrame(_wide_correlation(df, columns), list(columns), list(columns))
-
-
-def _wide_correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Pairwise sums as matrix products inside tasks; each task sends d x d sums once."""
+    """Symmetric Pearson matrix over complete pairs; NaN when a side is constant.
+
+    All pairs come from four matrix products per batch of rows, after a shift by the column
+    means; a task sends its d x d sums once.
+    """
     d = len(columns)
     numeric = [F.col(f"`{c}`").cast("double") for c in columns]
     row = df.agg(*[F.avg(c) for c in numeric]).first()
@@ -151,15 +133,14 @@ def _wide_correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
             [m.ravel() for m in (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)]
         )
 
-    total = sum_arrays(df, numeric, 4 * d * d, partial)
-    n, s, q, p = total.reshape(4, d, d)
+    n, s, q, p = sum_arrays(df, numeric, 4 * d * d, partial).reshape(4, d, d)
     with np.errstate(divide="ignore", invalid="ignore"):
         cov = p - s * s.T / n
         var = q - s * s / n
-        result = cov / np.sqrt(var * var.T)
-    result[(var <= 1e-12 * q) | (var.T <= 1e-12 * q.T)] = math.nan
-    np.fill_diagonal(result, 1.0)
-    return result
+        matrix = cov / np.sqrt(var * var.T)
+    matrix[(var <= 1e-12 * q) | (var.T <= 1e-12 * q.T)] = math.nan
+    np.fill_diagonal(matrix, 1.0)
+    return pd.DataFrame(matrix, list(columns), list(columns))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

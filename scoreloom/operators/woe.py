@@ -21,7 +21,7 @@ from ..base import TableEstimator, TableModel
 from ..functions.values import type_groups
 from ..session import materialize
 from .encode import _sizes, attach_codes, long_categories
-from .ordering import exact_quantiles
+from .ordering import ColumnStats, column_stats, exact_quantiles
 
 BIN_SCHEMA = (
     "VARNAME string, BIN int, MIN_VALUE double, MAX_VALUE double, "
@@ -81,19 +81,16 @@ def count_cells(df: DataFrame, target: str, edges: dict[str, Sequence[float]]) -
     """One aggregation giving the cell counts of every variable."""
     columns = list(edges)
     tagged = add_cells(df.select(target, *[F.col(f"`{c}`") for c in columns]), edges)
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("var"),
-                F.col(f"`{c}_cell`").alias("cell"),
-                F.col(f"`{c}`").cast("double").alias("x"),
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
+    items = [
+        x
+        for i, c in enumerate(columns)
+        for x in (F.lit(i), F.col(f"`{c}_cell`"), F.col(f"`{c}`").cast("double"))
+    ]
     rows = (
-        tagged.select(F.col(target).cast("long").alias("y"), F.explode(items).alias("_s"))
-        .select("y", "_s.*")
+        tagged.select(
+            F.col(target).cast("long").alias("y"),
+            F.stack(F.lit(len(columns)), *items).alias("var", "cell", "x"),
+        )
         .groupBy("var", "cell")
         .agg(
             F.count("y").alias("n"),
@@ -243,17 +240,23 @@ def numeric_edges(
     max_bins: int = 20,
     corr_threshold: float = 0.8,
     force_bins: int = 3,
+    approximate: bool = False,
+    stats: ColumnStats | None = None,
 ) -> tuple[dict[str, list[float]], dict[str, Cells]]:
     """Chosen interior edges and cell counts per variable.
 
     ``bins`` fixes the number of equal-frequency bins; otherwise the monotone search decides.
+    ``approximate`` takes the quantiles from one sketch pass instead of the exact ranks.
     """
     if bins:
         needed = {i / bins for i in range(bins + 1)}
     else:
         tried = {*range(2, max_bins + 1), force_bins}
         needed = {i / n for n in tried for i in range(n + 1)}
-    quantiles, counts = exact_quantiles(df, {c: sorted(needed) for c in columns})
+    if approximate:
+        quantiles, counts = sketch_quantiles(df, columns, sorted(needed))
+    else:
+        quantiles, counts = exact_quantiles(df, {c: sorted(needed) for c in columns}, stats)
     filled = [c for c in columns if counts[c]]
     union = {c: sorted(set(quantiles[c].values())) if c in filled else [] for c in columns}
     cells = count_cells(df, target, union)
@@ -273,37 +276,51 @@ def numeric_bin_table(spark, edges: dict[str, list[float]], cells: dict[str, Cel
     return spark.createDataFrame(rows, BIN_SCHEMA)
 
 
+def numeric_woe_table(spark, edges: dict[str, list[float]], cells: dict[str, Cells]) -> DataFrame:
+    """Measured bins of numeric variables, computed once (a few rows per variable)."""
+    measured = woe_measures(numeric_bin_table(spark, edges, cells))
+    return spark.createDataFrame(measured.collect(), measured.schema)
+
+
 def woe_numeric(df: DataFrame, columns: Sequence[str], target: str, **how) -> DataFrame:
     """WOE table of numeric variables; ``how`` as in :func:`numeric_edges`."""
     edges, cells = numeric_edges(df, columns, target, **how)
     return woe_measures(numeric_bin_table(df.sparkSession, edges, cells))
 
 
-def split_kinds(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Numeric columns with more than two distinct values (NULL is one), and all the others."""
-    numeric = [c for c in type_groups(df.select(*[F.col(f"`{c}`") for c in columns]))["numerical"]]
-    if not numeric:
-        return [], list(columns)
-    stats = df.agg(
-        *[F.min(f"`{c}`").alias(f"lo{i}") for i, c in enumerate(numeric)],
-        *[F.max(f"`{c}`").alias(f"hi{i}") for i, c in enumerate(numeric)],
-        *[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"nu{i}") for i, c in enumerate(numeric)],
+def sketch_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]):
+    """Approximate quantiles of all columns in one pass, with exact ends."""
+    values = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    row = df.agg(
+        *[F.percentile_approx(v, list(fractions), 100_000).alias(f"q{i}") for i, v in enumerate(values.values())],
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
     ).first()
-    spread = {c: i for i, c in enumerate(numeric) if stats[f"lo{i}"] != stats[f"hi{i}"]}
-    wide = {c for c, i in spread.items() if stats[f"nu{i}"]}
-    ask = [c for c in spread if c not in wide]
+    found = {c: dict(zip(fractions, row[f"q{i}"] or [None] * len(fractions))) for i, c in enumerate(columns)}
+    return found, {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
+def split_kinds(df: DataFrame, columns: Sequence[str]):
+    """Numeric columns with more than two distinct values (NULL is one), all others, statistics.
+
+    A NULL next to two values, or a sketch point strictly inside the range, proves a third
+    value; only columns without such proof are asked again.
+    """
+    numeric = type_groups(df.select(*[F.col(f"`{c}`") for c in columns]))["numerical"]
+    if not numeric:
+        return [], list(columns), None
+    stats = column_stats(df, numeric)
+    ranged = [c for c in numeric if stats.low[c] != stats.high[c]]
+    wide = {
+        c
+        for c in ranged
+        if stats.counts[c] < stats.rows or any(stats.low[c] < p < stats.high[c] for p in stats.sketch[c])
+    }
+    ask = [c for c in ranged if c not in wide]
     if ask:
-        row = df.agg(
-            *[
-                F.max(
-                    (F.col(f"`{c}`") > F.lit(stats[f"lo{spread[c]}"]))
-                    & (F.col(f"`{c}`") < F.lit(stats[f"hi{spread[c]}"]))
-                ).alias(f"b{k}")
-                for k, c in enumerate(ask)
-            ]
-        ).first()
+        inside = [(F.col(f"`{c}`") > stats.low[c]) & (F.col(f"`{c}`") < stats.high[c]) for c in ask]
+        row = df.agg(*[F.max(e).alias(f"b{k}") for k, e in enumerate(inside)]).first()
         wide |= {c for k, c in enumerate(ask) if row[f"b{k}"]}
-    return [c for c in columns if c in wide], [c for c in columns if c not in wide]
+    return [c for c in columns if c in wide], [c for c in columns if c not in wide], stats
 
 
 def iv_summary(table: DataFrame) -> DataFrame:
@@ -374,10 +391,12 @@ class WoeBinner(TableEstimator):
         max_bins: int = 20,
         corr_threshold: float = 0.8,
         force_bins: int = 3,
+        approximate: bool = False,
     ):
         super().__init__()
         self.columns, self.target = list(columns), target
         self.how = {
+            "approximate": approximate,
             "bins": bins,
             "max_bins": max_bins,
             "corr_threshold": corr_threshold,
@@ -385,12 +404,12 @@ class WoeBinner(TableEstimator):
         }
 
     def _fit(self, df: DataFrame) -> WoeModel:
-        numeric, categorical = split_kinds(df, self.columns)
+        numeric, categorical, stats = split_kinds(df, self.columns)
         info = {"numeric": {}, "categorical": categorical, "sizes": {}}
         parts, tables = [], {}
         if numeric:
-            edges, cells = numeric_edges(df, numeric, self.target, **self.how)
-            table = woe_measures(numeric_bin_table(df.sparkSession, edges, cells))
+            edges, cells = numeric_edges(df, numeric, self.target, stats=stats, **self.how)
+            table = numeric_woe_table(df.sparkSession, edges, cells)
             info["numeric"] = _numeric_spec(table, edges)
             parts.append(_as_text(table))
         if categorical:
@@ -473,16 +492,16 @@ class TreeWoeBinner(TableEstimator):
         self.rules = (max_bins, min_share, min_gain)
 
     def _fit(self, df: DataFrame) -> WoeModel:
-        numeric, categorical = split_kinds(df, self.columns)
+        numeric, categorical, stats = split_kinds(df, self.columns)
         info = {"numeric": {}, "categorical": categorical, "sizes": {}}
         parts, tables = [], {}
         if numeric:
-            _, cells = numeric_edges(df, numeric, self.target, bins=self.cells)
+            _, cells = numeric_edges(df, numeric, self.target, bins=self.cells, stats=stats)
             edges = {}
             for c in numeric:
                 cuts = grow_bins(cells[c].count, cells[c].events, *self.rules)
                 edges[c] = [cells[c].edges[k - 1] for k in cuts]
-            table = woe_measures(numeric_bin_table(df.sparkSession, edges, cells))
+            table = numeric_woe_table(df.sparkSession, edges, cells)
             info["numeric"] = _numeric_spec(table, edges)
             parts.append(_as_text(table))
         if categorical:
