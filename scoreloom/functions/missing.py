@@ -14,56 +14,75 @@ RATE_PATTERNS = ["None", "na", "Nan", "NaN"]
 INGEST_PATTERNS = ["Nan", "na", "None", "NaN", "[]", -1]
 
 
-def is_pattern(column: Column, patterns: Iterable, dtype: T.DataType) -> Column:
-    """True when the value is one of the patterns that fit the column's type."""
+def quoted(name: str) -> str:
+    """Column name for use in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
+def _pattern_sql(name: str, patterns: Iterable, dtype: T.DataType) -> str:
+    """Expression text: the value is one of the patterns that fit the column's type."""
     if isinstance(dtype, T.StringType):
         usable = [p for p in patterns if isinstance(p, str)]
     elif isinstance(dtype, T.NumericType):
         usable = [p for p in patterns if isinstance(p, (int, float)) and not isinstance(p, bool)]
     else:
         usable = []
-    return F.coalesce(column.isin(usable), F.lit(False)) if usable else F.lit(False)
+    if not usable:
+        return "false"
+    return f"coalesce({quoted(name)} IN ({', '.join(map(_literal, usable))}), false)"
+
+
+def _missing_sql(name: str, patterns: Iterable, dtype: T.DataType) -> str:
+    parts = [f"{quoted(name)} IS NULL", _pattern_sql(name, patterns, dtype)]
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        parts.append(f"isnan({quoted(name)})")
+    return "(" + " OR ".join(p for p in parts if p != "false") + ")"
+
+
+def is_pattern(df: DataFrame, name: str, patterns: Iterable) -> Column:
+    """True when the value is one of the patterns."""
+    return F.expr(_pattern_sql(name, patterns, df.schema[name].dataType))
 
 
 def is_missing(df: DataFrame, name: str, patterns: Iterable = RATE_PATTERNS) -> Column:
     """NULL, NaN or a pattern of the column's own type."""
-    column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
-    missing = column.isNull() | is_pattern(column, patterns, dtype)
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        missing = missing | F.isnan(column)
-    return missing
+    return F.expr(_missing_sql(name, patterns, df.schema[name].dataType))
 
 
 def replace_values(df: DataFrame, name: str, patterns: Sequence, value) -> Column:
     """The column with every listed value (``None`` means NULL or NaN) replaced by ``value``."""
-    column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
-    hit = is_pattern(column, [p for p in patterns if p is not None], dtype)
+    hit = is_pattern(df, name, [p for p in patterns if p is not None])
     if any(p is None for p in patterns):
-        hit = hit | column.isNull()
-        if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            hit = hit | F.isnan(column)
-    return F.when(hit, F.lit(value)).otherwise(column)
+        hit = hit | is_missing(df, name, [])
+    return F.when(hit, F.lit(value)).otherwise(F.col(quoted(name)))
 
 
 def null_out(df: DataFrame, patterns: Sequence = INGEST_PATTERNS, skip: Sequence[str] = ()) -> DataFrame:
     """Turn NaN and sentinel values of every column into NULL; the ingestion step."""
-    return df.withColumns(
-        {
-            c: F.when(~is_missing(df, c, patterns), F.col(f"`{c}`"))
-            for c in df.columns
-            if c not in skip
-        }
-    )
+    clean = {
+        f.name: F.expr(
+            f"CASE WHEN NOT {_missing_sql(f.name, patterns, f.dataType)} THEN {quoted(f.name)} END"
+        )
+        for f in df.schema.fields
+        if f.name not in skip
+    }
+    return df.withColumns(clean)
 
 
 def indicators(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
     """``<col>_ismiss`` = 1 when the cell is NULL, else 0."""
-    return {f"{c}_ismiss": F.col(f"`{c}`").isNull().cast("int") for c in columns}
+    return {f"{c}_ismiss": F.expr(f"int({quoted(c)} IS NULL)") for c in columns}
 
 
 def missing_count(columns: Sequence[str]) -> Column:
     """Number of NULL cells in the row."""
-    return sum((F.col(f"`{c}`").isNull().cast("int") for c in columns), F.lit(0))
+    return F.expr(" + ".join(f"int({quoted(c)} IS NULL)" for c in columns) or "0")
 
 
 def keep_listed(column: Column, allowed: Sequence) -> Column:

@@ -7,6 +7,7 @@ no loop over folds, and the rows of a frequent category are combined before the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.feature import OneHotEncoder as VectorOneHot
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import TableEstimator, TableModel
+from ..functions.missing import quoted
 from ..session import materialize
 from .lookup import BROADCAST_BYTES, attach
 from .ordering import column_stats, running_totals
@@ -22,52 +24,90 @@ from .split import hash_fold, stratified_fold
 NONE = "none"
 
 
-def category_value(name: str) -> Column:
-    """The category as text, missing as the category ``none``."""
-    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(NONE))
+def category_value(name: str, none: bool = True) -> Column:
+    """The category as text; with ``none``, missing is the category ``none``."""
+    text = f"CAST({quoted(name)} AS STRING)"
+    return F.expr(f"coalesce({text}, '{NONE}')" if none else text)
 
 
 def long_categories(df: DataFrame, columns: Sequence[str], keep: Sequence[str], none: bool = True) -> DataFrame:
     """``(varname, value, *keep)``: one row per cell of the categorical columns."""
-    value = category_value if none else (lambda c: F.col(f"`{c}`").cast("string"))
-    cells = [x for c in columns for x in (F.lit(c), value(c))]
+    cells = [x for c in columns for x in (F.lit(c), category_value(c, none))]
     return df.select(*keep, F.stack(F.lit(len(columns)), *cells).alias("varname", "value"))
 
 
-def _sizes(table: DataFrame) -> dict[str, int]:
-    """Bytes of each variable's slice of a code table."""
-    width = 16 * len(table.columns)
-    rows = (
-        table.groupBy("varname")
-        .agg(F.sum(F.coalesce(F.length("value"), F.lit(0)) + F.lit(width)).alias("b"))
-        .collect()
-    )
-    return {r["varname"]: int(r["b"]) for r in rows}
+# A variable with at most this many codes is applied as a constant map, without a join.
+MAP_ENTRIES = 256
+
+
+def code_state(codes: DataFrame) -> dict:
+    """How to apply a code table ``(varname, value, [_fold], n, code)``, per variable.
+
+    ``maps`` holds the codes of variables with few of them; ``sizes`` the measured bytes of the
+    others, which are joined.
+    """
+    width = 16 * len(codes.columns)
+    grouped = codes.groupBy("varname").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.sum(F.coalesce(F.length("value"), F.lit(0)) + F.lit(width)).alias("bytes"),
+    ).collect()
+    few = [r["varname"] for r in grouped if r["entries"] <= MAP_ENTRIES]
+    maps: dict[str, list] = {c: [] for c in few}
+    if few:
+        for r in codes.filter(F.col("varname").isin(few)).collect():
+            fold = r["_fold"] if "_fold" in codes.columns else None
+            maps[r["varname"]].append([r["value"], fold, r["code"]])
+    return {"maps": maps, "sizes": {r["varname"]: int(r["bytes"]) for r in grouped}}
+
+
+def _map_lookup(entries: list, value: Column, fold: str | None) -> Column:
+    """The code as a projection; NULL for anything not listed."""
+    kind = "bigint" if all(isinstance(e[2], int) for e in entries) else "double"
+    if fold is None:
+        flat = {e[0]: e[2] for e in entries if e[0] is not None}
+        table = F.from_json(F.lit(json.dumps(flat)), f"map<string,{kind}>")
+        found = F.try_element_at(table, value)
+        missing = [e[2] for e in entries if e[0] is None]
+        return F.when(value.isNull(), F.lit(missing[0] if missing else None).cast(kind)).otherwise(found)
+    size = 1 + max(e[1] for e in entries)
+    by_fold: dict[str, list] = {}
+    for v, k, code in entries:
+        by_fold.setdefault(v, [None] * size)[k] = code
+    table = F.from_json(F.lit(json.dumps(by_fold)), f"map<string,array<{kind}>>")
+    return F.get(F.try_element_at(table, value), F.col(fold))
 
 
 def attach_codes(
     df: DataFrame,
     codes: DataFrame,
-    sizes: dict[str, int],
+    state: dict,
     columns: Sequence[str],
     out: dict[str, str],
-    keys: Sequence[str] = (),
+    fold: str | None = None,
     none: bool = True,
     limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add each column's ``code``; ``codes`` has ``(varname, value, *keys, n, code)``."""
+    """Add each column's ``code``; ``state`` as given by :func:`code_state`."""
+    mapped = {
+        out[c]: _map_lookup(state["maps"][c], category_value(c, none), fold)
+        for c in columns
+        if c in state["maps"]
+    }
+    df = df.withColumns(mapped) if mapped else df
+    keys = [fold] if fold else []
     for c in columns:
-        value = category_value(c) if none else F.col(f"`{c}`").cast("string")
+        if c in state["maps"]:
+            continue
         table = codes.filter(F.col("varname") == c).select(
             F.col("value").alias("_value"), *keys, "n", F.col("code").alias(out[c])
         )
         df = attach(
-            df.withColumn("_value", value),
+            df.withColumn("_value", category_value(c, none)),
             table,
             ["_value", *keys],
             weight="n",
             limit_bytes=limit_bytes,
-            measured=sizes.get(c, 0),
+            measured=state["sizes"].get(c, 0),
         ).drop("_value")
     return df
 
@@ -78,7 +118,7 @@ class CodeModel(TableModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         info = self.info
         out = {c: f"{c}{info['suffix']}" for c in info["columns"]}
-        df = attach_codes(df, self.tables["codes"], info["sizes"], info["columns"], out)
+        df = attach_codes(df, self.tables["codes"], info["state"], info["columns"], out)
         return df.withColumns(
             {out[c]: F.coalesce(F.col(f"`{out[c]}`"), F.lit(info["default"])) for c in info["columns"]}
         )
@@ -103,7 +143,7 @@ class FrequencyEncoder(TableEstimator):
             )
         )
         return CodeModel(
-            {"columns": self.columns, "suffix": "_freq", "default": 0.0, "sizes": _sizes(codes)},
+            {"columns": self.columns, "suffix": "_freq", "default": 0.0, "state": code_state(codes)},
             {"codes": codes},
         )
 
@@ -131,7 +171,7 @@ class LabelEncoder(TableEstimator):
             ranked.select("varname", "value", "n", (F.col("cum_one") - 1).cast("long").alias("code"))
         )
         return CodeModel(
-            {"columns": self.columns, "suffix": "_labeled", "default": -1, "sizes": _sizes(codes)},
+            {"columns": self.columns, "suffix": "_labeled", "default": -1, "state": code_state(codes)},
             {"codes": codes},
         )
 
@@ -193,19 +233,19 @@ class MeanModel(TableModel):
     """``transform`` uses the full-train means; ``transform_train`` the out-of-fold ones."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return self._apply(df, "codes", [])
+        return self._apply(df, "codes", None)
 
     def transform_train(self, df: DataFrame) -> DataFrame:
         info = self.info
         if not info["folds"]:
             return self.transform(df)
         folded = stratified_fold(df, info["id_col"], info["target"], info["folds"], info["seed"], "_fold")
-        return self._apply(folded, "fold_codes", ["_fold"]).drop("_fold")
+        return self._apply(folded, "fold_codes", "_fold").drop("_fold")
 
-    def _apply(self, df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    def _apply(self, df: DataFrame, table: str, fold: str | None) -> DataFrame:
         info = self.info
         out = {c: f"{c}{info['suffix']}" for c in info["columns"]}
-        df = attach_codes(df, self.tables[table], info[f"{table}_sizes"], info["columns"], out, keys)
+        df = attach_codes(df, self.tables[table], info[f"{table}_state"], info["columns"], out, fold)
         return df.withColumns(
             {o: F.coalesce(F.col(f"`{o}`"), F.lit(info["default"])) for o in out.values()}
         )
@@ -264,7 +304,7 @@ class MeanEncoder(TableEstimator):
             "id_col": self.id_col,
             "seed": self.seed,
             "default": float(mean if self.default is None else self.default),
-            "codes_sizes": _sizes(codes),
+            "codes_state": code_state(codes),
         }
         tables = {"codes": codes}
         if self.folds:
@@ -279,7 +319,7 @@ class MeanEncoder(TableEstimator):
                     F.when(rest_n > 0, (rest_s + prior) / (rest_n + alpha)).alias("code"),
                 )
             )
-            info["fold_codes_sizes"] = _sizes(tables["fold_codes"])
+            info["fold_codes_state"] = code_state(tables["fold_codes"])
         return MeanModel(info, tables)
 
 
@@ -289,16 +329,16 @@ class KFoldTargetModel(TableModel):
     def transform_train(self, df: DataFrame) -> DataFrame:
         info = self.info
         folded = hash_fold(df, info["id_col"], info["folds"], info["seed"], "_fold")
-        return self._apply(folded, "fold_codes", ["_fold"], {}).drop("_fold")
+        return self._apply(folded, "fold_codes", "_fold", {}).drop("_fold")
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return self._apply(df, "codes", [], self.info["means"])
+        return self._apply(df, "codes", None, self.info["means"])
 
-    def _apply(self, df: DataFrame, table: str, keys: list[str], defaults: dict) -> DataFrame:
+    def _apply(self, df: DataFrame, table: str, fold: str | None, defaults: dict) -> DataFrame:
         columns = self.info["columns"]
         out = {c: f"_te_{c}" for c in columns}
         coded = attach_codes(
-            df, self.tables[table], self.info[f"{table}_sizes"], columns, out, keys, none=False
+            df, self.tables[table], self.info[f"{table}_state"], columns, out, fold, none=False
         )
         picked = {}
         for c in columns:
@@ -349,8 +389,8 @@ class KFoldTargetEncoder(TableEstimator):
             "folds": self.folds,
             "seed": self.seed,
             "means": {r["varname"]: r["m"] for r in means},
-            "codes_sizes": _sizes(codes),
-            "fold_codes_sizes": _sizes(fold_codes),
+            "codes_state": code_state(codes),
+            "fold_codes_state": code_state(fold_codes),
         }
         return KFoldTargetModel(info, {"codes": codes, "fold_codes": fold_codes})
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..base import TableEstimator, TableModel
 from ..functions.values import type_groups
 from ..session import materialize
-from .encode import _sizes, attach_codes, long_categories
+from .encode import attach_codes, code_state, long_categories
 from .ordering import ColumnStats, column_stats, exact_quantiles
 
 BIN_SCHEMA = (
@@ -357,7 +357,7 @@ class WoeModel(TableModel):
         if categorical:
             out = {c: f"{c}_woe" for c in categorical}
             df = attach_codes(
-                df, self.tables["codes"], self.info["sizes"], categorical, out, none=False
+                df, self.tables["codes"], self.info["state"], categorical, out, none=False
             )
         return df
 
@@ -405,7 +405,7 @@ class WoeBinner(TableEstimator):
 
     def _fit(self, df: DataFrame) -> WoeModel:
         numeric, categorical, stats = split_kinds(df, self.columns)
-        info = {"numeric": {}, "categorical": categorical, "sizes": {}}
+        info = {"numeric": {}, "categorical": categorical}
         parts, tables = [], {}
         if numeric:
             edges, cells = numeric_edges(df, numeric, self.target, stats=stats, **self.how)
@@ -420,7 +420,7 @@ class WoeBinner(TableEstimator):
                 F.col("COUNT").alias("n"),
                 F.col("WOE").alias("code"),
             )
-            info["sizes"] = _sizes(tables["codes"])
+            info["state"] = code_state(tables["codes"])
             parts.append(table)
         whole = parts[0]
         for part in parts[1:]:
@@ -493,7 +493,7 @@ class TreeWoeBinner(TableEstimator):
 
     def _fit(self, df: DataFrame) -> WoeModel:
         numeric, categorical, stats = split_kinds(df, self.columns)
-        info = {"numeric": {}, "categorical": categorical, "sizes": {}}
+        info = {"numeric": {}, "categorical": categorical}
         parts, tables = [], {}
         if numeric:
             _, cells = numeric_edges(df, numeric, self.target, bins=self.cells, stats=stats)
@@ -523,7 +523,7 @@ class TreeWoeBinner(TableEstimator):
                     F.col("WOE").alias("code"),
                 )
             )
-            info["sizes"] = _sizes(tables["codes"])
+            info["state"] = code_state(tables["codes"])
             parts.append(table.drop("BIN"))
         whole = parts[0]
         for part in parts[1:]:
@@ -536,21 +536,33 @@ class TreeWoeBinner(TableEstimator):
         rate = F.col("DEFAULT") / F.col("COUNT")
         known = counts.filter(F.col("VALUE").isNotNull()).withColumn("_rate", rate)
         fractions = [i / self.cells for i in range(1, self.cells + 1)]
-        found = known.groupBy("VARNAME").agg(F.percentile_approx("_rate", fractions).alias("q")).collect()
-        number = F.lit(None).cast("int")
-        for r in found:
-            edges = sorted(set(r["q"]))
-            mine = known.filter(F.col("VARNAME") == r["VARNAME"])
-            cells = add_cells(mine, {"_rate": edges}).groupBy("_rate_cell").agg(
-                F.sum("COUNT").alias("n"), F.sum("DEFAULT").alias("e")
-            )
-            n, e = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
-            for cell in cells.collect():
-                n[cell["_rate_cell"]], e[cell["_rate_cell"]] = cell["n"], cell["e"]
-            cuts = [edges[k - 1] for k in grow_bins(n, e, *self.rules)]
-            bin_of = sum(((rate > F.lit(edge)).cast("int") for edge in cuts), F.lit(0))
-            number = F.when(F.col("VARNAME") == r["VARNAME"], bin_of).otherwise(number)
-        return counts.withColumn("BIN", F.when(F.col("VALUE").isNull(), -1).otherwise(number))
+        edges = known.groupBy("VARNAME").agg(
+            F.array_sort(F.array_distinct(F.percentile_approx("_rate", fractions))).alias("_edges")
+        )
+        below = F.size(F.filter("_edges", lambda e: e < F.col("_rate")))
+        cells = (
+            known.join(F.broadcast(edges), "VARNAME")
+            .groupBy("VARNAME", "_edges", below.alias("_cell"))
+            .agg(F.sum("COUNT").alias("n"), F.sum("DEFAULT").alias("e"))
+            .collect()
+        )
+        cuts = []
+        for name in columns:
+            mine = [r for r in cells if r["VARNAME"] == name]
+            if not mine:
+                continue
+            limits = mine[0]["_edges"]
+            n, e = np.zeros(len(limits) + 1, np.int64), np.zeros(len(limits) + 1, np.int64)
+            for r in mine:
+                n[r["_cell"]], e[r["_cell"]] = r["n"], r["e"]
+            cuts.append((name, [float(limits[k - 1]) for k in grow_bins(n, e, *self.rules)]))
+        table = df.sparkSession.createDataFrame(cuts, "VARNAME string, _cuts array<double>")
+        number = F.size(F.filter("_cuts", lambda c: rate > c))
+        return (
+            counts.join(F.broadcast(table), "VARNAME", "left")
+            .withColumn("BIN", F.when(F.col("VALUE").isNull(), -1).otherwise(number))
+            .drop("_cuts")
+        )
 
 
 def var_filter(

@@ -12,6 +12,7 @@ from ..operators.features import PCAFeatures
 from ..operators.models import ScoreClassifier
 from ..operators.select import select_features
 from ..operators.split import stratified_fold
+from ..session import store
 from .recipe import CleaningRecipe, CleaningSpec, ExtractionRecipe, numeric_features
 
 
@@ -41,7 +42,8 @@ def clean_and_extract(
 ) -> tuple[DataFrame, DataFrame]:
     """Cleaning followed by WOE extraction, learned on ``train`` and applied to both."""
     cleaning = CleaningRecipe(spec, other).fit(train)
-    clean_train, clean_other = cleaning.transform(train), cleaning.transform(other)
+    # The cleaned training frame is read many times while the bins are learned.
+    clean_train, clean_other = store(cleaning.transform(train)), cleaning.transform(other)
     skip = [spec.id_col, spec.label]
     features = columns or [
         c for c, t in clean_train.dtypes if c not in skip and not t.startswith("array")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,8 @@ def get_session(app_name: str = "scoreloom", cores: int | None = None) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python call site of every expression is costly on wide frames.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if cores:
         builder = (
@@ -53,6 +56,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a wide intermediate frame once, as parquet beside the checkpoints, and read it back.
+
+    Later passes then read only the columns they need instead of recomputing the frame.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/frame-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is configured for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
