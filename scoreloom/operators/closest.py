@@ -57,8 +57,12 @@ def closest_fit(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame
         .select(*signature, "_kind", "_pattern", *_common("_pattern", values, shared))
     )
     distance = F.length(F.regexp_replace("_pattern", "1", ""))
+    # How often each key is asked for: tells hot keys, and drops donors nobody asks for.
+    key = ["_kind", *shared]
+    demand = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("_asked"))
+    offered = materialize(_join_safe(demand, donors, key, ["_other"]))
     best = (
-        attach(asked, donors, ["_kind", *shared])
+        attach(asked, offered, key, weight="_asked")
         .filter(F.col("_other").isNotNull())
         .groupBy(*signature)
         .agg(F.min(F.struct(distance.alias("distance"), F.col("_other").alias("id"))).alias("_best"))

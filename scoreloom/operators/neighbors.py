@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordering import row_hash
 
 SAMPLE_POINTS = 20_000
@@ -102,7 +103,7 @@ def nearest_neighbors(
                 yield batch.assign(cell=_owner(x, low, high))
 
     schema = "key string, x array<double>, w bigint, cell bigint"
-    placed = base.mapInPandas(assign, schema)
+    placed = materialize(base.mapInPandas(assign, schema))
     found = "key string, neighbor array<double>, times bigint, distance double"
 
     def rows(keys, index, dist, x, weights):
@@ -123,6 +124,7 @@ def nearest_neighbors(
     own = placed.groupBy("cell").applyInPandas(search_own, found)
     if len(low) == 1:
         return own
+    own = materialize(own)
 
     reach = own.groupBy("key").agg(F.max("distance").alias("r"), F.count(F.lit(1)).alias("n"))
     asking = placed.join(reach, "key", "left").select(
@@ -149,7 +151,7 @@ def nearest_neighbors(
                     }
                 )
 
-    visits = asking.mapInPandas(visit, "key string, x array<double>, cell bigint")
+    visits = materialize(asking.mapInPandas(visit, "key string, x array<double>, cell bigint"))
     # A cell visited by many points is split: its points are repeated once per slice of visitors.
     load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     room = 4 * max(MIN_CELL_POINTS, total // cells)
