@@ -249,7 +249,7 @@ REGISTRY = {
 
 def registered(name: str, columns: Sequence[str], label: str = "label", **override):
     """A registered learner, or the stacking / blending of the registered ones."""
-    if name == "StackingSolution1":
+    if name == "Stacking":
         base = [registered(n, columns, label) for n in ("LightGBM", "CatBoost", "XGBoost", "RandomForest")]
         return Stacking(base, label=label, **override)
     if name == "Blending":
@@ -264,7 +264,8 @@ def run_parallel(tasks: Sequence[Callable], parallelism: int) -> list:
     if parallelism <= 1 or len(tasks) <= 1:
         return [task() for task in tasks]
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(lambda task: inheritable_thread_target(task)(), tasks)
+        session = SparkSession.getActiveSession()
+        return pool.map(lambda task: inheritable_thread_target(session)(task)(), tasks)
 
 
 class EnsembleModel(TableModel):

@@ -7,6 +7,7 @@ from statistics import fmean
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cached
 from .metrics import auc_gini
 from .models import ScoreClassifier, run_parallel
 from .tune import fold_aucs
@@ -36,20 +37,17 @@ def rfe_cv(
     ``size, mean_auc, columns``.
     """
     columns, path = list(estimator.columns), []
-    df = df.persist()
-    try:
+    with cached(df) as frame:
         while True:
             current = estimator.on(columns)
-            path.append((len(columns), mean_auc(df, current, fold), list(columns)))
+            path.append((len(columns), mean_auc(frame, current, fold), list(columns)))
             if len(columns) == 1:
                 break
-            importances = current.fit(df).importances()
+            importances = current.fit(frame).importances()
             drop = max(1, int(step * len(columns)) if isinstance(step, float) else step)
             weakest = sorted(range(len(columns)), key=lambda i: (importances[i], columns[i]))
             gone = set(weakest[: min(drop, len(columns) - 1)])
             columns = [c for i, c in enumerate(columns) if i not in gone]
-    finally:
-        df.unpersist()
     best = max(path, key=lambda p: (p[1], -p[0]))
     return best[2], _path_table(df, path)
 
@@ -102,18 +100,15 @@ def sequential_backward(
     and the path ``size, mean_auc, columns``.
     """
     columns = list(estimator.columns)
-    df = df.persist()
-    try:
-        path = [(len(columns), mean_auc(df, estimator, fold), list(columns))]
+    with cached(df) as frame:
+        path = [(len(columns), mean_auc(frame, estimator, fold), list(columns))]
         while len(columns) > max(1, smallest) and (max_steps is None or len(path) <= max_steps):
             trials = [[c for c in columns if c != gone] for gone in columns]
             scores = run_parallel(
-                [(lambda t=t: mean_auc(df, estimator.on(t), fold)) for t in trials], parallelism
+                [(lambda t=t: mean_auc(frame, estimator.on(t), fold)) for t in trials], parallelism
             )
             best = max(range(len(trials)), key=lambda i: (scores[i], -i))
             columns = trials[best]
             path.append((len(columns), scores[best], list(columns)))
-    finally:
-        df.unpersist()
     chosen = max(path, key=lambda p: (p[1], -p[0]))
     return chosen[2], _path_table(df, path)

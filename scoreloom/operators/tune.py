@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..base import TableEstimator
+from ..functions.missing import quoted
+from ..session import cached
 from .encode import FrequencyEncoder, LabelEncoder, MeanEncoder, OneHotEncoder
 from .metrics import auc_gini
 from .models import ScoreClassifier, ScoreModel, feature_vector, run_parallel
@@ -57,13 +59,10 @@ def fold_aucs(df: DataFrame, estimator: TableEstimator, label: str = "label", fo
 def compare(df: DataFrame, estimators: Mapping[str, TableEstimator], label: str = "label", fold: str = "fold"):
     """Mean and deviation of the fold AUCs per named estimator.  The frame is read once."""
     rows = []
-    df = df.persist()
-    try:
+    with cached(df) as frame:
         for name, estimator in estimators.items():
-            aucs = fold_aucs(df, estimator, label, fold)
+            aucs = fold_aucs(frame, estimator, label, fold)
             rows.append((name, fmean(aucs), pstdev(aucs), len(aucs)))
-    finally:
-        df.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "name string, mean_auc double, std_auc double, folds int"
     )
@@ -193,14 +192,10 @@ def encoder_comparison(
         coded_dev = model.transform(dev)
         added = [c for c in coded.columns if c not in train.columns]
         # Category names may hold dots or quotes; plain names are used from here on.
-        plain = [F.col(f"`{c}`").alias(f"e{i}") for i, c in enumerate(added)]
+        plain = [F.col(quoted(c)).alias(f"e{i}") for i, c in enumerate(added)]
         names = [f"e{i}" for i in range(len(added))]
-        pair = [frame.select(label, *plain).persist() for frame in (coded, coded_dev)]
-        try:
-            best = best_iteration(learning_curve(*pair, names, label, steps, params))
-        finally:
-            for frame in pair:
-                frame.unpersist()
+        with cached(coded.select(label, *plain)) as one, cached(coded_dev.select(label, *plain)) as two:
+            best = best_iteration(learning_curve(one, two, names, label, steps, params))
         rows.append((name, best["train_auc"], best["best_auc"], best["best_iteration"]))
     return train.sparkSession.createDataFrame(
         rows, "encoding string, train_auc double, best_auc double, best_iteration int"

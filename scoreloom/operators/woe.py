@@ -273,7 +273,8 @@ def numeric_edges(
 
 def numeric_bin_table(spark, edges: dict[str, list[float]], cells: dict[str, Cells]) -> DataFrame:
     rows = [row for c in edges for row in bin_rows(c, cells[c], edges[c])]
-    return spark.createDataFrame(rows, BIN_SCHEMA)
+    # A few rows per variable: one partition needs no shuffle for the measures.
+    return spark.createDataFrame(rows, BIN_SCHEMA).coalesce(1)
 
 
 def numeric_woe_table(spark, edges: dict[str, list[float]], cells: dict[str, Cells]) -> DataFrame:

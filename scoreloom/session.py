@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,19 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a frame that is read many times; a cache the caller made is left alone."""
+    if df.is_cached:
+        yield df
+        return
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is configured for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
