@@ -264,7 +264,7 @@ def run_parallel(tasks: Sequence[Callable], parallelism: int) -> list:
     if parallelism <= 1 or len(tasks) <= 1:
         return [task() for task in tasks]
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        session = SparkSession.getActiveSession()
+        session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         return pool.map(lambda task: inheritable_thread_target(session)(task)(), tasks)
 
 
