@@ -33,6 +33,7 @@ LONGEST = 16
 FLUSH_WORDS = 300_000
 KEPT_WORDS = 300_000
 BATCH_WORDS = 20_000
+LONG_WORD = 24
 SMOOTHING = 0.1
 MICRO = 1_000_000
 
@@ -109,28 +110,60 @@ class Unigrams:
         alpha, scale = self._forward(len(word) + 1, arcs, self._weights(arcs))
         return np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
 
+    def _alike(self, words: list[str]) -> tuple[dict[int, list[int]], list[int]]:
+        """Positions of the words by length, and of those that :meth:`word` must take one by one."""
+        by_length, odd, pieces = {}, [], self.lattice.pieces
+        for i, word in enumerate(words):
+            if len(word) > LONG_WORD or not all(c in pieces for c in word):
+                odd.append(i)
+            else:
+                by_length.setdefault(len(word), []).append(i)
+        return by_length, odd
+
+    def _table_arcs(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
+        """Arcs of words of one length: per stretch the piece of every word, ``lattice.size`` where there is none."""
+        get, none, n, out = self.lattice.pieces.get, self.lattice.size, len(words[0]) + 1, []
+        marked = [START + w for w in words]
+        for end in range(1, n + 1):
+            for start in range(max(0, end - LONGEST), end):
+                ids = np.array([get(m[start:end], none) for m in marked])
+                if (ids != none).any():
+                    out.append((start, end, ids))
+        return out
+
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities, words x languages; words of one length are passed together."""
         out = np.zeros((len(words), len(self.p)))
         table = np.concatenate((self.p, np.zeros((len(self.p), 1))), axis=1).T  # the last piece does not exist
-        by_length: dict[int, list[int]] = {}
-        get, none = self.lattice.pieces.get, self.lattice.size
-        for i, word in enumerate(words):
-            if len(word) > 24 or not all(c in self.lattice.pieces for c in word):
-                out[i] = self.word(word)
-            else:
-                by_length.setdefault(len(word), []).append(i)
+        by_length, odd = self._alike(words)
+        for i in odd:
+            out[i] = self.word(words[i])
         for length, rows in by_length.items():
-            marked = [START + words[i] for i in rows]
             alpha = np.zeros((length + 2, len(rows), len(self.p)))
             alpha[0] = 1
-            for end in range(1, length + 2):
-                for start in range(max(0, end - LONGEST), end):
-                    ids = [get(m[start:end], none) for m in marked]
-                    alpha[end] += alpha[start] * table[ids]
+            for start, end, ids in self._table_arcs([words[i] for i in rows]):
+                alpha[end] += alpha[start] * table[ids]
             out[rows] = np.log(np.maximum(alpha[-1], 1e-300))
         return out
 
+    def expected_words(self, language: int, words: list[str], counts: list[int], into: np.ndarray) -> None:
+        """Add the expected use of each piece in all copies of the words of one language."""
+        p, n = np.append(self.p[language], 0.0), np.array(counts, float)
+        by_length, odd = self._alike(words)
+        for i in odd:
+            self.expected(language, words[i], counts[i], into)
+        for length, rows in by_length.items():
+            arcs = self._table_arcs([words[i] for i in rows])
+            alpha, beta = np.zeros((2, length + 2, len(rows)))
+            alpha[0] = beta[-1] = 1
+            for start, end, ids in arcs:
+                alpha[end] += alpha[start] * p[ids]
+            for start, end, ids in reversed(arcs):
+                beta[start] += beta[end] * p[ids]
+            share = n[rows] / alpha[-1]
+            used = [alpha[start] * p[ids] * beta[end] * share for start, end, ids in arcs]
+            into += np.bincount(np.concatenate([a[2] for a in arcs]), np.concatenate(used), len(p))[:-1]
+
     def expected(self, language: int, word: str, n: float, into: np.ndarray) -> None:
         """Add the expected number of times each piece is used in ``n`` copies of a word."""
         arcs = self.lattice.arcs(word)
@@ -164,7 +197,7 @@ class LanguageModel:
         self.languages, self.probabilities, self.path = languages, probabilities, vocabulary_path
 
     @classmethod
-    def fit(cls, docs: DataFrame, vocabulary_path: str | None = None, rounds: int = 3) -> LanguageModel:
+    def fit(cls, docs: DataFrame, vocabulary_path: str | None = None, rounds: int = 2) -> LanguageModel:
         """Learn from rows with a ``lang`` (nulls are left out) and a ``text``; all their words count."""
         path = vocabulary_path or vocabulary("piece_bpe_32k.model")
         counts = store(word_counts(docs.where("lang is not null and text is not null")))
@@ -181,15 +214,23 @@ class LanguageModel:
         languages, probabilities, path = self.languages, self.probabilities, self.path
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unigrams = Unigrams(Lattice(path), probabilities)
+            unigrams, into = Unigrams(Lattice(path), probabilities), np.zeros(probabilities.shape)
             place = {x: i for i, x in enumerate(languages)}
+            waiting: list[tuple[list, list]] = [([], []) for _ in languages]
             for batch in batches:
-                into = np.zeros(probabilities.shape)
                 for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    unigrams.expected(place[lang], word, n, into[place[lang]])
-                rows, pieces = np.nonzero(into)
-                uses = np.rint(into[rows, pieces] * MICRO).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(pieces, pa.int32()), pa.array(uses)], schema=schema)
+                    words, uses = waiting[place[lang]]
+                    words.append(word)
+                    uses.append(n)
+                    if len(words) >= BATCH_WORDS:
+                        unigrams.expected_words(place[lang], words, uses, into[place[lang]])
+                        waiting[place[lang]] = ([], [])
+            for i, (words, uses) in enumerate(waiting):
+                if words:
+                    unigrams.expected_words(i, words, uses, into[i])
+            rows, pieces = np.nonzero(into)
+            uses = np.rint(into[rows, pieces] * MICRO).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(pieces, pa.int32()), pa.array(uses)], schema=schema)
 
         used = counts.select("lang", "word", "n").mapInArrow(run, "language int, piece int, uses long")
         total = np.full(self.probabilities.shape, SMOOTHING)
@@ -197,19 +238,22 @@ class LanguageModel:
             total[row.language, row.piece] += row.uses / MICRO
         return total / total.sum(axis=1, keepdims=True)
 
-    def scores(self, rows: list[list[str]], unigrams: Unigrams, known: dict[str, np.ndarray]) -> list[np.ndarray]:
-        """Log probability per language of texts given as words; ``known`` keeps words between calls."""
+    def scores(self, rows: list[list[str]], unigrams: Unigrams, known: dict[str, int], table: np.ndarray) -> list[np.ndarray]:
+        """Log probability per language of texts given as words; ``known`` and ``table`` keep words between calls."""
         counted = [Counter(words) for words in rows]
+        if len(known) > KEPT_WORDS:
+            known.clear()
         new = list(dict.fromkeys(w for c in counted for w in c if w not in known))
         for at in range(0, len(new), BATCH_WORDS):
-            part = new[at : at + BATCH_WORDS]
-            known.update(zip(part, unigrams.words(part)))
+            part, first = new[at : at + BATCH_WORDS], len(known)
+            if first + len(part) > len(table):
+                table.resize((2 * len(table) + len(part), table.shape[1]), refcheck=False)
+            table[first : first + len(part)] = unigrams.words(part)
+            known.update(zip(part, range(first, first + len(part))))
         out = []
         for c in counted:
-            values = np.array([known[w] for w in c]).reshape(len(c), len(self.languages))
-            out.append(np.fromiter(c.values(), float, len(c)) @ values)
-        if len(known) > KEPT_WORDS:
-            known.clear()
+            spots = np.fromiter(map(known.__getitem__, c), np.int64, len(c))
+            out.append(np.fromiter(c.values(), float, len(c)) @ table[spots])
         return out
 
     def predict(self, docs: DataFrame) -> DataFrame:
@@ -222,12 +266,13 @@ class LanguageModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unigrams, known = Unigrams(Lattice(model.path), model.probabilities), {}
+            table = np.zeros((BATCH_WORDS, len(model.languages)))
             for batch in batches:
                 ids, bodies = (c.to_pylist() for c in batch.columns)
                 for at in range(0, len(ids), 500):
                     rows = [words_of(t) for t in bodies[at : at + 500]]
                     found, scores = [], []
-                    for words, s in zip(rows, model.scores(rows, unigrams, known)):
+                    for words, s in zip(rows, model.scores(rows, unigrams, known, table)):
                         if not words or not model.languages:
                             found.append("und")
                             scores.append(0.0)
