@@ -7,12 +7,15 @@
 2. Texts with equal words are one node from here on, however many rows they have.
 3. Four registers make a band.  With 32 bands a pair at similarity 0.85 misses all of them with probability
    6e-11, at 0.80 with 5e-8.
-4. Nodes that share a band are compared with one pivot of the band: first the one with the smallest id, then
-   another.  Only the nodes of a band that are still in different components are then compared with
-   each other, in blocks, so that a large group of copies never gives all its pairs.
-5. A comparison first estimates the similarity from all registers, less the matches expected by chance; pairs
-   that come within six standard deviations of the threshold are confirmed on the full shingle sets.
-6. Confirmed links make components.
+4. Nodes that share a band are likely copies if the similarity estimated from all registers, less the matches
+   expected by chance, comes within six standard deviations of the threshold.  Each band is compared with
+   one pivot first; only bands whose nodes are then still apart are compared in blocks, and a block
+   reports no more pairs than it takes to join its nodes.  Nodes joined this way are a group: it
+   holds both ends of every link, and copies of one text never give all their pairs.
+5. Inside a group the full shingle sets decide: a block of at most 2 * BLOCK texts becomes a 0/1 matrix of texts by
+   shingles, whose product with itself gives all intersections at once.  Again a block reports only links that
+   join what was apart.  Blocks of one hash part come first, pairs of parts only where a large group is not yet one component.
+6. Links make components.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from .components import connected_components
 
 REGISTERS, BUCKET_BITS, ROWS, BANDS = 128, 7, 4, 32
 MANTISSA = 10
-BLOCK = 256
+BLOCK = 512
+WIDTH = 4096
 PRIME = np.uint64(0x9E3779B185EBCA87)
 _BORROW = np.random.RandomState(7).randint(0, REGISTERS, (REGISTERS, 4096))
 
@@ -134,85 +138,114 @@ def _likely(pairs: DataFrame, nodes: DataFrame, cutoff: float) -> DataFrame:
     return map_batches(pairs.join(sides[0], "a").join(sides[1], "b"), work, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on their full shingle sets."""
-    sides = [bodies.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
+def _joining(linked: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of the pairs set in a matrix, those that join nodes whose labels differ, until none is left."""
+    labels = labels.copy()
+    for i in range(len(labels)):
+        for j in np.flatnonzero(linked[i]):
+            if labels[j] != labels[i]:
+                yield i, int(j)
+                labels[labels == labels[j]] = labels[i]
 
-    def work(columns: dict[str, list]) -> Iterator[dict[str, list]]:
-        out: dict[str, list] = {"a": [], "b": []}
-        last, left = None, set()
-        for a, b, text_a, text_b in zip(columns["a"], columns["b"], columns["text_a"], columns["text_b"]):
-            if a != last:
-                last, left = a, shingles(words_of(text_a), size)
-            right = shingles(words_of(text_b), size)
-            common = len(left & right)
-            if 100 * common >= percent * (len(left) + len(right) - common):
-                out["a"].append(a)
-                out["b"].append(b)
-        yield out
-
-    rows = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "text_a", "text_b")
-    return map_batches(rows, work, "a binary, b binary")
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the bands that still hold several components, with their component."""
-    parts = connected_components(links).withColumnRenamed("node", "key")
-    rows = members.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    ends = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    return rows.join(ends.where("lo <> hi").select("band", "n"), "band")
-
-
-def _pivoted(members: DataFrame, rank) -> DataFrame:
-    """Pairs of each band's lowest-ranked member with every member of another component."""
-    ranked = members.withColumn("rank", rank)
-    pivots = ranked.groupBy("band").agg(F.min(F.struct("rank", "key", "component")).alias("p"))
-    rows = ranked.join(pivots, "band").where("component <> p.component")
-    return _ordered(rows.select(F.col("p.key").alias("a"), F.col("key").alias("b")))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def _by_group(rows: DataFrame, compare, keys: int) -> DataFrame:
+    """Pairs from ``compare`` over each run of rows with equal first ``keys`` columns; the rows are dealt and sorted by these."""
+    names = rows.columns[:keys]
+    schema = to_arrow(rows.sparkSession, "a binary, b binary")
 
-def _blocked(members: DataFrame, nodes: DataFrame, cutoff: float) -> DataFrame:
-    """Likely pairs of different components inside each band, compared in blocks of bounded size."""
-    rows = members.join(nodes.select("key", "regs"), "key")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "component", "regs")
-    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    schema = to_arrow(members.sparkSession, "a binary, b binary")
-
-    def compare(group: list[tuple]) -> dict[str, list]:
-        out: dict[str, list] = {"a": [], "b": []}
-        if len(group) > 1:
-            lo, hi = group[0][1], group[0][2]
-            regs = np.array([g[6] for g in group], np.int64).view(np.uint16)
-            parts = np.unique([g[5] for g in group], return_inverse=True)[1]
-            own = np.array([g[3] for g in group])
-            for i in range(len(group) - 1):
-                fit = (estimate(regs[i], regs[i + 1 :]) >= cutoff) & (parts[i + 1 :] != parts[i])
-                if lo != hi:
-                    fit &= own[i + 1 :] != own[i]
-                for j in np.flatnonzero(fit) + i + 1:
-                    out["a"].append(group[i][4])
-                    out["b"].append(group[j][4])
-        return out
+    def batch_of(group: list[tuple]) -> pa.RecordBatch:
+        pairs = list(compare(group)) if len(group) > 1 else []
+        return pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[0][:3] != row[:3]:
-                    yield pa.RecordBatch.from_pydict(compare(group), schema=schema)
+                if group and group[0][:keys] != row[:keys]:
+                    yield batch_of(group)
                     group = []
                 group.append(row)
         if group:
-            yield pa.RecordBatch.from_pydict(compare(group), schema=schema)
+            yield batch_of(group)
+
+    dealt = rows.repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def _in_blocks(rows: DataFrame, of: str, size: str, other) -> DataFrame:
+    """Deals the ``size`` rows of each ``of`` into parts by a hash of the key and pairs the parts as ``other`` says."""
+    rows = rows.withColumn("parts", F.ceil(F.col(size) / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", other)
+    return rows.select(of, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "label", *(c for c in ("regs", "text") if c in rows.columns))
+
 
-    return _ordered(rows.mapInArrow(run, "a binary, b binary"))
+def _apart(rows: DataFrame, links: DataFrame, of: str) -> DataFrame:
+    """The rows of every ``of`` whose keys are in several components, with ``label`` (component) and ``n`` (rows)."""
+    parts = connected_components(links).withColumnsRenamed({"node": "key", "component": "label"})
+    rows = rows.drop("label").join(parts, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    ends = rows.groupBy(of).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    return rows.drop("n").join(ends.where("lo <> hi").select(of, "n"), of)
+
+
+def _to_pivot(members: DataFrame) -> DataFrame:
+    """Pairs of each band's member with the smallest id and every other."""
+    ranked = members.withColumn("rank", F.coalesce("first_id", F.lit(2**63 - 1)))
+    pivots = ranked.groupBy("band").agg(F.min(F.struct("rank", "key")).alias("p"))
+    pairs = ranked.join(pivots, "band").where("key <> p.key").select(F.col("p.key").alias("a"), F.col("key").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _likely_joins(members: DataFrame, nodes: DataFrame, cutoff: float) -> DataFrame:
+    """Likely pairs that join what is apart in a band."""
+
+    def compare(group: list[tuple]) -> Iterator[tuple]:
+        labels = np.unique([g[5] for g in group], return_inverse=True)[1]
+        if labels.max():
+            own = np.array([g[3] for g in group])
+            regs = np.array([g[6] for g in group], np.int64).view(np.uint16)
+            linked = np.stack([estimate(r, regs) >= cutoff for r in regs])
+            if group[0][1] != group[0][2]:
+                linked &= own[:, None] != own
+            yield from ((group[i][4], group[j][4]) for i, j in _joining(linked, labels))
+
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
+    return _by_group(_in_blocks(members.join(nodes.select("key", "regs"), "key"), "band", "n", every), compare, 3).distinct()
+
+
+def _links(bodies: DataFrame, size: int, percent: int, other) -> DataFrame:
+    """Links with 100 * intersection >= percent * union on full shingle sets that join what is apart in a group."""
+
+    def compare(group: list[tuple]) -> Iterator[tuple]:
+        labels = np.unique([g[5] for g in group], return_inverse=True)[1]
+        if labels.max():
+            sets = [shingle_hashes(words_of(g[6]), size) for g in group]
+            sizes = np.array([len(x) for x in sets])
+            common = intersections(sets)
+            linked = 100 * common >= percent * (sizes[:, None] + sizes - common)
+            if group[0][1] != group[0][2]:
+                own = np.array([g[3] for g in group])
+                linked &= own[:, None] != own
+            yield from ((group[i][4], group[j][4]) for i, j in _joining(linked, labels))
+
+    return _by_group(_in_blocks(bodies, "group", "n", other), compare, 3)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of hash sets, by products of 0/1 matrices of bounded width."""
+    columns, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(place, kind="stable")
+    rows, place = rows[order], place[order]
+    out = np.zeros((len(sets), len(sets)))
+    edges = np.searchsorted(place, np.arange(0, len(columns) + WIDTH, WIDTH))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        part = np.zeros((len(sets), WIDTH), np.float32)
+        part[rows[a:b], place[a:b] - k * WIDTH] = 1
+        part = part[:, part.sum(0) > 1]
+        out += part @ part.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out.astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tie: str | None = None) -> DataFrame:
@@ -234,21 +267,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tie: str
     bands = bands.select(F.xxhash64("j", "v").alias("band"), "key", "first_id")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = store(bands.join(shared, "band"))
-    spots = nodes.join(members.select("key").distinct(), "key").select("key", "spot.doc_id", "spot.tie")
-    spots = spots.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    bodies = texts(docs, F.xxhash64("text").alias("tie")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    bodies = store(bodies.join(spots, ["doc_id", "tie"]).select("key", "text").dropDuplicates(["key"]))
-
-    alone = members.withColumn("component", F.col("key"))
-    pairs = _likely(_pivoted(alone, F.coalesce("first_id", F.lit(2**63 - 1))), nodes, cutoff)
-    links = store(_confirmed(pairs, bodies, size, percent))
-    for last in (False, True):
-        still = store(_labelled(members, links))
-        if last:
-            pairs = _blocked(still, nodes, cutoff)
-        else:
-            pairs = _likely(_pivoted(still, F.xxhash64("key", "band")), nodes, cutoff)
-        links = store(links.union(_confirmed(pairs, bodies, size, percent)))
+    likely = store(_likely(_to_pivot(members), nodes, cutoff))
+    still = store(_apart(members, likely, "band"))
+    likely = likely.union(_likely_joins(still, nodes, cutoff))
+    groups = store(connected_components(likely).withColumnsRenamed({"node": "key", "component": "group"}))
+
+    null = F.lit(-(2**63))
+    spots = nodes.join(groups, "key").select("key", "group", F.coalesce("spot.doc_id", null).alias("doc_id"), "spot.tie")
+    spots = spots.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
+    bodies = texts(docs, F.xxhash64("text").alias("tie")).withColumn("doc_id", F.coalesce("doc_id", null))
+    bodies = bodies.join(spots, ["doc_id", "tie"]).select("key", "group", "n", "text", F.col("key").alias("label"))
+    bodies = store(bodies.dropDuplicates(["key"]))
+    links = store(_links(bodies, size, percent, F.col("own")))
+    if not (large := bodies.where(F.col("n") > BLOCK)).isEmpty():
+        large = store(_apart(large, links, "group"))
+        others = F.explode(F.expr("filter(sequence(0, parts - 1), x -> x <> own)"))
+        links = store(links.union(_links(large, size, percent, others)))
 
     parts = connected_components(links)
     members = parts.join(nodes.select(F.col("key").alias("node"), "first_id"), "node")
