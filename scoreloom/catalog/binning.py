@@ -277,14 +277,13 @@ def category_label_counts(spark, sf):
     "scatter_sample",
     with_loans(
         " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, id, {c} AS value, label FROM loans "
-            "WHERE CAST('0x' || substr(md5('0|' || id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1"
+            f"SELECT '{c}' AS feature, id, {c} AS value, label FROM loans"
             for c in NUMERIC
         )
     ),
 )
 def scatter_sample(spark, sf):
-    return profile.scatter_rows(loans(spark, sf), NUMERIC, "id", "label", fraction=0.1)
+    return profile.scatter_rows(loans(spark, sf), NUMERIC, "id", "label")
 
 
 LINE_COLUMNS = [

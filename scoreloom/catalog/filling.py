@@ -65,7 +65,7 @@ def closest_fit(spark, sf):
     return closest.closest_fit(df, _NAMES, "id")
 
 
-def vectors(spark, sf, size: int = 8):
+def vectors(spark, sf, size: int = 64):
     df = table(spark, sf, "embeddings")
     return df.select(
         F.col("vec_id").alias("id"),
@@ -74,7 +74,7 @@ def vectors(spark, sf, size: int = 8):
     )
 
 
-VECTOR_NAMES = [f"x{i}" for i in range(8)]
+VECTOR_NAMES = [f"x{i}" for i in range(64)]
 
 
 def holey(spark, sf):
@@ -108,7 +108,7 @@ def bpca_reconstruct(spark, sf):
 @query("bpca_impute")
 def bpca_impute(spark, sf):
     df = holey(spark, sf)
-    return bpca.BPCAImputer(HOLEY_NAMES, epochs=5).fit(df).transform(df)
+    return bpca.BPCAImputer(HOLEY_NAMES, epochs=10).fit(df).transform(df)
 
 
 @query("pca_variance")
@@ -120,22 +120,22 @@ def pca_variance(spark, sf):
 @query("kmeans_features")
 def kmeans_features(spark, sf):
     df = vectors(spark, sf)
-    model = features.KMeansFeaturizer(VECTOR_NAMES, k=10, target="label", max_iter=10).fit(df)
+    model = features.KMeansFeaturizer(VECTOR_NAMES, k=10, target="label", seeds=20, max_iter=10).fit(df)
     return model.transform(df).select("id", "cluster_distance")
 
 
-_CENTERS = [[0.0] * 8, [0.1] * 8, [(-1) ** i * 0.2 for i in range(8)]]
+_CENTERS = [[0.0] * 64, [0.1] * 64, [(-1) ** i * 0.2 for i in range(64)]]
 
 
 @query(
     "centroid_distance",
     "SELECT id, "
     + ", ".join(
-        "round(sqrt(" + " + ".join(f"pow(x{i} - ({c[i]!r}), 2)" for i in range(8)) + f"), 6) AS d{k}"
+        "round(sqrt(" + " + ".join(f"pow(x{i} - ({c[i]!r}), 2)" for i in range(64)) + f"), 6) AS d{k}"
         for k, c in enumerate(_CENTERS)
     )
     + " FROM (SELECT vec_id AS id, "
-    + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(8))
+    + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(64))
     + " FROM embeddings)",
 )
 def centroid_distance(spark, sf):

@@ -16,7 +16,7 @@ def numeric_pair(spark, sf):
     return tuple(d.select("id", "label", *FEATURES) for d in loan_pair(spark, sf))
 
 
-def folded(spark, sf, folds: int = 3):
+def folded(spark, sf, folds: int = 5):
     df = loans(spark, sf).select("id", "label", *FEATURES)
     return split.stratified_fold(df, "id", "label", folds)
 
@@ -33,7 +33,7 @@ def _scored(spark, sf, estimator):
 
 @query("model_logreg")
 def model_logreg(spark, sf):
-    return _scored(spark, sf, models.registered("LogisticRegression", FEATURES, max_iter=20))
+    return _scored(spark, sf, models.registered("LogisticRegression", FEATURES, max_iter=100))
 
 
 @query("model_rf")
@@ -76,7 +76,7 @@ def scaled_fit_score(spark, sf):
 @query("batch_score")
 def batch_score(spark, sf):
     train, test = numeric_pair(spark, sf)
-    model = models.registered("LogisticRegression", FEATURES, max_iter=20).fit(train)
+    model = models.registered("LogisticRegression", FEATURES, max_iter=100).fit(train)
     return model.transform(test).select("id", "score", "predicted")
 
 
@@ -88,7 +88,7 @@ def model_stacking(spark, sf):
         learner("xgboost", n_estimators=2, max_depth=3),
         learner("random_forest", n_estimators=3, max_depth=4, class_weight="balanced"),
     ]
-    return _scored(spark, sf, models.Stacking(base, folds=3))
+    return _scored(spark, sf, models.Stacking(base, folds=5))
 
 
 @query("model_blending")

@@ -207,20 +207,21 @@ class OneHotModel(TableModel):
 
 
 class OneHotEncoder(TableEstimator):
-    """One-hot with sorted category names; unseen categories give all zeros.
+    """One-hot encoding; unseen categories give all zeros.
 
-    Variables with together more than ``max_columns`` categories become sparse vectors (in
-    first-appearance order) instead of columns, so any cardinality is handled.
+    ``output="columns"`` makes a column per category, named after it and sorted; ``"vector"`` makes one
+    sparse vector per variable in first-appearance order, for any cardinality.  The data never decide.
     """
 
-    def __init__(self, columns: Sequence[str], id_col: str, max_columns: int = 1000):
+    def __init__(self, columns: Sequence[str], id_col: str, output: str = "columns"):
         super().__init__()
-        self.columns, self.id_col, self.max_columns = list(columns), id_col, max_columns
+        if output not in ("columns", "vector"):
+            raise ValueError("output is 'columns' or 'vector'")
+        self.columns, self.id_col, self.output = list(columns), id_col, output
 
     def _fit(self, df: DataFrame) -> OneHotModel:
-        distinct = long_categories(df, self.columns, []).distinct()
-        head = distinct.limit(self.max_columns + 1).collect()
-        if len(head) <= self.max_columns:
+        if self.output == "columns":
+            head = long_categories(df, self.columns, []).distinct().collect()  # one row per output column
             found = {c: sorted(r["value"] for r in head if r["varname"] == c) for c in self.columns}
             return OneHotModel({"categories": found})
         labels = LabelEncoder(self.columns, self.id_col).fit(df)

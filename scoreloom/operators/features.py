@@ -137,7 +137,7 @@ class KMeansFeaturizer(TableEstimator):
         k: int = 100,
         target: str | None = None,
         target_scale: float = 2.0,
-        seeds: int = 3,
+        seeds: int = 20,
         max_iter: int = 20,
         seed: int = 0,
         out: str = "cluster_distance",

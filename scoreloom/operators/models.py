@@ -79,7 +79,7 @@ TRANSLATIONS = {
         "max_iter": "maxIter",
         "l1_ratio": "elasticNetParam",
     },
-    "neural_network": {"epochs": "maxIter", "batch_size": "blockSize", "tol": "tol"},
+    "neural_network": {"epochs": "maxIter", "tol": "tol"},
 }
 BOOSTED = {"lightgbm", "xgboost", "catboost", "ngboost"}
 # Parameters that act on the training frame instead of the Spark estimator.
@@ -182,6 +182,8 @@ class ScoreClassifier(TableEstimator):
 
     def _fit(self, df: DataFrame) -> ScoreModel:
         known = df.filter(F.col(self.label).isNotNull())
+        if missing := df.filter(F.col(self.label).isNull()).count():
+            raise ValueError(f"{missing} rows have no {self.label}; filter them before training")
         ranges = MinMaxScaler(self.columns).fit(known).info["ranges"] if self.scale else None
         sizes = {}
         if self.kind == "logistic_regression" or "class_weight" in self.settings:
@@ -239,7 +241,7 @@ REGISTRY = {
     "XGBoost": ("xgboost", {"n_estimators": 1, "max_depth": 10, "learning_rate": 0.01, "max_bin": 127,
                             "subsample": 1.0, "colsample_bylevel": 1.0, "scale_pos_weight": 60.7}),
     "NGBoost": ("ngboost", {"n_estimators": 1, "learning_rate": 0.01, "minibatch_frac": 0.68}),
-    "NeuralNetwork": ("neural_network", {"hidden": [16], "epochs": 10, "batch_size": 32}),
+    "NeuralNetwork": ("neural_network", {"hidden": [16], "epochs": 10}),
     "RandomForest": ("random_forest", {"n_estimators": 1, "criterion": "gini", "max_depth": 20,
                                        "min_samples_leaf": 10, "class_weight": "balanced"}),
     "LogisticRegression": ("logistic_regression", {"C": 0.5, "tol": 1e-4, "fit_intercept": True,

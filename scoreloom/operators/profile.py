@@ -155,30 +155,42 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "i string, j string, r double")
 
 
+def _claimed(strong: np.ndarray) -> np.ndarray:
+    """Which column claims which: its strong partners, save those that have claimed partners themselves.
+
+    Columns claim in order, so a column can only be spared by one before it.
+    """
+    claims = strong & ~np.eye(len(strong), dtype=bool)
+    for i in range(len(claims)):
+        claims[i] &= ~_heads(claims, i)
+    return claims
+
+
+def _heads(claims: np.ndarray, before: int) -> np.ndarray:
+    """Mask of the columns ahead of ``before`` that have claimed any partner."""
+    heads = np.zeros(len(claims), dtype=bool)
+    heads[:before] = claims[:before].any(axis=1)
+    return heads
+
+
 def high_corr(matrix: pd.DataFrame, threshold: float = 0.8) -> dict[str, list[str]]:
-    """Partners of each column with correlation >= threshold, greedily in column order.
+    """Partners of each column with correlation >= threshold.
 
     A column that already has partners of its own is not listed as another's partner.
     """
-    partners: dict[str, list[str]] = {c: [] for c in matrix.columns}
-    for a in matrix.columns:
-        strong = matrix.columns[(matrix.loc[a] >= threshold).to_numpy()]
-        for b in strong:
-            if b != a and not partners[b]:
-                partners[a].append(b)
-    return partners
+    claims = _claimed(matrix.to_numpy() >= threshold)
+    return {c: list(matrix.columns[row]) for c, row in zip(matrix.columns, claims)}
 
 
 def columns_to_drop(matrix: pd.DataFrame, threshold: float = 0.8) -> list[str]:
-    """Repeatedly remove the column with most partners (first on ties) until none has any."""
-    dropped: list[str] = []
-    while True:
-        partners = high_corr(matrix, threshold)
-        worst = max(partners, key=lambda c: len(partners[c]), default=None)
-        if worst is None or not partners[worst]:
-            return dropped
-        dropped.append(worst)
-        matrix = matrix.drop(index=worst, columns=worst)
+    """Drop the column with most partners, the first on ties, as long as any column has one."""
+    strong = matrix.to_numpy() >= threshold
+    alive, dropped = np.ones(len(strong), dtype=bool), []
+    while (load := _claimed(strong & alive & alive[:, None]).sum(axis=1)).any():
+        worst = int(load.argmax())
+        alive[worst] = False
+        dropped.append(matrix.columns[worst])
+    return dropped
 
 
 def drop_high_corr(df: DataFrame, columns: Sequence[str], threshold: float = 0.8) -> DropColumnsModel:

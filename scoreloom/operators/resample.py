@@ -46,6 +46,9 @@ def smote(
     if sizes[minority] < 2:
         raise ValueError("oversampling needs at least two rows of the smaller class")
     base = real.filter(F.col(label) == minority)
+    gaps = base.agg(*[F.count(F.when(F.col(f"`{c}`").isNull() | F.isnan(f"`{c}`"), 1)).alias(c) for c in columns]).first()
+    if empty := [c for c in columns if gaps[c]]:
+        raise ValueError(f"oversampling needs complete rows; impute {', '.join(empty)} first")
 
     key = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in columns])
     points = materialize(

@@ -177,14 +177,17 @@ def encoder_comparison(
     params: Mapping | None = None,
 ) -> DataFrame:
     """Learning curves of eight encodings of the same columns, best point of each."""
+    # The compared settings and their names.
     settings = {
         "One hot encoding": OneHotEncoder(columns, id_col),
         "Label encoding": LabelEncoder(columns, id_col),
         "Frequency encoding": FrequencyEncoder(columns),
+        "Mean encoding, alpha=0": MeanEncoder(columns, label, 0, None, id_col),
+        "Mean encoding, alpha=2": MeanEncoder(columns, label, 2, None, id_col),
+        "Mean encoding, alpha=5": MeanEncoder(columns, label, 5, None, id_col),
+        "Mean encoding, alpha=5, 3 folds": MeanEncoder(columns, label, 5, 3, id_col),
+        "Mean encoding, alpha=5, 5 folds": MeanEncoder(columns, label, 5, 5, id_col),
     }
-    for alpha, folds in ((0, None), (2, None), (5, None), (5, 3), (5, 5)):
-        name = f"Mean encoding, alpha={alpha}" + (f", {folds} folds" if folds else "")
-        settings[name] = MeanEncoder(columns, label, alpha, folds, id_col)
     rows = []
     for name, encoder in settings.items():
         model = encoder.fit(train)

@@ -6,23 +6,17 @@ from ..functions.values import WORDED_COUNTS
 from .recipe import CleaningSpec
 
 
-def _names(*parts) -> list[str]:
-    """Column numbers and ranges as names."""
-    out: list[str] = []
-    for p in parts:
-        out += [str(i) for i in p] if isinstance(p, range) else [str(p)]
-    return out
-
-
 # Which numbered columns get which treatment.
 PLACES = ["province", "district", "maCv"]
-UNKNOWN = _names(8, 9, 10, 13, range(17, 21), range(23, 32), range(35, 40), range(41, 45))
-MEAN_ENCODED = PLACES + _names(
-    range(8, 11), 13, range(17, 21), range(23, 32), range(36, 40), range(41, 46), range(47, 50)
-)
-NUMBERS = _names(11, 45, range(54, 58))
-BOOLEAN = _names(1, 2, 12, 14, 15, range(18, 21), 23, range(25, 35), range(36, 39), range(46, 50))
-NUMERIC = _names(range(3, 7), 11, 16, 21, 22, 45, range(50, 58)) + ["age_source1", "age_source2"]
+UNKNOWN = [
+    "8", "9", "10", "13", "17", "18", "19", "20", "23", "24", "25", "26", "27", "28", "29", "30", "31", "35", "36", "37", "38", "39",
+    "41", "42", "43", "44",
+]
+MEAN_ENCODED = [
+    "province", "district", "maCv", "8", "9", "10", "13", "17", "18", "19", "20", "23", "24", "25", "26", "27", "28", "29", "30", "31",
+    "36", "37", "38", "39", "41", "42", "43", "44", "45", "47", "48", "49",
+]
+NUMBERS = ["11", "45", "54", "55", "56", "57"]
 
 
 def credit_spec() -> CleaningSpec:

@@ -20,7 +20,7 @@ from ..operators.impute import hot_deck_fill
 from ..operators.lookup import attach, estimated_bytes
 from ..operators.missing import DropByMissingRate, DropConstant
 from ..operators.profile import drop_high_corr
-from ..operators.woe import TreeWoeBinner, var_filter
+from ..operators.woe import TreeWoeBinner, WoeModel, var_filter
 from ..session import materialize
 
 
@@ -40,7 +40,7 @@ class CleaningSpec:
     lower: Sequence[str] = ()
     known_only: Sequence[str] = ()
     lists: Sequence[str] = ()
-    max_list_elements: int = 1000
+    list_elements: Mapping[str, Sequence[str]] = field(default_factory=dict)
     composites: Mapping[str, Sequence[str]] = field(default_factory=dict)
     ordinals: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
     mean_encoded: Sequence[str] = ()
@@ -177,10 +177,9 @@ class CleaningRecipe(TableEstimator):
                 if self.other is not None:
                     theirs = model._categorical(model._indicators(model._raw(self.other)))
                     found = found.intersect(theirs.select(F.explode(F.col(f"`{c}`")).alias("e")))
-                head = [r["e"] for r in found.limit(spec.max_list_elements + 1).collect()]
-                if len(head) > spec.max_list_elements:
-                    raise ValueError(f"{c}: more than {spec.max_list_elements} list elements")
-                model.info["elements"][c] = sorted(head)
+                # Every element becomes a column; name them in list_elements to have only some.
+                given = spec.list_elements.get(c)
+                model.info["elements"][c] = sorted(given if given is not None else (r["e"] for r in found.collect()))
         prepared = model._prepare(train)
         encoded = [c for c in spec.mean_encoded if c in prepared.columns]
         if encoded:
@@ -204,6 +203,19 @@ class ExtractionModel(TableModel):
         super().__init__(info)
         self.binner, self.train_woe = binner, train_woe
 
+    def save(self, path: str) -> None:
+        """Bins, training cells and settings; ``load`` reads all of them."""
+        self.tables = {"train_woe": self.train_woe}
+        super().save(path)
+        if self.info["columns"]:
+            self.binner.save(f"{path}/binner")
+
+    @classmethod
+    def load(cls, path: str) -> ExtractionModel:
+        saved = _Identity.load(path)
+        binner = WoeModel.load(f"{path}/binner") if saved.info["columns"] else _Identity()
+        return cls(binner, saved.tables["train_woe"], saved.info)
+
     def transform_train(self, df: DataFrame) -> DataFrame:
         return self.binner.transform(df)
 

@@ -25,6 +25,9 @@ def get_session(app_name: str = "scoreloom", cores: int | None = None) -> SparkS
         # Recording the Python call site of every expression is costly on wide frames.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if home not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # Python workers of a local session inherit it
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (home, os.environ.get("PYTHONPATH"))))
     if cores:
         builder = (
             builder.master(f"local[{cores}]")

@@ -61,7 +61,7 @@ def test_one_hot_columns_and_vectors(train, test):
     wide = encode.OneHotEncoder(["c"], "id").fit(train).transform(test).orderBy("id").toPandas()
     names = [f"c_ohe_{v}" for v in ("a", "b", "c", "lonely", "none")]
     assert wide[names].to_numpy().tolist() == [[1, 0, 0, 0, 0], [0] * 5, [0, 0, 0, 0, 1], [0, 0, 0, 1, 0]]
-    narrow = encode.OneHotEncoder(["c"], "id", max_columns=2).fit(train).transform(test).orderBy("id").collect()
+    narrow = encode.OneHotEncoder(["c"], "id", output="vector").fit(train).transform(test).orderBy("id").collect()
     assert [r["c_ohe"].toArray().tolist() for r in narrow] == [
         [0, 1, 0, 0, 0], [0] * 5, [0, 0, 1, 0, 0], [0, 0, 0, 0, 1],
     ]
