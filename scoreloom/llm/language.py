@@ -13,6 +13,7 @@ the order of tasks.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -265,8 +266,7 @@ class LanguageModel:
         model = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unigrams, known = Unigrams(Lattice(model.path), model.probabilities), {}
-            table = np.zeros((BATCH_WORDS, len(model.languages)))
+            unigrams, known, table = _scorer(model)
             for batch in batches:
                 ids, bodies = (c.to_pylist() for c in batch.columns)
                 for at in range(0, len(ids), 500):
@@ -285,6 +285,18 @@ class LanguageModel:
         return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+_SCORERS: dict[str, tuple] = {}
+
+
+def _scorer(model: LanguageModel) -> tuple[Unigrams, dict[str, int], np.ndarray]:
+    """Lattice and known words of the model a worker process uses, kept from task to task; the last model only."""
+    name = hashlib.md5(model.probabilities.tobytes()).hexdigest()
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = (Unigrams(Lattice(model.path), model.probabilities), {}, np.zeros((BATCH_WORDS, len(model.languages))))
+    return _SCORERS[name]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(lang, word, n)`` over all rows; a task adds up what it has read before anything is shuffled."""
     schema = to_arrow(docs.sparkSession, "lang string, word string, n long")
