@@ -1,12 +1,18 @@
-"""Connected components of a link table by alternating stars."""
+"""Connected components of a link table: alternating stars, or one task where the table is measured to be small."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.session import store
 
+#: Links, after duplicates have gone, up to which one task joins them all; it then holds some 50 MB at most.
+AT_ONCE = 200_000
+
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every edge already runs from a node of its own to a root that starts no edge."""
@@ -30,14 +36,47 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """The components by union-find."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+        arrow = None
+
+        def root(x):
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                above.setdefault(a, a)
+                above.setdefault(b, b)
+                a, b = root(a), root(b)
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+        nodes = list(above)
+        for at in range(0, len(nodes), 10_000):
+            part = nodes[at : at + 10_000]
+            columns = [pa.array(part, arrow), pa.array([root(x) for x in part], arrow)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def connected_components(links: DataFrame, rounds: int = 60, at_once: int = AT_ONCE) -> DataFrame:
     """``(node, component)`` of every node that a link (columns ``a``, ``b``, comparable values) names.
 
-    The component is its smallest node.  Each round at least halves paths; every round is written to the shared
-    folder, so a lost executor costs one round at most.
+    The component is its smallest node.  The distinct links are written and counted.  Up to ``at_once`` of them are
+    joined in one task.  Beyond that each round of stars at least halves paths and is written to the shared folder, so a
+    lost executor costs one round at most.  Both ways give the same rows.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = store(edges)
+    if edges.count() <= at_once:
+        return store(_in_one_task(edges))
     for _ in range(rounds):
         if _settled(edges):
             break
@@ -45,4 +84,4 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    return store(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots))

@@ -135,14 +135,17 @@ def _likely(pairs: DataFrame, nodes: DataFrame, cutoff: float) -> DataFrame:
         good = np.flatnonzero(estimate(left, right) >= cutoff)
         yield {s: [columns[s][i] for i in good] for s in "ab"}
 
-    return map_batches(pairs.join(sides[0], "a").join(sides[1], "b"), work, "a binary, b binary")
+    return map_batches(pairs.join(sides[1], "b").join(sides[0], "a"), work, "a binary, b binary")
 
 
-def _joining(linked: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Of the pairs set in a matrix, those that join nodes whose labels differ, until none is left."""
+def _joining(linked: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Of the pairs set in a matrix, those that join nodes whose labels differ, until none is left.
+
+    ``rows`` names the matrix's rows where it does not have all.
+    """
     labels = labels.copy()
-    for i in range(len(labels)):
-        for j in np.flatnonzero(linked[i]):
+    for at, i in enumerate(range(len(labels)) if rows is None else rows.tolist()):
+        for j in np.flatnonzero(linked[at]):
             if labels[j] != labels[i]:
                 yield i, int(j)
                 labels[labels == labels[j]] = labels[i]
@@ -189,11 +192,9 @@ def _apart(rows: DataFrame, links: DataFrame, of: str) -> DataFrame:
 
 
 def _to_pivot(members: DataFrame) -> DataFrame:
-    """Pairs of each band's member with the smallest id and every other."""
-    ranked = members.withColumn("rank", F.coalesce("first_id", F.lit(2**63 - 1)))
-    pivots = ranked.groupBy("band").agg(F.min(F.struct("rank", "key")).alias("p"))
-    pairs = ranked.join(pivots, "band").where("key <> p.key").select(F.col("p.key").alias("a"), F.col("key").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs of each band's pivot and every other member, dealt by the latter, which is in no more than BANDS of them."""
+    pairs = members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    return pairs.repartition("b").distinct()
 
 
 def _likely_joins(members: DataFrame, nodes: DataFrame, cutoff: float) -> DataFrame:
@@ -204,10 +205,11 @@ def _likely_joins(members: DataFrame, nodes: DataFrame, cutoff: float) -> DataFr
         if labels.max():
             own = np.array([g[3] for g in group])
             regs = np.array([g[6] for g in group], np.int64).view(np.uint16)
-            linked = np.stack([estimate(r, regs) >= cutoff for r in regs])
+            few = np.flatnonzero(labels != np.bincount(labels).argmax())  # every pair of unequal labels has an end here
+            linked = np.stack([estimate(r, regs) >= cutoff for r in regs[few]])
             if group[0][1] != group[0][2]:
-                linked &= own[:, None] != own
-            yield from ((group[i][4], group[j][4]) for i, j in _joining(linked, labels))
+                linked &= own[few, None] != own
+            yield from ((group[i][4], group[j][4]) for i, j in _joining(linked, labels, few))
 
     every = F.explode(F.expr("sequence(0, parts - 1)"))
     return _by_group(_in_blocks(members.join(nodes.select("key", "regs"), "key"), "band", "n", every), compare, 3).distinct()
@@ -264,13 +266,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, tie: str
         .agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "tie")).alias("spot"), F.first("regs").alias("regs"))
     )
     bands = nodes.select("key", "first_id", F.posexplode("regs").alias("j", "v"))
-    bands = bands.select(F.xxhash64("j", "v").alias("band"), "key", "first_id")
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = store(bands.join(shared, "band"))
+    rank = F.struct(F.coalesce("first_id", F.lit(2**63 - 1)), "key")
+    bands = bands.select(F.xxhash64("j", "v").alias("band"), "key", rank.alias("rank"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rank")["key"].alias("pivot")).where("n > 1").drop("n")
+    members = store(bands.drop("rank").join(shared, "band"))
     likely = store(_likely(_to_pivot(members), nodes, cutoff))
-    still = store(_apart(members, likely, "band"))
+    still = store(_apart(members.drop("pivot"), likely, "band"))
     likely = likely.union(_likely_joins(still, nodes, cutoff))
-    groups = store(connected_components(likely).withColumnsRenamed({"node": "key", "component": "group"}))
+    groups = connected_components(likely).withColumnsRenamed({"node": "key", "component": "group"})
 
     null = F.lit(-(2**63))
     spots = nodes.join(groups, "key").select("key", "group", F.coalesce("spot.doc_id", null).alias("doc_id"), "spot.tie")

@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from scoreloom.llm import decontaminate, html_text, language, licenses, neardup, packing, pii, pii_rules, quality, sharding, token_store
+from scoreloom.llm.components import connected_components
 from scoreloom.llm.encoder import encoder, vocabulary
 
 VOCABULARY = "the a of and in on to for river stone cloud light under over green small house water morning seven letter field road".split()
@@ -69,6 +70,24 @@ def test_one_row_of_each_group_stays(docs):
     assert ids == sorted(map(str, [1, 4, 5, 6, 7, 9, 10, 11, 12, 13, None, 14]))
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_in_one_task_and_in_rounds_agree(spark, kind):
+    r = random.Random(4)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(190)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7)]
+    label = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for a, b in pairs:
+        if a != b:
+            low, high = sorted((label[a], label[b]))
+            label = {x: low if y == high else y for x, y in label.items()}
+    value = (lambda x: x) if kind == "long" else (lambda x: x.to_bytes(2, "big"))
+    links = spark.createDataFrame([(value(a), value(b)) for a, b in pairs], f"a {kind}, b {kind}").repartition(3)
+    want = {(value(x), value(y)) for x, y in label.items()}
+    for at_once in (0, 200_000):
+        found = [tuple(map(lambda v: bytes(v) if kind == "binary" else v, x)) for x in connected_components(links, at_once=at_once).collect()]
+        assert len(found) == len(want) and set(found) == want
+        assert connected_components(links.limit(0), at_once=at_once).count() == 0
+
+
 def test_registers_estimate_jaccard():
     r, errors = np.random.RandomState(0), []
     for _ in range(60):
