@@ -3,7 +3,8 @@
 Markup becomes a tree of blocks.  Every paragraph gives points for its length and its commas to its parent, half
 to its grandparent and a third, fourth, ... further up; a container's points are discounted by the share of its
 text that is inside links.  The container with most points wins; its siblings come along if they score like
-it or read like prose.  Parts that no article holds (menus, forms, adverts, comments, ...) are cut off before.
+it or read like prose.  Parts that no article holds (menus, scripts, hidden parts, ...) are cut off before.  A form or an
+element that is only named like such a part is cut off as well unless the page's points say that it holds the article.
 """
 
 from __future__ import annotations
@@ -26,20 +27,24 @@ BLOCK = set(
     "tbody td tfoot th thead tr ul".split()
 )
 DROPPED = set(
-    "aside button canvas dialog footer form head iframe input label menu nav noembed noframes noscript object option script "
+    "aside button canvas dialog footer head iframe input label menu nav noembed noframes noscript object option script "
     "select style svg template textarea title video audio".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 KEPT = {"html", "body", "article", "main"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-NAMES = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-    "notice alert sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus replies respond "
-    "share sharing social related recommended newsletter subscribe signup login popup modal overlay widget pager pagination "
-    "toolbar masthead skip hidden".split()
+ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
+# Names of parts that are often long prose, of parts of a layout, and of parts that can be prose of the article as well.
+FOREIGN = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr comment comments "
+    "disqus replies respond newsletter subscribe signup login popup modal".split()
 )
+LAYOUT = set(
+    "banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer share sharing social overlay pager pagination toolbar "
+    "masthead skip".split()
+)
+LOOSE = set("notice alert related recommended promotion widget hidden".split())
 OUTER_NAMES = {"header", "topbar"}
 
 TOKEN = re.compile(
@@ -120,24 +125,35 @@ def parse(page: str) -> Node:
     return root
 
 
-def _unwanted(node: Node, inside: bool) -> bool:
-    """Whether a part is no article text; ``inside``: it stands in an article or main element."""
+def _unwanted(node: Node, inside: bool) -> str | None:
+    """Why a part is no article text; ``inside``: it stands in an article or main element.
+
+    ``always``, or by its name only: ``foreign``, ``layout`` or ``loose``; None for other parts.
+    """
     if node.name in DROPPED:
-        return True
+        return "always"
     if node.name in KEPT:
-        return False
+        return None
     if node.name == "header" and not inside:
-        return True
+        return "always"
     a = node.attrs
-    if not a:
-        return False
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    if a.get("role", "").lower() in ROLES:
-        return True
-    names = {p.lower() for p in PART.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    named = bool(names & NAMES) or not inside and bool(names & OUTER_NAMES)
-    return named and (inside or not _holds_article(node))
+        return "always"
+    role = a.get("role", "").lower()
+    if role in ROLES:
+        return "always"
+    names = {p.lower() for p in PART.findall(f"{a.get('class', '')} {a.get('id', '')}")} if a else set()
+    if node.name == "form" or role == "form":
+        why = "layout"
+    elif names & FOREIGN:
+        why = "foreign"
+    elif names & LAYOUT or not inside and names & OUTER_NAMES:
+        why = "layout"
+    elif names & LOOSE:
+        why = "loose"
+    else:
+        return None
+    return why if inside or not _holds_article(node) else None
 
 
 def _holds_article(node: Node) -> bool:
@@ -151,12 +167,81 @@ def _holds_article(node: Node) -> bool:
 
 
 def _prune(node: Node) -> None:
+    """Cut off what is always unwanted, then the merely named parts that do not hold the article."""
+    root, named = node, {}
     stack = [(node, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.name in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not _unwanted(c, inside)]
-        stack += [(c, inside) for c in node.children if isinstance(c, Node)]
+        children = []
+        for c in node.children:
+            why = None if isinstance(c, str) else _unwanted(c, inside)
+            if why != "always":
+                children.append(c)
+            if why and why != "always":
+                named[id(c)] = why
+        node.children = children
+        stack += [(c, inside) for c in children if isinstance(c, Node)]
+    if not named:
+        return
+    keep = _homes(root, named)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) not in named or id(c) in keep]
+        stack += [c for c in node.children if isinstance(c, Node)]
+
+
+def _homes(root: Node, named: dict[int, str]) -> set[int]:
+    """The named parts to keep, by the points of the text that stands in them and in no named part below.
+
+    A loose name only counts if its part has no prose.  A layout name does not count if its part holds most of
+    the page's points without foreign parts; if next to nothing stands outside of such parts, none counts.  Foreign
+    parts can be longer than the article, so one of them is kept only if next to nothing stands elsewhere.
+    """
+    blocks = [(n, linked, len(text), _points(n, text, linked)) for n, text, linked in _blocks(root)]
+    nodes: dict[int, Node] = {}
+    size: dict[int, list] = {}
+    for node, linked, length, _ in blocks:
+        prose, up = node.name == "p" or node.name in HEADINGS, node
+        while up is not None:
+            if named.get(id(up)) == "loose":
+                total = size.setdefault(id(up), [0, 0, False])
+                total[0], total[1], total[2] = total[0] + length, total[1] + linked, total[2] or prose
+            up = up.parent
+    loose = {k for k, (length, linked, prose) in size.items() if linked < 0.25 * length and (prose or length > 80)}
+    names = {k: "layout" if why == "loose" else why for k, why in named.items() if k not in loose}
+    own: dict[int, float] = {}
+    for node, _, _, points in blocks:
+        up: Node | None = node
+        while up is not None and id(up) not in names:
+            up = up.parent
+        if up is not None:
+            nodes[id(up)] = up
+        at = 0 if up is None else id(up)
+        own[at] = own.get(at, 0.0) + points
+    outside = own.pop(0, 0.0)
+    layout = {k: x for k, x in own.items() if names[k] == "layout"}
+    foreign = {k: x for k, x in own.items() if names[k] == "foreign"}
+    total = outside + sum(layout.values())
+    home = [k for k, x in layout.items() if x > 0.5 * total] or [k for k in layout if outside < 0.1 * total]
+    rest = outside + sum(layout[k] for k in home)
+    if rest < 10 and rest < 0.1 * sum(foreign.values()):
+        home += [k for k, x in foreign.items() if x >= 0.2 * sum(foreign.values())][:1]
+    keep = set(loose)
+    for k in home:
+        up = nodes[k]
+        while up is not None:
+            keep.add(id(up))
+            up = up.parent
+    return keep
+
+
+def _points(node: Node, text: str, linked: int) -> float:
+    """Points of a block of text; headings give none."""
+    if node.name in HEADINGS:
+        return 0.0
+    return (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - linked / len(text))
 
 
 def _blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
@@ -211,8 +296,7 @@ def main_text(page: str | None) -> str:
             up = up.parent
         if node.name in HEADINGS:
             continue
-        points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
-        points *= 1 - linked / len(text)
+        points = _points(node, text, linked)
         up, depth = node.parent if node.name in ("p", "pre", "li", "td", "blockquote") and node.parent else node, 1
         while up is not None:
             up.score += points / depth

@@ -316,6 +316,25 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<a <b <c", "plain", "<div>" * 5000 + "deep")] == ["", "", "", "plain", "deep"]
 
 
+def test_main_text_in_named_containers():
+    lines = [prose(i, 40).strip(" ,") for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    links = '<ul><li><a href="a">One, two, three</a></li><li><a href="b">Four, five</a></li></ul>'
+    noise = f'<div class="sidebar">{links}</div><div id="comments"><p>{prose(50, 90)}</p><p>{prose(51, 90)}</p></div>'
+    for attrs in ("form id=aspnetForm", 'div class="wrap no-sidebar"', "div class=has-sidebar", "div class=content-widget", "div class=page-hidden-nav", "div class=cookies-recipe"):
+        tag = attrs.split()[0]
+        assert html_text.main_text(f"<body><{attrs}><h1>T</h1>{body}</{tag}><p>Ours</p></body>").split("\n")[:5] == ["T", *lines], attrs
+        if "cookies" not in attrs:
+            assert html_text.main_text(f"<body><{attrs}>{body}{noise}</{tag}></body>").split("\n") == lines, attrs
+    assert html_text.main_text(f"<body><form><div class=no-sidebar>{body}</div></form></body>").split("\n") == lines
+    widgets = "".join(f'<div class="x-widget"><p>{x}</p></div>' for x in lines)
+    assert html_text.main_text(f"<body><div>{widgets}</div></body>").split("\n") == lines
+    parts = f'<section class="related-work"><p>{lines[1]}</p></section><p class="notice">Note this</p><div class="related">{links}</div><form><p>Mail, name</p></form>'
+    assert html_text.main_text(f"<article><p>{lines[0]}</p>{parts}</article>").split("\n") == [lines[0], lines[1], "Note this"]
+    consent = f'<div id="cookie-consent">{"".join(f"<p>{prose(i, 90)}</p>" for i in range(60, 80))}</div>'
+    assert html_text.main_text(f"<body>{consent}<div>{body}</div></body>").split("\n") == lines
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 1), (None, None, None, 2), (3, "v", "", 3)]
     got = [tuple(r) for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()]
