@@ -2,10 +2,10 @@
 
 Test items are short and documents long, so the similarity of the two whole sets says little.  Items are
 partitioned by size: an item of up to c shingles (c = 16, 32, 64, ...) is searched in windows of 2 c shingles taken every c
-shingles, one of which holds any passage of that length whole.  An item that a window contains to 0.8 then has a
-similarity of at least 0.19 with it, and one of 64 minima agrees but for one case in 700,000.  The minima of larger
-windows are minima over smaller ones, so a document's shingles are hashed once for all sizes.  Items of fewer than
-8 shingles are looked up shingle by shingle.
+shingles, one of which holds any passage of that length whole.  An item of at least c / 2 distinct shingles that a window
+contains to 0.8 then has a similarity of at least 0.19 with it, and one of 64 minima agrees but for one case in 700,000.
+The minima of larger windows are minima over smaller ones, so a document's shingles are hashed once for all sizes.  Items
+with fewer distinct shingles, short or repetitive ones, are looked up shingle by shingle.
 
 Candidates are confirmed by exact containment: distinct shingles of the item that the whole document holds, at least
 ``percent`` of all.  Items are taken in blocks of bounded size; each block is one pass over the documents.
@@ -13,6 +13,7 @@ Candidates are confirmed by exact containment: distinct shingles of the item tha
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from scoreloom.session import store
 from .common import DOCUMENT_COLUMNS, texts, to_arrow
 from .neardup import PRIME, shingles
 
-HASHES, BASE, FEW = 64, 16, 8
+HASHES, BASE = 64, 16
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 TOGETHER = 400_000
 _ODD = np.random.RandomState(11).randint(0, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -68,6 +69,7 @@ class Items:
         self.ids = [r[0] for r in rows]
         self.sets, self.lengths = [], []
         self.few: dict[int, dict[int, list[int]]] = {}
+        self.clashes: dict[int, int] = {}
         by_class: dict[int, list[int]] = {}
         signatures = {}
         for i, (_, text) in enumerate(rows):
@@ -78,11 +80,13 @@ class Items:
             if not words:
                 continue
             hashes = run_hashes(words, width)
-            if len(self.sets[i]) < FEW:
-                for h in hashes.tolist():
+            level = max(BASE, 1 << (len(hashes) - 1).bit_length())
+            if 2 * len(self.sets[i]) < level:
+                distinct = np.unique(hashes).tolist()
+                self.clashes[i] = len(self.sets[i]) - len(distinct)
+                for h in distinct:
                     self.few.setdefault(width, {}).setdefault(h, []).append(i)
                 continue
-            level = max(BASE, 1 << (len(hashes) - 1).bit_length())
             by_class.setdefault(level, []).append(i)
             signatures[i] = minima(hashes, np.array([0]))[:, 0]
         self.classes = {}
@@ -142,8 +146,8 @@ def search(items: Items, bodies: list[str | None], percent: int) -> list[tuple[i
         keys = np.array(sorted(table), np.uint64)
         for d, w in enumerate(words):
             own = hashes[d] if width == items.size else run_hashes(w, width)
-            for h in np.unique(own[np.isin(own, keys)]).tolist():
-                pairs.update((d, m) for m in table[h])
+            shared = Counter(m for h in np.unique(own[np.isin(own, keys)]).tolist() for m in table[h])
+            pairs.update((d, m) for m, n in shared.items() if 100 * (n + items.clashes[m]) >= percent * len(items.sets[m]))
     last, whole = None, {}
     for d, m in sorted(pairs):
         if d != last:

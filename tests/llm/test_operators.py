@@ -204,6 +204,22 @@ def test_leaks_match_brute_force(spark, docs):
     assert collections.Counter(r.doc_id for r in left.collect()) == collections.Counter(i for i, _ in TEXTS if i not in {d for d, _ in want})
 
 
+@pytest.mark.parametrize("n, distinct", [(300, 10), (300, 20), (604, 10), (300, 60), (300, 100), (300, 130)])
+def test_leaks_of_repetitive_items(n, distinct):
+    items, bodies = [], []
+    for i in range(30):
+        cycle = [f"w{i}x{j}" for j in range(distinct)]
+        passage = (cycle * n)[:n]
+        items.append((i, " ".join(passage)))
+        r = random.Random(i)
+        filler = [f"f{r.randrange(10**6)}" for _ in range(3000)]
+        bodies.append(" ".join(filler[: 100 * i] + passage + filler[100 * i :]))
+    found = decontaminate.search(decontaminate.Items(items, 5), bodies, 80)
+    assert found == [(i, i, distinct, distinct) for i in range(30)]
+    near = [" ".join(b.split()).replace(f"w{i}x0 ", f"v{i} ") for i, b in enumerate(bodies)]  # a cycle without one of its words
+    assert [x[:2] for x in decontaminate.search(decontaminate.Items(items, 5), near, 80)] == [(i, i) for i in range(30) if distinct - 5 >= 0.8 * distinct]
+
+
 def quality_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n, seen = len(words), collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
