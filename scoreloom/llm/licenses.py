@@ -1,9 +1,9 @@
 """Licence scan by template markup.
 
 A licence template is text with marked regions: ``<<beginOptional>> ... <<endOptional>>`` may be left out,
-``<<var;original="...";match="...">>`` may be replaced.  ``match`` is ``.+`` (any 1 to 40 words), ``.*`` or ``.{a,b}`` (any a to b
-words) or alternatives of words (``released|licensed``).  A template is compiled to an automaton over words; it accepts a run of a
-text's words exactly when all mandatory wording is there, in order, with nothing else between.
+``<<var;original="...";match="...">>`` may be replaced.  ``match`` is ``.+`` (any words, at least one), ``.*`` (any words),
+``.{a,b}`` (any a to b words) or alternatives of words (``released|licensed``).  A template is compiled to an automaton over words;
+it accepts a run of a text's words exactly when all mandatory wording is there, in order, with nothing else between.
 """
 
 from __future__ import annotations
@@ -39,12 +39,36 @@ TEMPLATES = {
     "isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
         without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
         SOFTWARE IS PROVIDED "AS IS" AND <<var;original="THE AUTHOR";match=".+">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
-        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS""",
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;original="THE AUTHOR";match=".+">> BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE""",
     "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
         following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright
         notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form
         must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution""",
+        materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY
+        <<var;original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".+">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+        NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        <<var;original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".+">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+        DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+        OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY
+        OF SUCH DAMAGE""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form
+        must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. <<beginOptional>>3.<<endOptional>> Neither the name of
+        <<var;original="the copyright holder nor the names of its contributors";match=".+">> may be used to endorse or promote products
+        derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY
+        <<var;original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".+">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+        NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        <<var;original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".+">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+        DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+        OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY
+        OF SUCH DAMAGE""",
     "apache-2.0": """Licensed under the Apache License, Version 2.0 <<beginOptional>>(the "License"); you may not use this file except in
         compliance with the License<<endOptional>>""",
     "gpl": """<<var;original="This work is licensed";match=".{0,4}">> under the <<beginOptional>>terms of the<<endOptional>>
@@ -64,7 +88,6 @@ TEMPLATES = {
     "reserved": """<<beginOptional>>Copyright <<var;original="(c) 2020 the owner";match=".{0,12}">><<endOptional>> All rights reserved""",
 }
 
-ANY_WORDS = 40
 MARK = re.compile(r"<<(beginOptional|endOptional|var)([^>]*)>>")
 BOUNDS = re.compile(r"\.\{(\d+),(\d+)\}")
 
@@ -77,13 +100,15 @@ def words_of(text: str | None) -> list[bytes]:
 class Automaton:
     """A template as a nondeterministic automaton over words, with one state between any two of its words.
 
-    ``words[s]`` leads on a given word, ``free[s]`` on any word, ``empty[s]`` without one; the last state accepts.
+    ``words[s]`` leads on a given word, ``free[s]`` on any word, ``empty[s]`` without one; the last state accepts.  ``loops`` are
+    the states that any word leaves where they are.
     """
 
     def __init__(self, template: str):
         self.words: list[dict[bytes, int]] = [{}]
         self.free: list[int | None] = [None]
         self.empty: list[list[int]] = [[]]
+        self.loops: set[int] = set()
         self.required: list[bytes] = []
         opened: list[int] = []
         at, place = 0, 0
@@ -103,6 +128,7 @@ class Automaton:
             else:
                 at = self._variable(at, re.search(r'match="([^"]*)"', mark[2])[1])
         self.last = at
+        self.trailing = {s for s in self.loops if at in self._close({s})}
         if not self.required:
             raise ValueError("a template needs mandatory words")
 
@@ -126,12 +152,15 @@ class Automaton:
         return new
 
     def _variable(self, at: int, match: str) -> int:
-        if bounds := BOUNDS.fullmatch(match):
-            least, most = int(bounds[1]), int(bounds[2])
-        elif match in (".+", ".*"):
-            least, most = int(match == ".+"), ANY_WORDS
-        else:
+        if match in (".+", ".*"):
+            at = self._join(at)
+            loop = self._new() if match == ".+" else at
+            self.free[at] = self.free[loop] = loop
+            self.loops.add(loop)
+            return self._join(loop)
+        if not (bounds := BOUNDS.fullmatch(match)):
             return self._step(at, [w for x in match.split("|") for w in words_of(x)])
+        least, most = int(bounds[1]), int(bounds[2])
         at = self._join(at)
         ends = [at] if not least else []
         for i in range(most):
@@ -161,12 +190,22 @@ class Automaton:
             return None
         return {w for s in states for w in self.words[s]}
 
-    def longest(self, words: list[bytes], start: int) -> int:
-        """End of the longest accepted run from ``start``; -1 if there is none."""
-        states, end = self._close({0}), -1
+    def longest(self, words: list[bytes], start: int, dead: dict[int, int]) -> int:
+        """End of the accepted run from ``start``; -1 if there is none.
+
+        Once a run is accepted, only what follows without a loop in the middle of the template makes it longer, so that two
+        licences in one text stay two.  ``dead`` keeps from call to call the first place of each loop in a run that failed:
+        a later run that is there or further on in the same loop fails as well.
+        """
+        states, end, reached = self._close({0}), -1, {}
         for i in range(start, len(words) + 1):
             if self.last in states:
                 end = i
+            for s in states & self.loops:
+                if end >= 0 and s not in self.trailing or dead.get(s, i + 1) <= i:
+                    states.remove(s)
+                else:
+                    reached.setdefault(s, i)
             if i == len(words) or not states:
                 break
             word, after = words[i], set()
@@ -176,6 +215,9 @@ class Automaton:
                 if self.free[s] is not None:
                     after.add(self.free[s])
             states = self._close(after)
+        if end < 0:
+            for s, i in reached.items():
+                dead[s] = min(i, dead.get(s, i))
         return end
 
 
@@ -212,10 +254,10 @@ def template_spans(words: list[bytes], joined: bytes) -> list[tuple[str, int, in
         present = set(words) if present is None else present
         if not required <= present:
             continue
-        at = 0
+        at, dead = 0, {}
         while at < len(words):
             if first is None or words[at] in first:
-                end = automaton.longest(words, at)
+                end = automaton.longest(words, at, dead)
                 if end > at:
                     out.append((label, at, end))
                     at = end

@@ -251,6 +251,30 @@ def test_licences(docs):
     assert rows[12].labels == "mit-notice" and rows[4].n_words == 0 and rows[4].first_word is None and rows[4].labels == ""
 
 
+def test_licences_need_all_their_wording():
+    labels = lambda t: set(licenses.scan_text(t)["labels"].split(","))
+    spans = lambda t: licenses.scan_text(t)["spans"]
+    holder = " ".join(f"Holder{i}," for i in range(60))
+    filled = {k: licenses.MARK.sub(lambda m: f" {holder} " if m[1] == "var" else "", t) for k, t in licenses.TEMPLATES.items() if k in ("mit", "isc", "bsd-2-clause", "bsd-3-clause")}
+    assert all(labels(t) == {k} for k, t in filled.items())
+    two, third = filled["bsd-2-clause"], "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert labels(two.replace("THIS SOFTWARE IS", third + " THIS SOFTWARE IS")) == {"bsd-3-clause"}
+    assert labels(two[: two.index("THIS SOFTWARE IS")]) == labels(two.replace("ARE DISCLAIMED", "ARE GIVEN")) == {""}
+    assert labels(filled["isc"][: filled["isc"].index("IN NO EVENT")]) == {""}
+    n = len(licenses.words_of(filled["mit"]))
+    assert spans(f"{filled['mit']} and {filled['mit']}") == [f"mit:0:{n}", f"mit:{n + 1}:{2 * n + 1}"]
+    begun = filled["mit"][: filled["mit"].index("BE LIABLE")]
+    assert spans((begun + "\n") * 300 + filled["mit"].replace("BE LIABLE FOR", "be liable of")) == []
+    assert spans(f"{begun} {filled['mit']} {begun}")[0].startswith("mit:0:")
+
+
+def test_word_regions_have_no_limit():
+    for match, least in ((".+", 1), (".*", 0)):
+        a = licenses.Automaton(f'one <<var;original="x";match="{match}">> two')
+        assert [a.longest([b"one", *[b"x"] * k, b"two"], 0, {}) for k in (0, 1, 39, 41, 500)] == [2 + k if k >= least else -1 for k in (0, 1, 39, 41, 500)]
+    assert licenses.Automaton('one <<var;original="x";match=".+">>').longest([b"one", b"x", b"y", b"z"], 0, {}) == 4
+
+
 def test_base_rules_match_plain_patterns():
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
