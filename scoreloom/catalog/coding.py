@@ -222,6 +222,4 @@ def mean_encode_multi(spark, sf):
 @query("encoder_comparison")
 def encoder_comparison(spark, sf):
     train, test = loan_pair(spark, sf)
-    return tune.encoder_comparison(
-        train, test, CATEGORIES, "label", "id", steps=[1, 2, 4], params={"learning_rate": 0.1}
-    )
+    return tune.encoder_comparison(train, test, CATEGORIES, "label", "id", params={"learning_rate": 0.1})

@@ -93,7 +93,11 @@ def model_stacking(spark, sf):
 
 @query("model_blending")
 def model_blending(spark, sf):
-    base = [learner(n_estimators=2, max_depth=3), learner("random_forest", n_estimators=3, max_depth=4)]
+    sizes = {
+        "LightGBM": {"n_estimators": 2}, "CatBoost": {"iterations": 2}, "XGBoost": {"n_estimators": 2},
+        "RandomForest": {"n_estimators": 3}, "NGBoost": {"n_estimators": 2},
+    }
+    base = [models.registered(name, FEATURES, **size) for name, size in sizes.items()]
     return _scored(spark, sf, models.Blending(base, use_features=True))
 
 
@@ -119,7 +123,7 @@ def covariate_shift(spark, sf):
 @query("feature_select")
 def feature_select(spark, sf):
     train, test = numeric_pair(spark, sf)
-    return jobs.preprocess(train, test, learner(n_estimators=2, max_depth=3), folds=3)[1]
+    return jobs.preprocess(train, test, learner(n_estimators=2, max_depth=3))[1]
 
 
 @query("sfs_backward")
@@ -153,9 +157,7 @@ def algos_compare(spark, sf):
 @query("learning_curve")
 def learning_curve(spark, sf):
     train, test = numeric_pair(spark, sf)
-    return tune.learning_curve(
-        train, test, FEATURES, steps=tune.log_steps(8, 10), params={"learning_rate": 0.1}
-    )
+    return tune.learning_curve(train, test, FEATURES, params={"learning_rate": 0.1})
 
 
 # A raw application table in the competition's shape, derived row by row from the orders.

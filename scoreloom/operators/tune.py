@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import product
 from statistics import fmean, pstdev
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,26 +104,55 @@ def log_steps(last: int = 500, points: int = 50) -> list[int]:
 def staged_scores(df: DataFrame, model: ScoreModel, steps: Sequence[int]) -> DataFrame:
     """Positive-class scores after the first ``steps`` trees, as an array in ``scores``.
 
-    Every tree is applied once; the prefixes are running sums over the trees' predictions.
+    Every tree is applied once; the prefixes are running sums over the trees' predictions.  All trees are applied in
+    one pass over a table of their nodes.
     """
-    names = df.columns
+    nodes, roots = tree_nodes(model.model.toDebugString)
+    feature, threshold, left, right, value = nodes
+    wanted, last = {n: i for i, n in enumerate(steps)}, max(steps)
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x, total = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, 1)), np.zeros(len(batch))
+            rows, out = np.arange(len(batch)), np.empty((len(batch), len(steps)))
+            for tree, (root, weight, depth) in enumerate(roots[:last], 1):
+                at = np.full(len(batch), root)
+                for _ in range(depth):  # a leaf leads to itself
+                    at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
+                total += weight * value[at]
+                if tree in wanted:
+                    with np.errstate(over="ignore"):
+                        out[:, wanted[tree]] = 1 / (1 + np.exp(-2 * total))
+            yield pd.Series(list(out))
+
     work = feature_vector(df, model.info["columns"], model.info["ranges"])
-    used = model.model.trees[: max(steps)]
-    weights = model.model.treeWeights
-    margins = []
-    for i, tree in enumerate(used):
-        tree.setFeaturesCol("_features").setPredictionCol(f"_t{i}")
-        work = tree.transform(work)
-        margins.append(F.col(f"_t{i}") * F.lit(float(weights[i])))
-    work = work.withColumn("_trees", F.array(*margins))
-
-    def prefix(n):
-        total = F.aggregate(F.slice("_trees", 1, n), F.lit(0.0), lambda t, x: t + x)
-        return 1 / (1 + F.exp(-2 * total))
-
-    return work.select(
-        *[F.col(f"`{c}`") for c in names], F.array(*[prefix(n) for n in steps]).alias("scores")
-    )
+    return work.select(*[F.col(f"`{c}`") for c in df.columns], score(vector_to_array("_features")).alias("scores"))
+
+
+def tree_nodes(text: str) -> tuple[list[np.ndarray], list[tuple[int, float, int]]]:
+    """Feature, threshold, left, right and value of every node, and root, weight and depth of every tree."""
+    rows, roots, above = [], [], []  # above: inner nodes whose right side has not begun, with their depth
+    depth = 0
+    for line in text.splitlines()[1:]:
+        if m := re.match(r" *Tree \d+ \(weight (\S+)\):", line):
+            roots.append([len(rows), float(m[1]), 0])
+            depth = 0
+        elif m := re.match(r" *If \(feature (\d+) <= (\S+)\)", line):
+            above.append((len(rows), depth))
+            rows.append([int(m[1]), float(m[2]), len(rows) + 1, 0, 0.0])
+            depth += 1
+            roots[-1][2] = max(roots[-1][2], depth)
+        elif re.match(r" *Else \(feature \d+ > ", line):
+            at, depth = above.pop()
+            rows[at][3] = len(rows)
+            depth += 1
+        elif m := re.match(r" *Predict: (\S+)", line):
+            rows.append([0, 0.0, len(rows), len(rows), float(m[1])])
+        elif line.strip():
+            raise ValueError(f"not a split on a number: {line.strip()}")
+    types = (np.int64, float, np.int64, np.int64, float)
+    return [np.array(c, t) for c, t in zip(zip(*rows), types)], [tuple(r) for r in roots]
 
 
 def learning_curve(
