@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +30,9 @@ from scoreloom.session import store
 from .common import texts, to_arrow
 from .encoder import vocabulary
 
-WORD = re.compile(r"[^\W\d_]+")
+MARKS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
+_MARK = "[" + "".join(sorted(MARKS)) + "]"
+WORD = re.compile(rf"[^\W\d_]+(?:(?=[\u0300-\U0010ffff]){_MARK}+[^\W\d_]*)*")  # no mark comes before U+0300
 START = "▁"
 LONGEST = 16
 FLUSH_WORDS = 300_000
@@ -40,14 +44,14 @@ MICRO = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters and the combining marks that follow them."""
     return WORD.findall(text.lower()) if text else []
 
 
 class Lattice:
     """All ways to cut words into pieces of one vocabulary.
 
-    Pieces are the vocabulary's entries made of letters, with or without the word-start mark, in lower case.  A
+    Pieces are the vocabulary's entries made of letters and combining marks, with or without the word-start mark, in lower case.  A
     character that is no piece is one piece per UTF-8 byte, so every word has a cut.
     """
 
@@ -56,7 +60,8 @@ class Lattice:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        own = [p for p in names if (bare := p.removeprefix(START)).isalpha() and bare == bare.lower() and len(p) <= LONGEST]
+        letters = lambda x: x.isalpha() or bool(x) and all(c.isalpha() or c in MARKS for c in x)
+        own = [p for p in names if letters(bare := p.removeprefix(START)) and bare == bare.lower() and len(p) <= LONGEST]
         self.pieces = {p: i for i, p in enumerate([START, *dict.fromkeys(own)])}
         self.first_byte = len(self.pieces)
         self.size = self.first_byte + 256

@@ -334,6 +334,11 @@ def test_forward_pass_sums_all_cuts():
         assert np.allclose(used, want)
 
 
+def test_words_hold_combining_marks():
+    assert language.words_of("हिन्दी भाषा, ภาษาที่ 1 Cafe\u0301s x_y ा") == ["हिन्दी", "भाषा", "ภาษาที่", "cafe\u0301s", "x", "y"]
+    assert language.words_of("The quick-brown fox2go naïve") == ["the", "quick", "brown", "fox", "go", "naïve"]
+
+
 def test_language_of_held_out_texts(spark):
     other = "der die das und ist nicht ein kleines haus wasser morgen stein wolke".split()
     rows = [(i, prose(i, 20) if i % 2 else " ".join(random.Random(i).choices(other, k=20)), "en" if i % 2 else "de") for i in range(40)]
