@@ -50,7 +50,7 @@ def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(),
         "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
-        "array<string>": pa.list_(pa.string()),
+        "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
     }
     return pa.schema([pa.field(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 

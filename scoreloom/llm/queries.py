@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import CLUSTER_SQL, cluster_vectors
 from .common import table
 from .decontaminate import find_leaks
+from .divergence import AUDIT_SQL, audit_sources
 from .html_text import extract_pages
 from .language import language_rows
 from .licenses import scan_licenses
@@ -15,6 +17,7 @@ from .pii import find_personal_data
 from .quality import judge_documents
 from .sharding import shard_documents
 from .token_store import token_rows
+from .tree_weighting import score_documents
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +60,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_html_text, op3_token_store, op4_packing, op5_near_duplicates, op6_sharding, op7_decontamination, op8_quality,
-        op9_licenses, op10_personal_data,
+        op9_licenses, op10_personal_data, op11_language_model, op12_centroids, op13_source_divergence,
     )
 }
 
-# No operator here can be written in SQL as a whole (trained models, tokenizers, sketches, checksums); each is tested
+# The other operators cannot be written in SQL as a whole (trained models, tokenizers, sketches, checksums); each is tested
 # against a brute-force version instead.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_centroids": CLUSTER_SQL, "op13_source_divergence": AUDIT_SQL}
