@@ -100,7 +100,7 @@ class WordEncoder:
         else:
             if self.normal:
                 unit = unit.lower() if unit.isascii() else self.normal.normalize_str(unit)
-            if not unit.isalpha() and word is unit:  # normalising may take letters apart
+            if not unit.removeprefix(" ").isalpha():  # normalising may take letters apart
                 pieces = [p for p, _ in self.pre.pre_tokenize_str(unit)]
             else:
                 pieces = [unit.encode().decode("latin-1").translate(self.letters)]
