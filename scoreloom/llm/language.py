@@ -14,6 +14,7 @@ the order of tasks.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import sys
 import unicodedata
@@ -32,9 +33,11 @@ from .encoder import vocabulary
 
 MARKS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
 _MARK = "[" + "".join(sorted(MARKS)) + "]"
-WORD = re.compile(rf"[^\W\d_]+(?:(?=[\u0300-\U0010ffff]){_MARK}+[^\W\d_]*)*")  # no mark comes before U+0300
+#: Signs that count as part of a word elsewhere but are numbers, not letters: superscripts, fractions, Roman numerals.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl") and c.isalnum())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+(?:(?=[\u0300-\U0010ffff]){_MARK}+[^\W\d_{NUMBERS}]*)*")  # no mark comes before U+0300
+PLAIN_WORD = re.compile("[a-z]+")
 START = "▁"
-LONGEST = 16
 FLUSH_WORDS = 300_000
 KEPT_WORDS = 300_000
 BATCH_WORDS = 20_000
@@ -45,7 +48,10 @@ MICRO = 1_000_000
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters and the combining marks that follow them."""
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (PLAIN_WORD if text.isascii() else WORD).findall(text)
 
 
 class Lattice:
@@ -61,7 +67,8 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         letters = lambda x: x.isalpha() or bool(x) and all(c.isalpha() or c in MARKS for c in x)
-        own = [p for p in names if letters(bare := p.removeprefix(START)) and bare == bare.lower() and len(p) <= LONGEST]
+        own = [p for p in names if letters(bare := p.removeprefix(START)) and bare == bare.lower()]
+        self.longest = max(map(len, own), default=1)
         self.pieces = {p: i for i, p in enumerate([START, *dict.fromkeys(own)])}
         self.first_byte = len(self.pieces)
         self.size = self.first_byte + 256
@@ -71,7 +78,7 @@ class Lattice:
         marked, get, out = START + word, self.pieces.get, []
         n = len(marked)
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
+            for start in range(max(0, end - self.longest), end):
                 if (piece := get(marked[start:end])) is not None:
                     out.append((start, end, (piece,)))
                 elif end - start == 1:
@@ -131,7 +138,7 @@ class Unigrams:
         get, none, n, out = self.lattice.pieces.get, self.lattice.size, len(words[0]) + 1, []
         marked = [START + w for w in words]
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
+            for start in range(max(0, end - self.lattice.longest), end):
                 ids = np.array([get(m[start:end], none) for m in marked])
                 if (ids != none).any():
                     out.append((start, end, ids))
@@ -171,29 +178,27 @@ class Unigrams:
             into += np.bincount(np.concatenate([a[2] for a in arcs]), np.concatenate(used), len(p))[:-1]
 
     def expected(self, language: int, word: str, n: float, into: np.ndarray) -> None:
-        """Add the expected number of times each piece is used in ``n`` copies of a word."""
+        """Add the expected number of times each piece is used in ``n`` copies of a word; in logarithms, for words of any length."""
         arcs = self.lattice.arcs(word)
-        w = self._weights(arcs)[language]
+        w = np.log(self.p[language])
+        logs = [sum(float(w[piece]) for piece in pieces) for _, _, pieces in arcs]
         size = len(word) + 2
-        alpha, beta = [0.0] * size, [0.0] * size
-        alpha[0] = beta[-1] = 1.0
-        for (start, end, _), x in zip(arcs, w):
-            alpha[end] += alpha[start] * x
-        if not alpha[-1] > 1e-250:
-            return self._expected_long(language, word, n, into)
-        for (start, end, _), x in zip(reversed(arcs), reversed(w)):
-            beta[start] += beta[end] * x
-        for (start, end, pieces), x in zip(arcs, w):
-            use = n * alpha[start] * x * beta[end] / alpha[-1]
+        alpha, beta = [-math.inf] * size, [-math.inf] * size
+        alpha[0] = beta[-1] = 0.0
+        for (start, end, _), x in zip(arcs, logs):
+            alpha[end] = _log_sum(alpha[end], alpha[start] + x)
+        for (start, end, _), x in zip(reversed(arcs), reversed(logs)):
+            beta[start] = _log_sum(beta[start], beta[end] + x)
+        for (start, end, pieces), x in zip(arcs, logs):
+            use = n * math.exp(alpha[start] + x + beta[end] - alpha[-1])
             for piece in pieces:
                 into[piece] += use
 
-    def _expected_long(self, language: int, word: str, n: float, into: np.ndarray) -> None:
-        """As :meth:`expected` for a word too long for plain numbers: its halves count by themselves."""
-        if len(word) > 1:
-            half = len(word) // 2
-            self.expected(language, word[:half], n, into)
-            self.expected(language, word[half:], n, into)
+
+def _log_sum(a: float, b: float) -> float:
+    """``log(exp(a) + exp(b))``."""
+    high, low = max(a, b), min(a, b)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
 class LanguageModel:
