@@ -3,7 +3,7 @@
 Markup becomes a tree of blocks.  Every paragraph gives points for its length and its commas to its parent, half
 to its grandparent and a third, fourth, ... further up; a container's points are discounted by the share of its
 text that is inside links.  The container with most points wins; its siblings come along if they score like
-it or read like prose.  Parts that no article holds (menus, scripts, hidden parts, ...) are cut off before.  A form or an
+it, share its class or are paragraphs.  Parts that no article holds (menus, scripts, hidden parts, ...) are cut off before.  A form or an
 element that is only named like such a part is cut off as well unless the page's points say that it holds the article.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ ROLES = set("navigation banner contentinfo complementary search alert alertdialo
 # Names of parts that are often long prose, of parts of a layout, and of parts that can be prose of the article as well.
 FOREIGN = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr comment comments "
-    "disqus replies respond newsletter subscribe signup login popup modal".split()
+    "commentlist commentarea commentform disqus replies respond newsletter subscribe signup login popup modal".split()
 )
 LAYOUT = set(
     "banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer share sharing social overlay pager pagination toolbar "
@@ -56,14 +57,18 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 SPACE = re.compile(r"\s+")
+#: A block gives points to containers so far up that at least this much arrives.
+LEAST = 0.02
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "parent", "children", "score", "length", "linked")
+    __slots__ = ("name", "attrs", "parent", "outer", "children", "score", "length", "linked")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
         self.name, self.attrs, self.parent = name, attrs, parent
+        # the next element above that is a block, or the root
+        self.outer = parent if parent is None or parent.name in BLOCK or parent.parent is None else parent.outer
         self.children: list[Node | str] = []
         self.score, self.length, self.linked = 0.0, 0, 0
 
@@ -77,7 +82,15 @@ def _attributes(text: str) -> dict[str, str]:
 def parse(page: str) -> Node:
     """The tree of a page.  Unclosed elements end with their parent; a paragraph ends at the next block."""
     root = Node("html", {}, None)
-    at = root
+    at, depth = root, Counter(("html",))  # depth: how many elements of a name are open
+
+    def leave(until: Node) -> None:
+        """Close everything from the innermost open element up to ``until``."""
+        nonlocal at
+        while at is not until:
+            depth[at.name] -= 1
+            at = at.parent
+
     place, size = 0, len(page)
     while place < size:
         m = TOKEN.search(page, place)
@@ -92,27 +105,30 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m["close"] or m["close2"]:
-            node = at
-            while node is not None and node.name != name:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                at = node.parent
+            if depth[name] and name != "html":
+                node = at
+                while node.name != name:
+                    node = node.parent
+                leave(node.parent)
             continue
         if name in BLOCK and name != "html":
             node = at
             while node.parent is not None and node.name not in BLOCK:
-                node = node.parent
+                node = node.outer
             if node.name == "p" or name in HEADINGS and node.name in HEADINGS:
-                at = node.parent
-            elif name in CLOSES:
+                leave(node.parent)
+            elif name in CLOSES and any(depth[x] for x in CLOSES[name]):
+                until = None
                 while node.parent is not None and node.name not in WALLS[name]:
                     if node.name in CLOSES[name]:
-                        at = node.parent
+                        until = node.parent
                     node = node.parent
+                if until is not None:
+                    leave(until)
         if name == "html" or name == "body" and any(isinstance(c, Node) and c.name == "body" for c in root.children):
             continue
         if name in ("body", "head"):
-            at = root
+            leave(root)
         attrs = m["attrs"] if m["name"] else m["attrs2"]
         node = Node(name, _attributes(attrs or ""), at)
         at.children.append(node)
@@ -122,11 +138,12 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, place)
             place = size if end is None else end.start()
         at = node
+        depth[name] += 1
     return root
 
 
-def _unwanted(node: Node, inside: bool) -> str | None:
-    """Why a part is no article text; ``inside``: it stands in an article or main element.
+def _unwanted(node: Node, inside: bool, homes: set[int]) -> str | None:
+    """Why a part is no article text; ``inside``: it stands in an article or main element; ``homes``: the parts that hold one.
 
     ``always``, or by its name only: ``foreign``, ``layout`` or ``loose``; None for other parts.
     """
@@ -153,29 +170,35 @@ def _unwanted(node: Node, inside: bool) -> str | None:
         why = "loose"
     else:
         return None
-    return why if inside or not _holds_article(node) else None
+    # a layout element may be named after a menu or sidebar that it also holds
+    return why if inside or id(node) not in homes else None
 
 
-def _holds_article(node: Node) -> bool:
-    """A layout element may be named after a menu or sidebar that it also holds."""
-    stack = [node]
+def _article_homes(root: Node) -> set[int]:
+    """All elements above an article or main element."""
+    homes: set[int] = set()
+    stack = [root]
     while stack:
-        stack += [c for c in stack.pop().children if isinstance(c, Node)]
-        if any(n.name in ("article", "main") for n in stack):
-            return True
-    return False
+        node = stack.pop()
+        if node.name in ("article", "main"):
+            up = node.parent
+            while up is not None and id(up) not in homes:
+                homes.add(id(up))
+                up = up.parent
+        stack += [c for c in node.children if isinstance(c, Node)]
+    return homes
 
 
 def _prune(node: Node) -> None:
     """Cut off what is always unwanted, then the merely named parts that do not hold the article."""
-    root, named = node, {}
+    root, named, homes = node, {}, _article_homes(node)
     stack = [(node, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.name in ("article", "main")
         children = []
         for c in node.children:
-            why = None if isinstance(c, str) else _unwanted(c, inside)
+            why = None if isinstance(c, str) else _unwanted(c, inside, homes)
             if why != "always":
                 children.append(c)
             if why and why != "always":
@@ -195,48 +218,52 @@ def _prune(node: Node) -> None:
 def _homes(root: Node, named: dict[int, str]) -> set[int]:
     """The named parts to keep, by the points of the text that stands in them and in no named part below.
 
-    A loose name only counts if its part has no prose.  A layout name does not count if its part holds most of
-    the page's points without foreign parts; if next to nothing stands outside of such parts, none counts.  Foreign
-    parts can be longer than the article, so one of them is kept only if next to nothing stands elsewhere.
+    A layout or loose name does not count if its part holds most of the page's points without foreign parts; if next to nothing
+    stands outside of layout parts, none of their names counts.  Foreign parts can be longer than the article, so one of
+    them is kept only if next to nothing stands elsewhere.
     """
-    blocks = [(n, linked, len(text), _points(n, text, linked)) for n, text, linked in _blocks(root)]
-    nodes: dict[int, Node] = {}
-    size: dict[int, list] = {}
-    for node, linked, length, _ in blocks:
-        prose, up = node.name == "p" or node.name in HEADINGS, node
-        while up is not None:
-            if named.get(id(up)) == "loose":
-                total = size.setdefault(id(up), [0, 0, False])
-                total[0], total[1], total[2] = total[0] + length, total[1] + linked, total[2] or prose
-            up = up.parent
-    loose = {k for k, (length, linked, prose) in size.items() if linked < 0.25 * length and (prose or length > 80)}
-    names = {k: "layout" if why == "loose" else why for k, why in named.items() if k not in loose}
     own: dict[int, float] = {}
-    for node, _, _, points in blocks:
-        up: Node | None = node
-        while up is not None and id(up) not in names:
-            up = up.parent
+    nodes: dict[int, Node] = {}
+    around = _nearest(root, named)
+    for node, text, linked in _blocks(root):
+        up = around[id(node)]
         if up is not None:
             nodes[id(up)] = up
         at = 0 if up is None else id(up)
-        own[at] = own.get(at, 0.0) + points
+        own[at] = own.get(at, 0.0) + _points(node, text, linked)
     outside = own.pop(0, 0.0)
-    layout = {k: x for k, x in own.items() if names[k] == "layout"}
-    foreign = {k: x for k, x in own.items() if names[k] == "foreign"}
-    total = outside + sum(layout.values())
-    home = [k for k, x in layout.items() if x > 0.5 * total] or [k for k in layout if outside < 0.1 * total]
-    rest = outside + sum(layout[k] for k in home)
+    loose = {k: x for k, x in own.items() if named[k] == "loose"}
+    layout = {k: x for k, x in own.items() if named[k] == "layout"}
+    foreign = {k: x for k, x in own.items() if named[k] == "foreign"}
+    total = outside + sum(layout.values()) + sum(loose.values())
+    home = [k for k, x in (layout | loose).items() if x > 0.5 * total] or [k for k in layout if outside < 0.1 * (total - sum(loose.values()))]
+    rest = outside + sum(own[k] for k in home)
+    if not home and loose and outside < 0.1 * total:  # all of the page is loose parts of one kind
+        home = list(loose)
+        rest = total
     if rest < 10 and rest < 0.1 * sum(foreign.values()):
         home += [k for k, x in foreign.items() if x >= 0.2 * sum(foreign.values())][:1]
-    keep = set(loose)
+    keep: set[int] = set()
     for k in home:
         up = nodes[k]
-        while up is not None:
+        while up is not None and id(up) not in keep:
             keep.add(id(up))
             up = up.parent
     return keep
 
 
+def _nearest(root: Node, marked: dict[int, str] | set[int]) -> dict[int, Node | None]:
+    """For every element the nearest marked one at or above it."""
+    found: dict[int, Node | None] = {}
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
+    while stack:
+        node, above = stack.pop()
+        above = node if id(node) in marked else above
+        found[id(node)] = above
+        stack += [(c, above) for c in node.children if isinstance(c, Node)]
+    return found
+
+
 def _points(node: Node, text: str, linked: int) -> float:
     """Points of a block of text; headings give none."""
     if node.name in HEADINGS:
@@ -287,23 +314,27 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     _prune(root)
     blocks = list(_blocks(root))
-    touched: dict[int, Node] = {}
+    if not blocks:
+        return ""
+    touched: dict[int, Node] = {id(n): n for n, _, _ in blocks}
     for node, text, linked in blocks:
-        up: Node | None = node
-        while up is not None:
-            up.length += len(text)
-            up.linked += linked
-            up = up.parent
+        node.length += len(text)
+        node.linked += linked
         if node.name in HEADINGS:
             continue
         points = _points(node, text, linked)
-        up, depth = node.parent if node.name in ("p", "pre", "li", "td", "blockquote") and node.parent else node, 1
-        while up is not None:
-            up.score += points / depth
+        up, steps = node.parent if node.name in ("p", "pre", "li", "td", "blockquote") and node.parent else node, 1
+        while up is not None and points >= LEAST * steps:
+            up.score += points / steps
             touched[id(up)] = up
-            up, depth = up.parent, depth + 1
-    if not blocks:
-        return ""
+            up, steps = up.parent, steps + 1
+    order = [root]
+    for node in order:  # grows while it is read: parents before children
+        order += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.length += node.length
+            node.parent.linked += node.linked
     value = lambda n: n.score * (1 - n.linked / max(1, n.length)) * (1.25 if n.name in ("article", "main") else 1)
     best = max(touched.values(), key=value, default=root)
     inner = best
@@ -312,28 +343,28 @@ def main_text(page: str | None) -> str:
     if inner is not None:  # an article is whole
         best = inner
     keep, limit = {id(best)}, max(10.0, 0.2 * value(best))
+    own = set(best.attrs.get("class", "").split())
     for sibling in best.parent.children if best.parent and inner is None else []:
         if isinstance(sibling, Node) and sibling is not best and sibling.length:
-            density = sibling.linked / sibling.length
+            light = sibling.linked < 0.25 * sibling.length
             prose = sibling.name == "p" or sibling.name in HEADINGS
-            if value(sibling) >= limit or prose and density < 0.25 or sibling.length > 80 and density < 0.25 and sibling.name not in ("ul", "ol", "table"):
+            alike = sibling.name == best.name and bool(own & set(sibling.attrs.get("class", "").split()))
+            if value(sibling) >= limit or light and (prose or alike and sibling.length > 80):
                 keep.add(id(sibling))
     if inner is not None:
         for other in touched.values():  # further parts of the article at any place
             if other.name == inner.name == "article" and value(other) >= 0.5 * value(inner):
                 keep.add(id(other))
-    out = []
-    for node, text, _ in blocks:
-        up = node
-        while up is not None and id(up) not in keep:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
+    around = _nearest(root, keep)
+    return "\n".join(text for node, text, _ in blocks if around[id(node)] is not None)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """Per page: ``page_id``, ``url``, ``text`` and its code points; any null in, null id and url or empty text out."""
+    """Per page: ``page_id``, ``url``, ``text`` and its code points; any null in, null id and url or empty text out.
+
+    Of equally good containers the first in page order wins; repeated pages give a row each, an empty table none.  Extra columns
+    are ignored.
+    """
 
     def work(columns: dict[str, list]) -> Iterator[dict[str, list]]:
         for at in range(0, len(columns["html"]), 500):
