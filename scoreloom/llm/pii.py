@@ -30,6 +30,10 @@ EMBED, HIDDEN = 10, 20
 LABELS = 1 + 2 * len(KINDS)
 FORBIDDEN = -1e4
 SAMPLE, EPOCHS, BATCH, RATE, SEED = 1200, 7, 96, 0.02, 5
+GAP = re.compile(r"\s")
+HOST = re.compile(r"\s?@\s?[\w-]+(?:\.[\w-]+)+")
+ADDRESS = re.compile(r"[\w.%+-]")
+LATIN = "abcdefghijklmnopqrstuvwxyz"
 IP6 = re.compile(r"[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}")
 
 
@@ -223,15 +227,17 @@ class Forms:
     def digits(self, n: int) -> str:
         return "".join(map(str, self.r.randint(0, 10, n)))
 
-    def letters(self, n: int, pool: str = "abcdefghijklmnopqrstuvwxyz") -> str:
+    def letters(self, n: int, pool: str = LATIN) -> str:
         return "".join(pool[i] for i in self.r.randint(0, len(pool), n))
 
     def pick(self, options: list):
         return options[self.r.randint(len(options))]
 
     def email(self) -> str:
-        name = self.letters(self.r.randint(2, 9)) + self.pick(["", ".", "_", "-", "+"]) + self.pick([self.letters(4), self.digits(2), ""])
-        return name.rstrip("._-+") + self.pick(["@", "@", "@", " @ "]) + self.letters(self.r.randint(3, 8)) + self.pick(["", self.digits(1)]) + self.pick([".com", ".org", ".co.uk", ".example.com", ".de", ".net"])
+        pool = self.pick([LATIN, LATIN, LATIN + "äöüßéèñç"])
+        name = self.letters(self.r.randint(2, 9), pool) + self.pick(["", ".", "_", "-", "+"]) + self.pick([self.letters(4, pool), self.digits(2), ""])
+        host = self.letters(self.r.randint(3, 8), pool) + self.pick(["", "", self.digits(1), "." + self.letters(self.r.randint(4, 11)), self.letters(9, pool) + "-" + self.letters(6)])
+        return name.rstrip("._-+") + self.pick(["@", "@", " @ "]) + host + self.pick([".com", ".org", ".co.uk", ".example.com", ".de", ".net"])
 
     def ip(self) -> str:
         if self.r.rand() < 0.25:
@@ -287,10 +293,15 @@ def training_set(windows: list[str], seed: int = SEED) -> tuple[np.ndarray, np.n
 
 
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and ``@``; everything outside them has no admissible span."""
+    """Stretches around digits and ``@`` that end between words; everything outside them has no admissible span."""
     start = end = None
     for m in ANCHOR.finditer(text):
+        if end is not None and m.end() + MARGIN <= end:
+            continue
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        while a > (end or 0) and not text[a - 1].isspace():
+            a -= 1
+        b = gap.start() if (gap := GAP.search(text, b)) else len(text)
         if end is not None and a <= end:
             end = b
             continue
@@ -347,6 +358,8 @@ def added_spans(tagger: Tagger, bodies: list[str | None], base: list[list[tuple[
             text = bodies[i]
             while a < b and text[a].isspace():
                 a += 1
+            if kind == "email":
+                a, b = _whole_address(text, a, b)
             while b > a and text[b - 1] in " \t\n.,;:":
                 b -= 1
             if a < b and has_form(kind, text[a:b]) and all(b <= x or a >= y for x, y in taken):
@@ -354,6 +367,20 @@ def added_spans(tagger: Tagger, bodies: list[str | None], base: list[list[tuple[
     return out
 
 
+def _whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """An address does not begin or end inside a word, nor beside its own ``@``."""
+    if "@" not in text[a:b]:
+        if m := HOST.match(text, b):
+            b = m.end()
+        elif (at := text.rfind("@", max(0, a - 2), a)) >= 0 and text[at + 1 : a].strip() == "":
+            a = at - 1 if text[at - 1 : at].isspace() else at
+    while a > 0 and ADDRESS.match(text[a - 1]):
+        a -= 1
+    while b < len(text) and ADDRESS.match(text[b]):
+        b += 1
+    return a, b
+
+
 def _spans(known: dict[int, tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
     kind = start = last = None
     for place in sorted(known):
