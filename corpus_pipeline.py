@@ -8,11 +8,12 @@ further than one stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scoreloom.llm.common import table
 from scoreloom.llm.decontaminate import drop_leaked
 from scoreloom.llm.neardup import keep_one_of_each
-from scoreloom.llm.packing import packing_rows
+from scoreloom.llm.packing import pack_documents
 from scoreloom.llm.pii import mask_personal_data
 from scoreloom.llm.quality import keep_good
 from scoreloom.session import store
@@ -39,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 4096 tokens."""
-    return packing_rows(docs)
+    """Pieces of all documents in windows of 4096 tokens, with their ids and a checksum of them."""
+    return pack_documents(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
