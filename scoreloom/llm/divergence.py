@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,7 @@ from .common import to_arrow
 LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-SHARE = 1_000_000_000
-SPILL_CELLS = 400_000
+SPILL_CELLS = 1_000_000
 SEND_ROWS = 20_000
 PAIR_CELLS = 2_000_000
 STRIPE = "lang string, term string, documents long, sources array<string>, counts array<long>"
@@ -56,43 +56,81 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return gap * gap // q
 
 
+class _Stripes:
+    """Stripes of one language: per term a number while one document holds it, then counts by source.
+
+    The number is ``occurrences * 2^32 + source``; a stripe of several documents has their number under -1.
+    """
+
+    def __init__(self, lang: str):
+        self.lang, self.table = lang, {}
+
+    def fold(self, terms: list[bytes], source: int) -> int:
+        """Add a document; tells how many cells the table has gained."""
+        table, gained = self.table, 0
+        get = table.get
+        for term, n in Counter(terms).items():
+            stripe = get(term)
+            if stripe is None:
+                table[term] = n << 32 | source
+                gained += 1
+            elif type(stripe) is int:
+                table[term] = {-1: 2, stripe & 0xFFFFFFFF: stripe >> 32}
+                table[term][source] = table[term].get(source, 0) + n
+                gained += 3
+            else:
+                stripe[-1] += 1
+                if source not in stripe:
+                    gained += 1
+                stripe[source] = stripe.get(source, 0) + n
+        return gained
+
+    def rows(self, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        single = {k: v for k, v in self.table.items() if type(v) is int}
+        shared = {k: v for k, v in self.table.items() if type(v) is not int}
+        every, packed = list(single), np.fromiter(single.values(), np.int64, len(single))
+        for at in range(0, len(every), SEND_ROWS):
+            part = packed[at : at + SEND_ROWS]
+            yield self._batch(every[at : at + SEND_ROWS], np.ones(len(part), np.int64), np.ones(len(part), np.int64), part & 0xFFFFFFFF, part >> 32, names, schema)
+        every = list(shared)
+        for at in range(0, len(every), SEND_ROWS):
+            part = [shared[k] for k in every[at : at + SEND_ROWS]]
+            sources, counts = [x for s in part for x in s if x >= 0], [n for s in part for x, n in s.items() if x >= 0]
+            yield self._batch(every[at : at + SEND_ROWS], [s[-1] for s in part], [len(s) - 1 for s in part], sources, counts, names, schema)
+
+    def _batch(self, terms, documents, sizes, sources, counts, names, schema) -> pa.RecordBatch:
+        columns = [
+            pa.array([self.lang]).take(pa.array(np.zeros(len(terms), np.int64))), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(documents, pa.int64()),
+            lists(sizes, pa.array(names, pa.string()).take(pa.array(sources, pa.int64()))), lists(sizes, pa.array(counts, pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def lists(sizes: list[int] | np.ndarray, values: pa.Array) -> pa.Array:
+    """A list column from the lists' sizes and all their values."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+
 def stripes(docs: DataFrame) -> DataFrame:
     """Spilled stripes of all documents: several rows per language and term, at most one per task and spill."""
     schema = to_arrow(docs.sparkSession, STRIPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple[str, bytes], dict[str | None, int]] = {}  # under None: the number of documents
+        tables: dict[str, _Stripes] = {}
+        places: dict[str, int] = {}
         cells = 0
 
         def spill() -> Iterator[pa.RecordBatch]:
-            rows = iter(table.items())
-            while part := [row for _, row in zip(range(SEND_ROWS), rows)]:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": [k[0] for k, _ in part],
-                        "term": [k[1].decode() for k, _ in part],
-                        "documents": [s[None] for _, s in part],
-                        "sources": [[x for x in s if x is not None] for _, s in part],
-                        "counts": [[n for x, n in s.items() if x is not None] for _, s in part],
-                    },
-                    schema=schema,
-                )
-            table.clear()
+            names = list(places)
+            for table in tables.values():
+                yield from table.rows(names, schema)
+            tables.clear()
 
         for batch in batches:
             for body, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
-                for term, n in Counter(terms_of(body)).items():
-                    stripe = table.get((lang, term))
-                    if stripe is None:
-                        table[lang, term] = {None: 1, source: n}
-                        cells += 1
-                    else:
-                        stripe[None] += 1
-                        if source in stripe:
-                            stripe[source] += n
-                        else:
-                            stripe[source] = n
-                            cells += 1
+                if lang not in tables:
+                    tables[lang] = _Stripes(lang)
+                cells += tables[lang].fold(terms_of(body), places.setdefault(source, len(places)))
                 if cells > SPILL_CELLS:
                     yield from spill()
                     cells = 0
@@ -101,35 +139,49 @@ def stripes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary"), "lang", "source").mapInArrow(run, STRIPE)
 
 
+def merge_sorted(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Merged stripes of a batch in which equal keys are neighbours, and their numbers of documents."""
+    n = batch.num_rows
+    lang, term, documents, sources, counts = batch.columns
+    first = np.ones(n, bool)
+    for column in (lang, term):
+        if n > 1:
+            change = pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            first[1:] = change if column is lang else first[1:] | change
+    starts = np.flatnonzero(first)
+    held = np.add.reduceat(documents.to_numpy(), starts)
+    if len(starts) == n:
+        return batch, held
+    names = sources.flatten().dictionary_encode()
+    group = np.repeat(np.cumsum(first) - 1, sources.value_lengths().to_numpy())
+    cell = group * len(names.dictionary) + names.indices.to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cell, uses = cell[order], counts.flatten().to_numpy()[order]
+    at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    sizes = np.bincount(cell[at] // len(names.dictionary), minlength=len(starts))
+    rows = pa.array(starts)
+    columns = [
+        lang.take(rows), term.take(rows), pa.array(held), lists(sizes, names.dictionary.take(pa.array(cell[at] % len(names.dictionary)))),
+        lists(sizes, pa.array(np.add.reduceat(uses, at))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema), held
+
+
 def merged(spilled: DataFrame, least: int) -> DataFrame:
     """One stripe per language and term that at least ``least`` of the language's documents hold."""
     schema = to_arrow(spilled.sparkSession, STRIPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        key, documents, counts = None, 0, {}
-
-        def send() -> pa.RecordBatch:
-            rows = [list(c) for c in zip(*out)] or [[] for _ in schema]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
-
-        def close() -> None:
-            if documents >= least:
-                out.append((*key, documents, list(counts), list(counts.values())))
-
+        last = None  # the stripe that the next batch may go on with
         for batch in batches:
-            for lang, term, n, sources, uses in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != key:
-                    close()
-                    key, documents, counts = (lang, term), 0, {}
-                documents += n
-                for source, use in zip(sources, uses):
-                    counts[source] = counts.get(source, 0) + use
-                if len(out) >= SEND_ROWS:
-                    yield send()
-        close()
-        yield send()
+            if not batch.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays(batch.columns, schema=schema)
+            whole, held = merge_sorted(batch if last is None else pa.concat_batches([last, batch]))
+            last = whole.slice(whole.num_rows - 1)
+            yield whole.slice(0, whole.num_rows - 1).filter(pa.array(held[:-1] >= least))
+        if last is not None and last.column(2)[0].as_py() >= least:
+            yield last
 
     keys = ("lang", "term")
     return spilled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, STRIPE)
@@ -284,12 +336,14 @@ def audit_sources(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     table = store(merged(stripes(rows), least))
     totals = SourceTotals.of(rows, table)
-    found = parts(table, totals, top)
+    found = store(parts(table, totals, top))
 
     groups = spark.createDataFrame([(lang, i) for lang, names in totals.sources.items() for i in range(len(names))], "lang string, g int")
     base = _absent_pairs(groups, totals)
     pairs = found.where("part = 'pair' and source <> item").unionByName(base).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    terms = found.where("part = 'term'")
+    # A task hands on up to ``top`` terms of a group; they are thinned out in parts of a group before its ranks are given.
+    some = Window.partitionBy("lang", "source", "part", F.pmod(F.xxhash64("item"), F.lit(64))).orderBy(F.desc("value"), "item")
+    terms = found.where("part = 'term'").withColumn("_some", F.row_number().over(some)).where(F.col("_some") <= top).drop("_some")
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     ranked = pairs.unionByName(terms).withColumn("rank", F.row_number().over(order))
     return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top))
