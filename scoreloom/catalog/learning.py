@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, models, select, split, tune
 from ..plans import jobs, recipe
 from ..sources import tables
-from .base import loan_pair, loans, query, rounded, table
+from .base import loan_pair, loans, query, rounded, table, with_pair
 
 FEATURES = ["amount", "funds", "score"]
 
@@ -61,6 +61,45 @@ def model_gbt_ngboost(spark, sf):
     return _scored(spark, sf, models.registered("NGBoost", FEATURES, n_estimators=5))
 
 
+@query("model_gbt_gaps")
+def model_gbt_gaps(spark, sf):
+    """Boosted trees on columns with missing values, stopped early on the rows marked for it."""
+    train, test = loan_pair(spark, sf)
+    marked = split.hold_out(train, "id", 0.2, out="is_dev")
+    estimator = models.registered("LightGBM", ["price", "balance", "nation"], validation="is_dev", n_estimators=60, learning_rate=0.2, max_depth=4)
+    return jobs.train_and_score(marked, test, estimator)
+
+
+STEPS = [("floor(price / 20000)", "tier"), ("floor(balance / 1000)", "step"), ("nation", "nation")]
+_LONG = " UNION ALL ".join(f"SELECT label, {i} AS i, CAST({e} AS DOUBLE) AS v FROM train" for i, (e, _) in enumerate(STEPS))
+_WORTH = "pow({g}, 2) / ({h} + 1)"
+
+
+@query(
+    "boosted_stump",
+    with_pair(
+        "SELECT id, round(1 / (1 + exp(-(ln(m / (1 - m)) + 0.3 * CASE WHEN (CASE i "
+        + " ".join(f"WHEN {i} THEN coalesce({e} <= v, gap_left)" for i, (e, _) in enumerate(STEPS))
+        + " END) THEN gl / (hl + 1) ELSE (g - gl) / (h - hl + 1) END))), 6) AS score FROM test, best",
+        f"""long AS ({_LONG}), base AS (SELECT avg(label) AS m FROM train),
+cells AS (SELECT i, v, sum(label - m) AS g, count(*) * any_value(m * (1 - m)) AS h, count(*) AS n FROM long, base GROUP BY i, v),
+whole AS (SELECT i, sum(g) AS g, sum(h) AS h, sum(n) AS n, coalesce(sum(g) FILTER (v IS NULL), 0) AS gap_g, coalesce(sum(h) FILTER (v IS NULL), 0) AS gap_h,
+    coalesce(sum(n) FILTER (v IS NULL), 0) AS gap_n FROM cells GROUP BY i),
+cuts AS (SELECT i, v, sum(g) OVER w AS cg, sum(h) OVER w AS ch, sum(n) OVER w AS cn FROM cells WHERE v IS NOT NULL WINDOW w AS (PARTITION BY i ORDER BY v)),
+sides AS (SELECT *, cg + CASE WHEN gap_left THEN gap_g ELSE 0 END AS gl, ch + CASE WHEN gap_left THEN gap_h ELSE 0 END AS hl,
+    cn + CASE WHEN gap_left THEN gap_n ELSE 0 END AS nl FROM cuts JOIN whole USING (i), (VALUES (true), (false)) AS t(gap_left)),
+best AS (SELECT sides.*, base.m FROM sides, base WHERE nl >= 1 AND n - nl >= 1
+    ORDER BY {_WORTH.format(g="gl", h="hl")} + {_WORTH.format(g="(g - gl)", h="(h - hl)")} - {_WORTH.format(g="g", h="h")} DESC, i, v, gap_left DESC LIMIT 1)""",
+    ),
+)
+def boosted_stump(spark, sf):
+    """One cut over columns with gaps: every cut is tried, with the missing rows on either side."""
+    train, test = (d.select("id", "label", *[F.expr(e).cast("double").alias(n) for e, n in STEPS]) for d in loan_pair(spark, sf))
+    params = {"n_estimators": 1, "max_depth": 1, "learning_rate": 0.3, "reg_lambda": 1.0}
+    model = models.ScoreClassifier("xgboost", [n for _, n in STEPS], "label", params).fit(train)
+    return rounded(model.transform(test).select("id", "score"), "score")
+
+
 @query("model_mlp")
 def model_mlp(spark, sf):
     return _scored(spark, sf, models.registered("NeuralNetwork", FEATURES))

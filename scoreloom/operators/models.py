@@ -1,4 +1,4 @@
-"""Binary classifiers on ``pyspark.ml`` behind one contract.
+"""Binary classifiers behind one contract: boosted trees of this library, the others from ``pyspark.ml``.
 
 ``ScoreClassifier(kind, ...)`` takes the parameter names people know from the usual libraries
 and translates them; a parameter without a Spark counterpart is refused by name instead of
@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
@@ -28,42 +27,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..base import TableEstimator, TableModel
+from .boosting import Boosted, Plan, Settings, grow, score_column
 from .features import MinMaxModel, MinMaxScaler
 from .split import hold_out, stratified_fold
 
 # Known parameter names and the Spark parameters they stand for.
 TRANSLATIONS = {
     "lightgbm": {
-        "n_estimators": "maxIter",
-        "max_depth": "maxDepth",
-        "learning_rate": "stepSize",
-        "min_child_samples": "minInstancesPerNode",
-        "subsample": "subsamplingRate",
-        "colsample_bytree": "featureSubsetStrategy",
-        "max_bin": "maxBins",
+        "n_estimators": "trees",
+        "max_depth": "depth",
+        "learning_rate": "rate",
+        "min_child_samples": "min_rows",
+        "reg_lambda": "penalty",
+        "subsample": "rows_share",
+        "colsample_bytree": "tree_columns",
+        "max_bin": "bins",
+        "early_stopping_rounds": "patience",
     },
     "xgboost": {
-        "n_estimators": "maxIter",
-        "num_boost_round": "maxIter",
-        "max_depth": "maxDepth",
-        "learning_rate": "stepSize",
-        "eta": "stepSize",
-        "subsample": "subsamplingRate",
-        "colsample_bylevel": "featureSubsetStrategy",
-        "max_bin": "maxBins",
+        "n_estimators": "trees",
+        "num_boost_round": "trees",
+        "max_depth": "depth",
+        "learning_rate": "rate",
+        "eta": "rate",
+        "reg_lambda": "penalty",
+        "subsample": "rows_share",
+        "colsample_bytree": "tree_columns",
+        "colsample_bylevel": "level_columns",
+        "max_bin": "bins",
+        "early_stopping_rounds": "patience",
     },
     "catboost": {
-        "iterations": "maxIter",
-        "depth": "maxDepth",
-        "learning_rate": "stepSize",
-        "subsample": "subsamplingRate",
-        "colsample_bylevel": "featureSubsetStrategy",
-        "max_bin": "maxBins",
+        "iterations": "trees",
+        "depth": "depth",
+        "learning_rate": "rate",
+        "l2_leaf_reg": "penalty",
+        "subsample": "rows_share",
+        "colsample_bylevel": "level_columns",
+        "max_bin": "bins",
+        "od_wait": "patience",
     },
     "ngboost": {
-        "n_estimators": "maxIter",
-        "learning_rate": "stepSize",
-        "minibatch_frac": "subsamplingRate",
+        "n_estimators": "trees",
+        "max_depth": "depth",
+        "learning_rate": "rate",
+        "minibatch_frac": "rows_share",
+        "early_stopping_rounds": "patience",
     },
     "random_forest": {
         "n_estimators": "numTrees",
@@ -84,8 +93,15 @@ TRANSLATIONS = {
 BOOSTED = {"lightgbm", "xgboost", "catboost", "ngboost"}
 # Parameters that act on the training frame instead of the Spark estimator.
 FRAME_PARAMETERS = {"class_weight", "scale_pos_weight", "C", "hidden", "random_state"}
+# How the boosted learners grow trees where nothing else is said.
+DEFAULTS = {
+    "lightgbm": Settings(trees=100, depth=5, rate=0.1, min_rows=20),
+    "xgboost": Settings(trees=100, depth=6, rate=0.3, penalty=1.0),
+    "catboost": Settings(trees=1000, depth=6, rate=0.03, penalty=3.0, bins=254),
+    "ngboost": Settings(trees=500, depth=3, rate=0.01, natural=True),
+}
 LEARNERS = {
-    **dict.fromkeys(BOOSTED, (GBTClassifier, GBTClassificationModel)),
+    **dict.fromkeys(BOOSTED, (None, None)),
     "random_forest": (RandomForestClassifier, RandomForestClassificationModel),
     "logistic_regression": (LogisticRegression, LogisticRegressionModel),
     "neural_network": (MultilayerPerceptronClassifier, MultilayerPerceptronClassificationModel),
@@ -97,7 +113,7 @@ def translate(kind: str, params: dict) -> dict:
     names = TRANSLATIONS[kind]
     unknown = [p for p in params if p not in names and p not in FRAME_PARAMETERS]
     if unknown:
-        raise ValueError(f"{kind}: no Spark counterpart for {', '.join(sorted(unknown))}")
+        raise ValueError(f"{kind}: no counterpart for {', '.join(sorted(unknown))}")
     if kind == "neural_network" and {"class_weight", "scale_pos_weight"} & set(params):
         raise ValueError("neural_network: rows cannot be weighted")
     found = {names[p]: v for p, v in params.items() if p in names}
@@ -139,8 +155,32 @@ class ScoreModel(TableModel):
     @classmethod
     def load(cls, path: str) -> ScoreModel:
         spark = SparkSession.getActiveSession()
-        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        return cls(meta["info"], LEARNERS[meta["info"]["kind"]][1].load(f"{path}/model"))
+        info = json.loads(spark.read.text(f"{path}/meta").first()["value"])["info"]
+        if info["kind"] in BOOSTED:
+            return BoostedModel(info)
+        return cls(info, LEARNERS[info["kind"]][1].load(f"{path}/model"))
+
+
+class BoostedModel(ScoreModel):
+    """Trees over the columns as they are: NULL and NaN follow the direction learned at each cut."""
+
+    def __init__(self, info: dict, model: Boosted | None = None):
+        super().__init__(info, model or Boosted.of(info["model"]))
+        self.info["model"] = self.model.info()
+
+    def add_score(self, df: DataFrame, out: str, predicted: str | None = None) -> DataFrame:
+        names = [c for c in df.columns if c not in (out, predicted)]
+        score = score_column(self.model, [F.col(f"`{c}`") for c in self.info["columns"]])
+        scored = df.select(*[F.col(f"`{c}`") for c in names], score.alias(out))
+        return scored.withColumn(predicted, (F.col(f"`{out}`") > 0.5).cast("int")) if predicted else scored
+
+    def importances(self) -> list[float]:
+        """Share of the gain of all cuts, per column."""
+        total = sum(self.model.gains)
+        return [g / total if total else 0.0 for g in self.model.gains]
+
+    def save(self, path: str) -> None:
+        TableModel.save(self, path)
 
 
 def feature_vector(df: DataFrame, columns: Sequence[str], ranges: dict | None) -> DataFrame:
@@ -154,7 +194,8 @@ def feature_vector(df: DataFrame, columns: Sequence[str], ranges: dict | None) -
 class ScoreClassifier(TableEstimator):
     """Min-max scaling followed by one learner.
 
-    ``validation`` names a boolean column whose rows decide when boosting stops early.
+    ``validation`` names a boolean column whose rows decide when boosting stops early; they are not learned from.
+    Boosted learners take NULL and NaN as they are; the others refuse them.
     """
 
     def __init__(
@@ -180,22 +221,33 @@ class ScoreClassifier(TableEstimator):
             self.kind, columns, self.label, self.settings, self.scale, self.validation, self.seed
         )
 
-    def _fit(self, df: DataFrame) -> ScoreModel:
-        known = df.filter(F.col(self.label).isNotNull())
-        if missing := df.filter(F.col(self.label).isNull()).count():
+    def class_sizes(self, df: DataFrame) -> dict:
+        """Rows per class; rows without a label raise."""
+        sizes = {r[0]: r[1] for r in df.groupBy(self.label).count().collect()}
+        if missing := sizes.pop(None, 0):
             raise ValueError(f"{missing} rows have no {self.label}; filter them before training")
+        return sizes
+
+    def grower(self, sizes: dict) -> Settings:
+        """How a boosted learner grows its trees."""
+        weights = self._weights(sizes)
+        found = {k: v for k, v in self.spark_params.items()}
+        seed = self.settings.get("random_state", self.seed)
+        return replace(DEFAULTS[self.kind], **found, seed=seed, weights=(float(weights.get(0, 1.0)), float(weights.get(1, 1.0))))
+
+    def _fit(self, df: DataFrame) -> ScoreModel:
+        if self.kind in BOOSTED:
+            return fit_together(df, [(self, None)])[0]
+        sizes = self.class_sizes(df)
+        known = df
         ranges = MinMaxScaler(self.columns).fit(known).info["ranges"] if self.scale else None
-        sizes = {}
-        if self.kind == "logistic_regression" or "class_weight" in self.settings:
-            sizes = {r[0]: r[1] for r in known.groupBy(self.label).count().collect()}
         weights = self._weights(sizes)
-        extra = [F.col(self.validation).alias("_valid")] if self.validation else []
         weight = F.lit(1.0)
         for value, w in weights.items():
             weight = F.when(F.col("_label") == value, F.lit(float(w))).otherwise(weight)
         frame = (
             feature_vector(known, self.columns, ranges)
-            .select("_features", F.col(self.label).cast("double").alias("_label"), *extra)
+            .select("_features", F.col(self.label).cast("double").alias("_label"))
             .withColumn("_weight", weight)
             .persist()
         )
@@ -227,11 +279,38 @@ class ScoreClassifier(TableEstimator):
         if self.kind == "neural_network":
             hidden = list(self.settings.get("hidden", [16]))
             return learner(layers=[len(self.columns), *hidden, 2], **params)
-        if self.kind in BOOSTED and self.validation:
-            params["validationIndicatorCol"] = "_valid"
         return learner(**params)
 
 
+def fit_together(df: DataFrame, jobs: Sequence[tuple[ScoreClassifier, object]], fold: str | None = None, parallelism: int = 4) -> list[ScoreModel]:
+    """Fit several learners on one frame, each without the rows of its own fold (None: on all rows).
+
+    Boosted learners with the same label, validation rows and number of bins grow side by side; the result equals separate
+    fits.  The others are fitted from a few threads.
+    """
+    models: list = [None] * len(jobs)
+    together: dict[tuple, list[int]] = {}
+    alone = []
+    for i, (estimator, _) in enumerate(jobs):
+        if isinstance(estimator, ScoreClassifier) and estimator.kind in BOOSTED:
+            bins = estimator.spark_params.get("bins", DEFAULTS[estimator.kind].bins)
+            together.setdefault((estimator.label, estimator.validation, bins), []).append(i)
+        else:
+            alone.append(i)
+    for (label, validation, _), found in together.items():
+        columns = list(dict.fromkeys(c for i in found for c in jobs[i][0].columns))
+        place = {c: n for n, c in enumerate(columns)}
+        sizes = jobs[found[0]][0].class_sizes(df)
+        plans = [Plan([place[c] for c in jobs[i][0].columns], jobs[i][0].grower(sizes), jobs[i][1]) for i in found]
+        for i, model in zip(found, grow(df, columns, label, plans, fold, validation)):
+            estimator = jobs[i][0]
+            models[i] = BoostedModel({"kind": estimator.kind, "columns": estimator.columns, "label": label, "ranges": None}, model)
+    rest = [(lambda e=e, k=k: e.fit(df if k is None else df.filter(F.col(fold) != k))) for e, k in (jobs[i] for i in alone)]
+    for i, model in zip(alone, run_parallel(rest, parallelism)):
+        models[i] = model
+    return models
+
+
 # Committed learner settings; sizes are meant to be overridden.
 REGISTRY = {
     "LightGBM": ("lightgbm", {"n_estimators": 1, "max_depth": 12, "learning_rate": 0.01,
@@ -242,23 +321,26 @@ REGISTRY = {
                             "subsample": 1.0, "colsample_bylevel": 1.0, "scale_pos_weight": 60.7}),
     "NGBoost": ("ngboost", {"n_estimators": 1, "learning_rate": 0.01, "minibatch_frac": 0.68}),
     "NeuralNetwork": ("neural_network", {"hidden": [16], "epochs": 10}),
-    "RandomForest": ("random_forest", {"n_estimators": 1, "criterion": "gini", "max_depth": 20,
+    "RandomForest": ("random_forest", {"n_estimators": 1, "criterion": "gini", "max_features": 1, "max_depth": 20,
                                        "min_samples_leaf": 10, "class_weight": "balanced"}),
     "LogisticRegression": ("logistic_regression", {"C": 0.5, "tol": 1e-4, "fit_intercept": True,
                                                    "max_iter": 100, "class_weight": "balanced"}),
 }
 
 
-def registered(name: str, columns: Sequence[str], label: str = "label", **override):
-    """A registered learner, or the stacking / blending of the registered ones."""
+def registered(name: str, columns: Sequence[str], label: str = "label", validation: str | None = None, **override):
+    """A registered learner, or the stacking / blending of the registered ones.
+
+    ``validation`` names the rows on which boosted learners stop early, also inside an ensemble.
+    """
     if name == "Stacking":
-        base = [registered(n, columns, label) for n in ("LightGBM", "CatBoost", "XGBoost", "RandomForest")]
+        base = [registered(n, columns, label, validation) for n in ("LightGBM", "CatBoost", "XGBoost", "RandomForest")]
         return Stacking(base, label=label, **override)
     if name == "Blending":
         chosen = ("LightGBM", "CatBoost", "XGBoost", "RandomForest", "NGBoost")
-        return Blending([registered(n, columns, label) for n in chosen], label=label, **override)
+        return Blending([registered(n, columns, label, validation) for n in chosen], label=label, **override)
     kind, params = REGISTRY[name]
-    return ScoreClassifier(kind, columns, label, {**params, **override})
+    return ScoreClassifier(kind, columns, label, {**params, **override}, validation=validation if kind in BOOSTED else None)
 
 
 def run_parallel(tasks: Sequence[Callable], parallelism: int) -> list:
@@ -333,13 +415,9 @@ class Stacking(TableEstimator):
 
     def _fit(self, df: DataFrame) -> EnsembleModel:
         folded = stratified_fold(df, self.id_col, self.label, self.folds, self.seed, "_fold").persist()
-        jobs = [
-            (lambda b=b, k=k: b.fit(folded.filter(F.col("_fold") != k) if k is not None else folded))
-            for k in [*range(self.folds), None]
-            for b in self.base
-        ]
+        jobs = [(b, k) for k in [*range(self.folds), None] for b in self.base]
         try:
-            models = run_parallel(jobs, self.parallelism)
+            models = fit_together(folded, jobs, "_fold", self.parallelism)
             size = len(self.base)
             out = None
             for k in range(self.folds):
@@ -380,7 +458,7 @@ class Blending(TableEstimator):
         else:
             marked = hold_out(df, self.id_col, self.dev_size, self.seed, "_dev")
             train, dev = marked.filter(~F.col("_dev")), marked.filter(F.col("_dev"))
-        models = run_parallel([(lambda b=b: b.fit(train)) for b in self.base], self.parallelism)
+        models = fit_together(train, [(b, None) for b in self.base], None, self.parallelism)
         features = self.base[0].columns if self.use_features else []
         meta = _meta(len(models), self.label, features, self.meta_params)
         return EnsembleModel({"size": len(models)}, models, meta.fit(base_scores(dev, models)))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from statistics import fmean
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cached
 from .metrics import auc_gini
-from .models import ScoreClassifier, run_parallel
-from .tune import fold_aucs
+from .models import ScoreClassifier
+from .tune import mean_aucs
 
 
 def union_is_train(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -20,10 +18,6 @@ def union_is_train(train: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def mean_auc(df: DataFrame, estimator: ScoreClassifier, fold: str) -> float:
-    return fmean(fold_aucs(df, estimator, estimator.label, fold))
-
-
 def _path_table(df: DataFrame, path: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(path, "size int, mean_auc double, columns array<string>")
 
@@ -40,7 +34,7 @@ def rfe_cv(
     with cached(df) as frame:
         while True:
             current = estimator.on(columns)
-            path.append((len(columns), mean_auc(frame, current, fold), list(columns)))
+            path.append((len(columns), mean_aucs(frame, [current], current.label, fold)[0], list(columns)))
             if len(columns) == 1:
                 break
             importances = current.fit(frame).importances()
@@ -101,12 +95,10 @@ def sequential_backward(
     """
     columns = list(estimator.columns)
     with cached(df) as frame:
-        path = [(len(columns), mean_auc(frame, estimator, fold), list(columns))]
+        path = [(len(columns), mean_aucs(frame, [estimator], estimator.label, fold)[0], list(columns))]
         while len(columns) > max(1, smallest) and (max_steps is None or len(path) <= max_steps):
             trials = [[c for c in columns if c != gone] for gone in columns]
-            scores = run_parallel(
-                [(lambda t=t: mean_auc(frame, estimator.on(t), fold)) for t in trials], parallelism
-            )
+            scores = mean_aucs(frame, [estimator.on(t) for t in trials], estimator.label, fold, parallelism)
             best = max(range(len(trials)), key=lambda i: (scores[i], -i))
             columns = trials[best]
             path.append((len(columns), scores[best], list(columns)))

@@ -115,14 +115,6 @@ def test_registered_curves_blending_and_selection_are_not_cut(spark, data, monke
     assert len(learning.model_blending(spark, "").base) == 5 and learning.feature_select(spark, "") == 5
 
 
-def test_tree_nodes_of_unbalanced_trees():
-    lines = ["GBT", " Tree 0 (weight 0.5):", "  If (feature 1 <= 2.5)", "   If (feature 0 <= -1.0E-3)", "    Predict: 1.0", "   Else (feature 0 > -1.0E-3)", "    Predict: 2.0",
-             "  Else (feature 1 > 2.5)", "   Predict: 3.0", " Tree 1 (weight 0.1):", "  Predict: 4.0"]
-    (feature, threshold, left, right, value), roots = tune.tree_nodes("\n".join(lines))
-    assert roots == [(0, 0.5, 2), (5, 0.1, 0)] and feature.tolist() == [1, 0, 0, 0, 0, 0] and threshold.tolist()[:2] == [2.5, -1e-3]
-    assert left.tolist() == [1, 2, 2, 3, 4, 5] and right.tolist() == [4, 3, 2, 3, 4, 5] and value.tolist() == [0, 0, 1, 2, 3, 4]
-
-
 def test_cross_validation_measures_both_splits(data):
     estimator = models.ScoreClassifier("logistic_regression", COLUMNS)
     out = tune.cross_validate(data, estimator).toPandas()
