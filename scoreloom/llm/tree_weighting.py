@@ -247,7 +247,7 @@ def packed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]
         yield send()
 
 
-def by_part(df: DataFrame, work, ddl: str, *order: str) -> DataFrame:
+def by_part(df: DataFrame, parts: int, work, ddl: str, *order: str) -> DataFrame:
     """``work(rows)`` of every part, whose results are rows of the DDL; a part is whole in one task."""
     schema = to_arrow(df.sparkSession, ddl)
 
@@ -255,7 +255,7 @@ def by_part(df: DataFrame, work, ddl: str, *order: str) -> DataFrame:
         for _, rows in grouped(batches):
             yield from packed(work(rows), schema)
 
-    return df.repartition("part").sortWithinPartitions("part", *order).mapInArrow(run, ddl)
+    return df.repartition(parts, "part").sortWithinPartitions("part", *order).mapInArrow(run, ddl)
 
 
 def _numbers(blob: bytes, kind: type = np.uint64) -> np.ndarray:
@@ -395,13 +395,13 @@ def learn(asked: DataFrame, depth: int, parts: int) -> DataFrame:
         keys, counts = merge([_numbers(r[1]) for r in rows], [_numbers(r[2], np.int64) for r in rows])
         yield from dealt(keys, part_of(keys >> np.uint64(8 * (depth - 1)), parts), counts)
 
-    counted = stored(by_part(asked.where("kind = 0").select("part", "keys", "values"), merged, "part int, keys binary, values binary"), "runs")
+    counted = stored(by_part(asked.where("kind = 0").select("part", "keys", "values"), parts, merged, "part int, keys binary, values binary"), "runs")
 
     def top(rows: list[tuple]) -> Iterator[tuple]:
         keys, counts = merge([_numbers(r[1]) for r in rows], [_numbers(r[2], np.int64) for r in rows])
         yield tuple(x.tolist() for x in Subtrees(keys, counts, depth).top())
 
-    packed = by_part(counted, top, "last array<long>, node array<long>, zeros array<double>, ones array<double>, below array<double>")
+    packed = by_part(counted, parts, top, "last array<long>, node array<long>, zeros array<double>, ones array<double>, below array<double>")
     rows = packed.select(F.explode(F.arrays_zip("last", "node", "zeros", "ones", "below")).alias("x")).select("x.*")
     sums = rows.groupBy("last", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
     head = spark.sparkContext.broadcast(Head([tuple(r) for r in sums.collect()]))  # at most 256 x 255 rows
@@ -410,10 +410,10 @@ def learn(asked: DataFrame, depth: int, parts: int) -> DataFrame:
         keys, counts = merge([_numbers(r[1]) for r in rows], [_numbers(r[2], np.int64) for r in rows])
         yield from dealt(keys, part_of(keys, parts), Subtrees(keys, counts, depth).log10(head.value))
 
-    return by_part(counted, scored, "part int, keys binary, values binary")
+    return by_part(counted, parts, scored, "part int, keys binary, values binary")
 
 
-def answers(asked: DataFrame, learned: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, learned: DataFrame, parts: int) -> DataFrame:
     """The log probabilities of each block's runs: ``block, kind, keys, values``."""
 
     def look_up(rows: list[tuple]) -> Iterator[tuple]:
@@ -428,10 +428,10 @@ def answers(asked: DataFrame, learned: DataFrame) -> DataFrame:
     both = learned.select("part", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("block"), "keys", "values").unionByName(
         asked.where("kind = 0").select("part", F.lit(1).alias("rank"), "block", "keys", "values")
     )
-    return by_part(both, look_up, "block long, kind int, keys binary, values binary", "rank")
+    return by_part(both, parts, look_up, "block long, kind int, keys binary, values binary", "rank")
 
 
-def word_answers(asked: DataFrame) -> DataFrame:
+def word_answers(asked: DataFrame, parts: int) -> DataFrame:
     """Training counts of each block's words, ``block, kind, keys, values``; rows without a block hold a part's
     number of training tokens and of distinct training words."""
 
@@ -445,7 +445,7 @@ def word_answers(asked: DataFrame) -> DataFrame:
         yield None, 1, b"", np.array([sum(total.values()), sum(map(bool, total.values()))], np.int64).tobytes()
 
     words = asked.where("kind = 1").select("part", "block", "keys", "values")
-    return stored(by_part(words, count, "block long, kind int, keys binary, values binary"), "words")
+    return stored(by_part(words, parts, count, "block long, kind int, keys binary, values binary"), "words")
 
 
 class _Block:
@@ -527,14 +527,14 @@ def score_documents(docs: DataFrame, depth: int = 4) -> DataFrame:
     size = blocked.agg(F.sum(F.length("body"))).first()[0] or 0
     parts = max(shuffle_width(spark), size // PART_BYTES + 1)
     asked = requests(blocked, depth, parts)
-    words = word_answers(asked)
+    words = word_answers(asked, parts)
     totals = words.where("block is null").select("values")
     found = totals.mapInArrow(_totals, "tokens long, distinct_words long").agg(F.sum("tokens"), F.sum("distinct_words")).first()
     tokens, distinct = found[0] or 0, found[1] or 0
 
     none = F.lit(None)
     rows = (
-        answers(asked, learn(asked, depth, parts))
+        answers(asked, learn(asked, depth, parts), parts)
         .unionByName(words.where("block is not null"))
         .select("block", "kind", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), "keys", "values")
         .unionByName(blocked.select("block", F.lit(2).alias("kind"), "doc_id", "held_out", F.col("body").alias("keys"), none.cast("binary").alias("values")))
@@ -565,7 +565,7 @@ def score_documents(docs: DataFrame, depth: int = 4) -> DataFrame:
                     texts_of.append((key, held_out, keys))
             yield from send()
 
-    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, ddl)
+    return rows.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, ddl)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
