@@ -33,10 +33,11 @@ from .encoder import vocabulary
 
 MARKS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
 _MARK = "[" + "".join(sorted(MARKS)) + "]"
-#: Signs that count as part of a word elsewhere but are numbers, not letters: superscripts, fractions, Roman numerals.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl") and c.isalnum())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+(?:(?=[\u0300-\U0010ffff]){_MARK}+[^\W\d_{NUMBERS}]*)*")  # no mark comes before U+0300
+WORD = re.compile(rf"[^\W\d_]+(?:(?=[\u0300-\U0010ffff]){_MARK}+[^\W\d_]*)*")  # no mark comes before U+0300
 PLAIN_WORD = re.compile("[a-z]+")
+#: Signs that the pattern takes for letters but are numbers: superscripts, fractions, Roman numerals.
+NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl") and c.isalnum())
+NUMBER = re.compile("[" + "".join(sorted(NUMBERS)) + "]+")
 START = "▁"
 FLUSH_WORDS = 300_000
 KEPT_WORDS = 300_000
@@ -51,7 +52,15 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
-    return (PLAIN_WORD if text.isascii() else WORD).findall(text)
+    if text.isascii():
+        return PLAIN_WORD.findall(text)
+    words = WORD.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    out = []
+    for word in words:
+        out += [word] if NUMBERS.isdisjoint(word) else WORD.findall(NUMBER.sub(" ", word))
+    return out
 
 
 class Lattice:
