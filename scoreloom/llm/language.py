@@ -34,7 +34,8 @@ from .encoder import vocabulary
 MARKS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
 _MARK = "[" + "".join(sorted(MARKS)) + "]"
 WORD = re.compile(rf"[^\W\d_]+(?:(?=[\u0300-\U0010ffff]){_MARK}+[^\W\d_]*)*")  # no mark comes before U+0300
-PLAIN_WORD = re.compile("[a-z]+")
+#: For ASCII texts: letters in lower case, everything else a space.
+PLAIN = bytes(c | 32 if 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(128)) + bytes(128)
 #: Signs that the pattern takes for letters but are numbers: superscripts, fractions, Roman numerals.
 NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl") and c.isalnum())
 NUMBER = re.compile("[" + "".join(sorted(NUMBERS)) + "]+")
@@ -51,10 +52,9 @@ def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters and the combining marks that follow them."""
     if not text:
         return []
-    text = text.lower()
     if text.isascii():
-        return PLAIN_WORD.findall(text)
-    words = WORD.findall(text)
+        return text.encode().translate(PLAIN).decode().split()
+    words = WORD.findall(text.lower())
     if all(map(str.isalpha, words)):
         return words
     out = []
@@ -187,7 +187,25 @@ class Unigrams:
             into += np.bincount(np.concatenate([a[2] for a in arcs]), np.concatenate(used), len(p))[:-1]
 
     def expected(self, language: int, word: str, n: float, into: np.ndarray) -> None:
-        """Add the expected number of times each piece is used in ``n`` copies of a word; in logarithms, for words of any length."""
+        """Add the expected number of times each piece is used in ``n`` copies of a word."""
+        arcs = self.lattice.arcs(word)
+        w = self._weights(arcs)[language].tolist()
+        size = len(word) + 2
+        alpha, beta = [0.0] * size, [0.0] * size
+        alpha[0] = beta[-1] = 1.0
+        for (start, end, _), x in zip(arcs, w):
+            alpha[end] += alpha[start] * x
+        if not alpha[-1] > 1e-250:
+            return self._expected_logs(language, word, n, into)
+        for (start, end, _), x in zip(reversed(arcs), reversed(w)):
+            beta[start] += beta[end] * x
+        for (start, end, pieces), x in zip(arcs, w):
+            use = n * alpha[start] * x * beta[end] / alpha[-1]
+            for piece in pieces:
+                into[piece] += use
+
+    def _expected_logs(self, language: int, word: str, n: float, into: np.ndarray) -> None:
+        """The same in logarithms, for words whose probability is too small for plain numbers."""
         arcs = self.lattice.arcs(word)
         w = np.log(self.p[language])
         logs = [sum(float(w[piece]) for piece in pieces) for _, _, pieces in arcs]
