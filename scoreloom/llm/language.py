@@ -81,6 +81,8 @@ class Lattice:
         self.pieces = {p: i for i, p in enumerate([START, *dict.fromkeys(own)])}
         self.first_byte = len(self.pieces)
         self.size = self.first_byte + 256
+        # beginnings of pieces; ``size`` for one that is no piece itself
+        self.starts = {p[:k]: self.size for p in self.pieces for k in range(1, len(p))} | self.pieces
 
     def arcs(self, word: str) -> list[tuple[int, int, tuple[int, ...]]]:
         """``(start, end, pieces)`` of every arc over the marked word, by end."""
@@ -143,15 +145,26 @@ class Unigrams:
         return by_length, odd
 
     def _table_arcs(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        """Arcs of words of one length: per stretch the piece of every word, ``lattice.size`` where there is none."""
-        get, none, n, out = self.lattice.pieces.get, self.lattice.size, len(words[0]) + 1, []
+        """Arcs of words of one length: per stretch the piece of every word, ``lattice.size`` where there is none.
+
+        From each place stretches grow only in the words whose stretch still begins a piece.
+        """
+        get, none, n, out = self.lattice.starts.get, self.lattice.size, len(words[0]) + 1, []
         marked = [START + w for w in words]
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.lattice.longest), end):
-                ids = np.array([get(m[start:end], none) for m in marked])
-                if (ids != none).any():
+        for start in range(n):
+            rows, left = np.arange(len(words)), marked
+            for end in range(start + 1, min(n, start + self.lattice.longest) + 1):
+                found = np.array([get(m[start:end], -1) for m in left])
+                rows, found = rows[found >= 0], found[found >= 0]
+                if not len(rows):
+                    break
+                if (found != none).any():
+                    ids = np.full(len(words), none)
+                    ids[rows] = found
                     out.append((start, end, ids))
-        return out
+                if end < n:
+                    left = [marked[i] for i in rows.tolist()]
+        return sorted(out, key=lambda arc: arc[1])
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities, words x languages; words of one length are passed together."""
