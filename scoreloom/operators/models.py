@@ -360,9 +360,13 @@ class EnsembleModel(TableModel):
         self.base, self.meta = base, meta
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        names = [c for c in df.columns if c not in ("score", "predicted")]
-        scored = self.meta.transform(base_scores(df, self.base))
-        return scored.select(*[F.col(f"`{c}`") for c in names], "score", "predicted")
+        return self.add_score(df, "score", "predicted")
+
+    def add_score(self, df: DataFrame, out: str, predicted: str | None = None) -> DataFrame:
+        """Add (or replace) the meta learner's probability of class 1 and, if named, the predicted class."""
+        names = [c for c in df.columns if c not in (out, predicted)]
+        scored = self.meta.add_score(base_scores(df, self.base), out, predicted)
+        return scored.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"`{c}`") for c in (out, predicted) if c])
 
     def save(self, path: str) -> None:
         super().save(path)

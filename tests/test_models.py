@@ -121,6 +121,12 @@ def test_cross_validation_measures_both_splits(data):
     assert len(out) == 6 and (out["auc"] > 0.7).all()
 
 
+def test_ensembles_are_compared_with_single_learners(data):
+    base = [models.ScoreClassifier("lightgbm", COLUMNS, params=SMALL), models.ScoreClassifier("xgboost", COLUMNS, params=SMALL)]
+    out = {r["name"]: r for r in tune.compare(data, {"one": base[0], "both": models.Blending(base)}).collect()}
+    assert out["one"]["folds"] == out["both"]["folds"] == 3 and min(r["mean_auc"] for r in out.values()) > 0.7
+
+
 def test_grid_is_complete_and_sorted(data):
     out = tune.grid_search(data, "random_forest", COLUMNS, {"n_estimators": [1, 3], "max_depth": [1, 4]}).collect()
     assert len(out) == 4 and [r["mean_auc"] for r in out] == sorted((r["mean_auc"] for r in out), reverse=True)
