@@ -13,6 +13,7 @@ happens to be stored, so a recomputed task always gives the same answer.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +25,10 @@ from ..session import shuffle_width
 
 MAX_BUCKETS = 10_000
 ROWS_PER_BUCKET = 200_000
+MAX_SKETCH = 65_535
+QUANTILE_POINTS = 256
+#: A large bucket is cut into so many slices at most, at most so often, with so many points over all columns.
+NARROW_SLICES, NARROW_PASSES, MAX_POINTS = 64, 2, 200_000
 
 
 def row_hash(id_col: str, seed: int | str) -> Column:
@@ -86,23 +91,56 @@ class ColumnStats:
 
 
 def column_stats(df: DataFrame, columns: Sequence[str], pieces: int | None = None) -> ColumnStats:
-    """All of :class:`ColumnStats` in one aggregation; the sketch has a fixed size."""
-    pieces = pieces or min(MAX_BUCKETS, shuffle_width(df.sparkSession))
-    fractions = [i / pieces for i in range(1, pieces)] or [0.5]
-    exprs = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(columns):
-        value = F.col(f"`{name}`").cast("double")
-        exprs.append(F.count(value).alias(f"n{i}"))
-        exprs.append(F.min(value).alias(f"lo{i}"))
-        exprs.append(F.max(value).alias(f"hi{i}"))
-        exprs.append(F.percentile_approx(value, fractions, max(1000, 10 * pieces)).alias(f"q{i}"))
-    row = df.agg(*exprs).first()
-
-    def part(prefix):
-        return {c: row[f"{prefix}{i}"] for i, c in enumerate(columns)}
+    """All of :class:`ColumnStats` from one scan, with ``pieces - 1`` split points per column.
+
+    Every task keeps one quantile sketch per column.  Groups of tasks merge theirs first, then each column is
+    finished in a task of its own, so no task sees the sketches of all tasks or of all columns.
+    """
+    width = min(MAX_BUCKETS, shuffle_width(df.sparkSession))
+    pieces = pieces or width
+    size = F.lit(min(MAX_SKETCH, max(1000, 4 * pieces)))
+    fractions = F.array(*[F.lit(i / pieces) for i in range(1, pieces)] or [F.lit(0.5)])
+    # Which tasks merge together has no influence on anything but the split points.
+    tagged = df.select(
+        (F.spark_partition_id() % width).alias("_group"),
+        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
+    )
+    exprs, cells = [F.count(F.lit(1)).alias("rows")], []
+    for i in range(len(columns)):
+        exprs += [
+            F.count(f"x{i}").alias(f"n{i}"),
+            F.min(f"x{i}").alias(f"lo{i}"),
+            F.max(f"x{i}").alias(f"hi{i}"),
+            F.kll_sketch_agg_double(f"x{i}", size).alias(f"s{i}"),
+        ]
+        cells += [F.lit(i), F.col("rows"), F.col(f"n{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"s{i}")]
+    merged = (
+        tagged.groupBy("_group")
+        .agg(*exprs)
+        .select(F.stack(F.lit(len(columns)), *cells).alias("var", "rows", "n", "lo", "hi", "sketch"))
+        .groupBy("var")
+        .agg(
+            F.sum("rows").alias("rows"),
+            F.sum("n").alias("n"),
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.kll_merge_agg_double("sketch", size).alias("sketch"),
+        )
+    )
+    filled = F.kll_sketch_get_n_double("sketch") > 0
+    found = {
+        r["var"]: r
+        for r in merged.select(
+            "var", "rows", "n", "lo", "hi", F.when(filled, F.kll_sketch_get_quantile_double("sketch", fractions)).alias("q")
+        ).collect()
+    }
+
+    def part(name, none=None):
+        return {c: found[i][name] if i in found else none for i, c in enumerate(columns)}
 
     sketch = {c: sorted(set(q or [])) for c, q in part("q").items()}
-    return ColumnStats(row["rows"], part("n"), part("lo"), part("hi"), sketch)
+    rows = max((r["rows"] for r in found.values()), default=0)
+    return ColumnStats(rows, part("n", 0), part("lo"), part("hi"), sketch)
 
 
 def with_buckets(df: DataFrame, points: Mapping[str, Sequence[float]], suffix: str = "_bucket"):
@@ -158,86 +196,155 @@ def running_totals(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, fractions: Mapping[str, Sequence[float]], stats: ColumnStats | None = None
-) -> tuple[dict[str, dict[float, float]], dict[str, int]]:
-    """Interpolated quantiles ``{column: {p: value}}`` and non-null counts.
-
-    Same rule as ``quantile_cont``: position ``p * (n - 1)``, linear between neighbours.  A
-    sketch splits each column into buckets, a count per bucket shows which buckets hold the
-    wanted ranks, and only those buckets are sorted.  Nothing but ranks reaches the driver.
-    """
-    columns = [c for c in fractions]
-    stats = stats or column_stats(df, columns)
-    counts, points = stats.counts, {c: stats.points(c) for c in columns}
+def _longform(df: DataFrame, points: Mapping[str, Sequence[float]]) -> DataFrame:
+    """``var, bucket, value`` for every non-null value of the columns named by ``points``, in their order."""
+    columns = list(points)
     tagged = with_buckets(df.select(*[F.col(f"`{c}`") for c in columns]), points)
     cells = [
         x
         for i, c in enumerate(columns)
         for x in (F.lit(i), F.col(f"`{c}_bucket`"), F.col(f"`{c}`").cast("double"))
     ]
-    longform = tagged.select(F.stack(F.lit(len(columns)), *cells).alias("var", "bucket", "value")).filter(
+    return tagged.select(F.stack(F.lit(len(columns)), *cells).alias("var", "bucket", "value")).filter(
         F.col("value").isNotNull()
     )
+
+
+@dataclass
+class Bucket:
+    """One interval of a column: its first rank, row count and the smallest and largest value in it."""
+
+    number: int
+    first: int
+    n: int
+    low: float
+    high: float
+
+    def holds(self, ranks: Sequence[int]) -> list[int]:
+        """Those of the sorted ``ranks`` that lie in this bucket."""
+        return ranks[bisect_left(ranks, self.first) : bisect_left(ranks, self.first + self.n)]
+
+
+def _count_buckets(df: DataFrame, points: Mapping[str, Sequence[float]]) -> dict[str, list[Bucket]]:
+    """Row count and range of every bucket of every column, in one aggregation."""
+    columns = list(points)
+    rows = (
+        _longform(df, points)
+        .groupBy("var", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        .collect()
+    )
+    found: dict[str, list[Bucket]] = {c: [] for c in columns}
+    for r in sorted(rows, key=lambda r: (r["var"], r["bucket"])):
+        done = found[columns[r["var"]]]
+        first = done[-1].first + done[-1].n if done else 0
+        done.append(Bucket(r["bucket"], first, r["n"], r["lo"], r["hi"]))
+    return found
+
+
+def _finer_points(
+    points: Mapping[str, Sequence[float]],
+    buckets: Mapping[str, Sequence[Bucket]],
+    ranks: Mapping[str, Sequence[int]],
+) -> dict[str, list[float]] | None:
+    """Split points that cut only the large buckets holding a wanted rank; None when there are none."""
+    large = {
+        c: [b for b in buckets[c] if b.n > ROWS_PER_BUCKET and b.low < b.high and b.holds(ranks[c])] for c in points
+    }
+    slices = min(NARROW_SLICES, MAX_POINTS // max(1, sum(map(len, large.values()))))
+    if not any(large.values()) or slices < 2:
+        return None
+    finer = {}
+    for c in points:
+        cuts = set()
+        for b in large[c]:
+            step = b.high / slices - b.low / slices  # the difference of the ends could overflow
+            cuts.update(b.low + step * k for k in range(slices))
+            cuts.add(b.high)
+        finer[c] = sorted(x for x in cuts if math.isfinite(x))
+    return finer
+
+
+def exact_quantiles(
+    df: DataFrame, fractions: Mapping[str, Sequence[float]], stats: ColumnStats | None = None
+) -> tuple[dict[str, dict[float, float]], dict[str, int]]:
+    """Interpolated quantiles ``{column: {p: value}}`` and non-null counts.
+
+    Same rule as ``quantile_cont``: position ``p * (n - 1)``, linear between neighbours.  Split points of a
+    sketch cut each column into buckets and one pass counts them, which shows the buckets that hold the wanted
+    ranks.  Where those are still large they alone are cut again.  Only the rows left in them are sorted.
+    Nothing but counts and ranks reaches the driver.
+    """
+    columns = list(fractions)
+    stats = stats or column_stats(df, columns, QUANTILE_POINTS)
+    counts = stats.counts
+    at: dict[tuple[str, int], float] = {}
+    ranks: dict[str, list[int]] = {}
+    for c in columns:
+        if not counts[c]:
+            continue
+        last = counts[c] - 1
+        at[c, 0], at[c, last] = stats.low[c], stats.high[c]
+        asked = {f(p * last) for p in fractions[c] for f in (math.floor, math.ceil)} - {0, last}
+        if asked and stats.low[c] == stats.high[c]:
+            at.update({(c, rank): stats.low[c] for rank in asked})
+        elif asked:
+            ranks[c] = sorted(asked)
+
+    points = {c: stats.points(c) for c in ranks}
     if any(points.values()):
-        held = {
-            (r["var"], r["bucket"]): r["n"]
-            for r in longform.groupBy("var", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-        }
+        buckets = _count_buckets(df, points)
+        for _ in range(NARROW_PASSES):
+            finer = _finer_points(points, buckets, ranks)
+            if finer is None:
+                break
+            points, buckets = finer, _count_buckets(df, finer)
     else:
-        held = {(i, 0): counts[c] for i, c in enumerate(columns) if counts[c]}
-
-    starts: dict[int, list[tuple[int, int, int]]] = {}
-    for (var, bucket), n in sorted(held.items()):
-        done = starts.setdefault(var, [])
-        first = done[-1][1] if done else 0
-        done.append((first, first + n, bucket))
-    wanted: dict[tuple[int, int], set[int]] = {}
-    for i, c in enumerate(columns):
+        buckets = {c: [Bucket(0, 0, counts[c], stats.low[c], stats.high[c])] for c in ranks}
+
+    wanted: dict[tuple[int, int], tuple[Bucket, list[int]]] = {}
+    for var, c in enumerate(ranks):
+        for b in buckets[c]:
+            held = b.holds(ranks[c])
+            if held and b.low == b.high:
+                at.update({(c, rank): b.low for rank in held})
+            elif held:
+                wanted[var, b.number] = (b, held)
+    if wanted:
+        at.update(_values_at(df, points, wanted))
+
+    def between(c: str, p: float) -> float | None:
         if not counts[c]:
-            continue
-        for p in fractions[c]:
-            pos = p * (counts[c] - 1)
-            for rank in (math.floor(pos), math.ceil(pos)):
-                for first, last, bucket in starts[i]:
-                    if first <= rank < last:
-                        wanted.setdefault((i, bucket), set()).add(rank - first)
-    spark = df.sparkSession
-    if not wanted:
-        return {c: dict.fromkeys(fractions[c]) for c in columns}, counts
-    ranks = spark.createDataFrame(
-        [(v, b, sorted(rs)) for (v, b), rs in wanted.items()],
+            return None
+        pos = p * (counts[c] - 1)
+        low, high = at[c, math.floor(pos)], at[c, math.ceil(pos)]
+        return low + (high - low) * (pos - math.floor(pos))
+
+    return {c: {p: between(c, p) for p in fractions[c]} for c in columns}, counts
+
+
+def _values_at(
+    df: DataFrame,
+    points: Mapping[str, Sequence[float]],
+    wanted: Mapping[tuple[int, int], tuple[Bucket, list[int]]],
+) -> dict[tuple[str, int], float]:
+    """Values at the wanted ranks: only the buckets that hold one are grouped by value and sorted."""
+    columns = list(points)
+    ranks = df.sparkSession.createDataFrame(
+        [(var, number, [rank - b.first for rank in held]) for (var, number), (b, held) in wanted.items()],
         "var int, bucket int, ranks array<bigint>",
     )
     inside = Window.partitionBy("var", "bucket").orderBy("value")
+    here = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    rows = _longform(df, points)
+    if any(points.values()):  # without cuts every row lies in a wanted bucket
+        rows = rows.join(F.broadcast(ranks.select("var", "bucket")), ["var", "bucket"], "left_semi")
     found = (
-        longform.join(F.broadcast(ranks.select("var", "bucket")), ["var", "bucket"], "left_semi")
-        .groupBy("var", "bucket", "value")
+        rows.groupBy("var", "bucket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(inside))
         .join(F.broadcast(ranks), ["var", "bucket"])
-        .select(
-            "var",
-            "bucket",
-            "value",
-            F.explode(
-                F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
-            ).alias("rank"),
-        )
+        .select("var", "bucket", "value", F.explode(here).alias("rank"))
         .collect()
     )
-    at = {}
-    for r in found:
-        first = next(s for s, _, b in starts[r["var"]] if b == r["bucket"])
-        at[(r["var"], r["rank"] + first)] = r["value"]
-    result: dict[str, dict[float, float]] = {}
-    for i, c in enumerate(columns):
-        result[c] = {}
-        for p in fractions[c]:
-            if not counts[c]:
-                result[c][p] = None
-                continue
-            pos = p * (counts[c] - 1)
-            low, high = at[(i, math.floor(pos))], at[(i, math.ceil(pos))]
-            result[c][p] = low + (high - low) * (pos - math.floor(pos))
-    return result, counts
+    return {(columns[r["var"]], r["rank"] + wanted[r["var"], r["bucket"]][0].first): r["value"] for r in found}

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ..base import TableEstimator, TableModel
 from ..functions.values import type_groups
-from ..session import materialize
+from ..session import materialize, store_computed
 from .encode import attach_codes, code_state, long_categories
-from .ordering import ColumnStats, column_stats, exact_quantiles
+from .ordering import QUANTILE_POINTS, ColumnStats, column_stats, exact_quantiles
 
 BIN_SCHEMA = (
     "VARNAME string, BIN int, MIN_VALUE double, MAX_VALUE double, "
@@ -271,6 +271,29 @@ def numeric_edges(
     return chosen, cells
 
 
+MEASURED_SCHEMA = BIN_SCHEMA + "".join(
+    f", {name} double"
+    for name in ("DEFAULT_RATE", "NONDEFAULT_RATE", "DIST_DEFAULT", "NONDIST_DEFAULT", "WOE", "IV")
+)
+
+
+def measured_rows(rows: Sequence[tuple]) -> list[tuple]:
+    """The bins of one variable with the measures of :func:`woe_measures`, in ``MEASURED_SCHEMA`` order."""
+    events, others = sum(r[5] for r in rows), sum(r[6] for r in rows)
+    measured, iv = [], 0.0
+    for row in rows:
+        n, bad, good = row[4:7]
+        d = bad / events if events else None
+        nd = good / others if others else None
+        if d is None or nd is None:
+            woe = None
+        else:
+            woe = math.log(nd / d) if d and nd else 0.0
+            iv += (nd - d) * woe
+        measured.append((*row, bad / n, good / n, d, nd, woe))
+    return [(*row, iv) for row in measured]
+
+
 def numeric_bin_table(spark, edges: dict[str, list[float]], cells: dict[str, Cells]) -> DataFrame:
     rows = [row for c in edges for row in bin_rows(c, cells[c], edges[c])]
     # A few rows per variable: one partition needs no shuffle for the measures.
@@ -278,15 +301,15 @@ def numeric_bin_table(spark, edges: dict[str, list[float]], cells: dict[str, Cel
 
 
 def numeric_woe_table(spark, edges: dict[str, list[float]], cells: dict[str, Cells]) -> DataFrame:
-    """Measured bins of numeric variables, computed once (a few rows per variable)."""
-    measured = woe_measures(numeric_bin_table(spark, edges, cells))
-    return spark.createDataFrame(measured.collect(), measured.schema)
+    """Measured bins of numeric variables: a few rows per variable, computed from the counts."""
+    rows = [row for c in edges for row in measured_rows(bin_rows(c, cells[c], edges[c]))]
+    return spark.createDataFrame(rows, MEASURED_SCHEMA).coalesce(1)
 
 
 def woe_numeric(df: DataFrame, columns: Sequence[str], target: str, **how) -> DataFrame:
     """WOE table of numeric variables; ``how`` as in :func:`numeric_edges`."""
     edges, cells = numeric_edges(df, columns, target, **how)
-    return woe_measures(numeric_bin_table(df.sparkSession, edges, cells))
+    return numeric_woe_table(df.sparkSession, edges, cells)
 
 
 def sketch_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]):
@@ -309,7 +332,7 @@ def split_kinds(df: DataFrame, columns: Sequence[str]):
     numeric = type_groups(df.select(*[F.col(f"`{c}`") for c in columns]))["numerical"]
     if not numeric:
         return [], list(columns), None
-    stats = column_stats(df, numeric)
+    stats = column_stats(df, numeric, QUANTILE_POINTS)
     ranged = [c for c in numeric if stats.low[c] != stats.high[c]]
     wide = {
         c
@@ -363,18 +386,21 @@ class WoeModel(TableModel):
         return df
 
 
-def _numeric_spec(table: DataFrame, edges: dict[str, list[float]]) -> dict:
-    rows = table.select("VARNAME", "BIN", "WOE").collect()
-    return {
-        c: {"edges": edges[c], "woe": [[r["BIN"], r["WOE"]] for r in rows if r["VARNAME"] == c]}
-        for c in edges
-    }
+def _numeric_spec(edges: dict[str, list[float]], cells: dict[str, Cells]) -> dict:
+    spec = {}
+    for c in edges:
+        rows = measured_rows(bin_rows(c, cells[c], edges[c]))
+        spec[c] = {"edges": edges[c], "woe": [[r[1], r[-2]] for r in rows]}
+    return spec
 
 
 def _as_text(table: DataFrame) -> DataFrame:
-    return table.withColumns(
-        {c: F.col(c).cast("string") for c in ("MIN_VALUE", "MAX_VALUE")}
-    ).drop("BIN")
+    return table.withColumns({c: F.col(c).cast("string") for c in ("MIN_VALUE", "MAX_VALUE")}).drop("BIN")
+
+
+def _needed(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """The columns a fit reads three times or more, stored first if they would be computed each time."""
+    return store_computed(df.select(target, *[F.col(f"`{c}`") for c in columns]))
 
 
 class WoeBinner(TableEstimator):
@@ -405,14 +431,14 @@ class WoeBinner(TableEstimator):
         }
 
     def _fit(self, df: DataFrame) -> WoeModel:
+        df = _needed(df, self.columns, self.target)
         numeric, categorical, stats = split_kinds(df, self.columns)
         info = {"numeric": {}, "categorical": categorical}
         parts, tables = [], {}
         if numeric:
             edges, cells = numeric_edges(df, numeric, self.target, stats=stats, **self.how)
-            table = numeric_woe_table(df.sparkSession, edges, cells)
-            info["numeric"] = _numeric_spec(table, edges)
-            parts.append(_as_text(table))
+            info["numeric"] = _numeric_spec(edges, cells)
+            parts.append(_as_text(numeric_woe_table(df.sparkSession, edges, cells)))
         if categorical:
             table = materialize(woe_categorical(df, categorical, self.target))
             tables["codes"] = table.select(
@@ -493,6 +519,7 @@ class TreeWoeBinner(TableEstimator):
         self.rules = (max_bins, min_share, min_gain)
 
     def _fit(self, df: DataFrame) -> WoeModel:
+        df = _needed(df, self.columns, self.target)
         numeric, categorical, stats = split_kinds(df, self.columns)
         info = {"numeric": {}, "categorical": categorical}
         parts, tables = [], {}
@@ -502,9 +529,8 @@ class TreeWoeBinner(TableEstimator):
             for c in numeric:
                 cuts = grow_bins(cells[c].count, cells[c].events, *self.rules)
                 edges[c] = [cells[c].edges[k - 1] for k in cuts]
-            table = numeric_woe_table(df.sparkSession, edges, cells)
-            info["numeric"] = _numeric_spec(table, edges)
-            parts.append(_as_text(table))
+            info["numeric"] = _numeric_spec(edges, cells)
+            parts.append(_as_text(numeric_woe_table(df.sparkSession, edges, cells)))
         if categorical:
             grouped = materialize(self._category_groups(df, categorical))
             bins = (

@@ -73,6 +73,14 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store_computed(df: DataFrame) -> DataFrame:
+    """:func:`store` a frame that is joined, grouped or otherwise computed; one that only reads stays as it is."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return df if node.children().isEmpty() else store(df)
+
+
 @contextmanager
 def cached(df: DataFrame) -> Iterator[DataFrame]:
     """Keep a frame that is read many times; a cache the caller made is left alone."""

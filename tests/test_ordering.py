@@ -27,6 +27,38 @@ def test_quantiles_equal_numpy(numbers, monkeypatch, rows_per_bucket):
         assert np.allclose([found[c][p] for p in fractions], np.quantile(values, fractions), atol=1e-12)
 
 
+def test_large_buckets_are_narrowed(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    steep = np.round(rng.normal(size=4000) ** 9, 3)  # even cuts of a range leave most rows in one slice
+    steep[::3] = 1.5
+    df = spark.createDataFrame([(float(x), float(i)) for i, x in enumerate(steep)], "a double, b double").repartition(5)
+    passes = []
+    count = ordering._count_buckets
+
+    def counted(frame, points):
+        passes.append(sum(map(len, points.values())))
+        return count(frame, points)
+
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 5)
+    monkeypatch.setattr(ordering, "_count_buckets", counted)
+    fractions = [i / 20 for i in range(21)]
+    stats = ordering.column_stats(df, ["a", "b"], 4)
+    found, _ = ordering.exact_quantiles(df, {"a": fractions, "b": fractions}, stats)
+    assert 1 < len(passes) <= 1 + ordering.NARROW_PASSES
+    for c, values in (("a", steep), ("b", np.arange(4000.0))):
+        assert np.allclose([found[c][p] for p in fractions], np.quantile(values, fractions), rtol=1e-12)
+
+
+def test_statistics_of_columns(numbers):
+    stats = ordering.column_stats(numbers, ["a", "b"], 4)
+    frame = numbers.toPandas()
+    assert stats.rows == 3000 and stats.counts == {"a": 3000, "b": frame["b"].count()}
+    assert (stats.low["a"], stats.high["b"]) == (frame["a"].min(), frame["b"].max())
+    assert all(frame["a"].min() <= x <= frame["a"].max() for x in stats.sketch["a"])
+    nothing = ordering.column_stats(numbers.filter("id < 0"), ["a"])
+    assert nothing.rows == 0 and nothing.counts == {"a": 0} and nothing.points("a") == []
+
+
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     found, counts = ordering.exact_quantiles(df, {"a": [0.5], "b": [0.5]})
