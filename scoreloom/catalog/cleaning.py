@@ -8,6 +8,7 @@ from ..functions import missing as fm
 from ..functions import text as ft
 from ..functions import values as fv
 from ..operators import encode, missing, select, split
+from ..session import shared_path
 from ..sources import sinks, tables
 from .base import as_long, loan_pair, loans, query, sql_fold, table, with_loans, with_pair
 
@@ -31,6 +32,19 @@ def fold_read(spark, sf):
     return tables.fold_part(folded, 2, dev=False).select("id", "label", "price")
 
 
+@query(
+    "dump_frames",
+    with_loans(f"SELECT id, label, price, priority, CAST({sql_fold(10000, 5)} AS INTEGER) AS fold, 'night' AS run FROM loans"),
+)
+def dump_frames(spark, sf):
+    """The folded table as one committed run, written twice; the second time adds nothing."""
+    folded = split.hash_fold(loans(spark, sf).select("id", "label", "price", "priority"), "id", 5, 10000)
+    path = shared_path(spark, "dump")
+    for _ in range(2):
+        sinks.commit_frame(folded, path, "night", by=["fold"])
+    return sinks.read_committed(spark, path)
+
+
 @query("submission", with_loans("SELECT id + 30000 AS id, score AS label FROM loans"))
 def submission(spark, sf):
     return sinks.submission(loans(spark, sf))

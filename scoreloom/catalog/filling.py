@@ -117,6 +117,27 @@ def pca_variance(spark, sf):
     return features.PCAFeatures(VECTOR_NAMES, 0.97).fit(df).transform(df).drop(*VECTOR_NAMES)
 
 
+_PLANE = "SELECT id, amount / 100000.0 AS x, (funds + amount / 20.0) / 10000.0 AS y FROM loans"
+
+
+@query(
+    "pca_block",
+    with_loans(
+        "SELECT id, round(p * (x - mx) + q * (y - my), 6) AS pca_0, "
+        "round(CASE WHEN a >= c THEN p * (y - my) - q * (x - mx) ELSE q * (x - mx) - p * (y - my) END, 6) AS pca_1 FROM d, u",
+        f"d AS ({_PLANE}), "
+        "s AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM d), "
+        "l AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS top FROM s), "
+        "v AS (SELECT *, CASE WHEN a >= c THEN top - c ELSE b END AS vx, CASE WHEN a >= c THEN b ELSE top - a END AS vy FROM l), "
+        "u AS (SELECT mx, my, a, c, vx / sqrt(vx * vx + vy * vy) AS p, vy / sqrt(vx * vx + vy * vy) AS q FROM v)",
+    ),
+)
+def pca_block(spark, sf):
+    """All principal components of two columns; the twin solves the 2 x 2 problem in closed form."""
+    df = loans(spark, sf).selectExpr("id", "amount / 100000.0 AS x", "(funds + amount / 20.0) / 10000.0 AS y")
+    return rounded(features.pca_block(["x", "y"]).fit(df).transform(df).drop("x", "y"), "pca_0", "pca_1")
+
+
 @query("kmeans_features")
 def kmeans_features(spark, sf):
     df = vectors(spark, sf)

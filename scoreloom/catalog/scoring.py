@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, split
+from ..operators.lookup import attach
+from ..session import shared_path, store
+from ..sources import sinks
 from .base import loans, query, rounded, sql_fold, with_loans
 
 
@@ -52,6 +55,57 @@ def auc_by_fold(spark, sf):
     return rounded(metrics.auc_gini(folded(spark, sf), by=["fold"]), "auc", "gini")
 
 
+_TRAIN_DEV = (
+    f"f AS (SELECT label, nation, {sql_fold(10000, 5)} AS held FROM loans), "
+    "t AS (SELECT nation, held, count(*) AS n, sum(label) AS e FROM f GROUP BY 1, 2), "
+    "m AS (SELECT nation, k, sum(e) / sum(n) AS score FROM t, range(5) ks(k) WHERE held <> k GROUP BY 1, 2), "
+    "c AS (SELECT k AS fold, CASE WHEN held = k THEN 'dev' ELSE 'train' END AS part, score AS threshold, sum(label) AS pos, "
+    "count(*) - sum(label) AS neg FROM f JOIN m ON f.nation IS NOT DISTINCT FROM m.nation GROUP BY 1, 2, 3), "
+    "r AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER g AS p, sum(neg) OVER g AS n FROM c "
+    "WINDOW w AS (PARTITION BY fold, part ORDER BY threshold DESC), g AS (PARTITION BY fold, part))"
+)
+
+
+@query(
+    "auc_train_dev",
+    with_loans(
+        f"SELECT CAST(fold AS INTEGER) AS fold, part, CAST(any_value(p) AS BIGINT) AS n_pos, CAST(any_value(n) AS BIGINT) AS n_neg, "
+        f"round({_AUC}, 6) AS auc, round(2 * {_AUC} - 1, 6) AS gini FROM r GROUP BY fold, part",
+        _TRAIN_DEV,
+    ),
+)
+def auc_train_dev(spark, sf):
+    """A model per fold: the mean label of the row's nation over the rows outside the fold."""
+    df = split.hash_fold(loans(spark, sf).select("id", "label", "nation"), "id", 5, 10000)
+
+    def outside(k, value):
+        return F.sum(F.when(F.col("fold") != k, value))
+
+    models = df.groupBy("nation").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.try_divide(outside(k, F.col("label")), outside(k, F.lit(1))).alias(f"score_{k}") for k in range(5)],
+    )
+    scored = attach(df, store(models), ["nation"], "n")
+    return rounded(metrics.auc_train_dev(scored, [f"score_{k}" for k in range(5)]), "auc", "gini")
+
+
+@query(
+    "params_log",
+    with_loans(
+        f"SELECT run, param, value, round({_AUC}, 6) AS metric FROM r, (VALUES ('first', 'fold', '5'), "
+        "('first', 'score', '\"score\"'), ('second', 'fold', '4')) v(run, param, value) GROUP BY 1, 2, 3",
+        _WHOLE,
+    ),
+)
+def params_log(spark, sf):
+    """A table of tuning results whose first run is written twice."""
+    auc = metrics.auc_gini(loans(spark, sf)).first()["auc"]
+    path = shared_path(spark, "params")
+    for run, params in (("first", {"fold": 5, "score": "score"}), ("second", {"fold": 4}), ("first", {"fold": 9})):
+        sinks.append_params(spark, path, run, params, auc)
+    return rounded(spark.read.parquet(path), "metric")
+
+
 @query(
     "auc_mean",
     with_loans(

@@ -86,6 +86,11 @@ class PCAFeatures(TableEstimator):
         )
 
 
+def pca_block(columns: Sequence[str]) -> PCAFeatures:
+    """All principal components: as many as there are columns of full rank."""
+    return PCAFeatures(columns, 1.0)
+
+
 def literal_matrix(rows: Sequence[Sequence[float]]) -> Column:
     """A constant array of arrays."""
     return F.from_json(F.lit(json.dumps([list(map(float, r)) for r in rows])), "array<array<double>>")

@@ -57,6 +57,25 @@ def cross_validated_auc(df: DataFrame, score: str = "score", label: str = "label
     )
 
 
+def auc_train_dev(
+    df: DataFrame, scores: Sequence[str], label: str = "label", fold: str = "fold"
+) -> DataFrame:
+    """AUC and Gini of every fold's model on its training and on its held-out rows.
+
+    ``scores[k]`` is the score by the model that did not see fold ``k``.  Rows are counted per model, part
+    and score before anything is ordered; all curves come from one job.  Result: ``fold, part`` (``train`` or
+    ``dev``), and the columns of :func:`auc_gini`.
+    """
+    pairs = [x for k, c in enumerate(scores) for x in (F.lit(k), F.col(f"`{c}`").cast("double"))]
+    stacked = df.select(
+        F.col(f"`{fold}`").alias("_held"),
+        F.col(f"`{label}`").alias("label"),
+        F.stack(F.lit(len(scores)), *pairs).alias("fold", "score"),
+    )
+    part = F.when(F.col("_held") == F.col("fold"), "dev").otherwise("train")
+    return auc_gini(stacked.withColumn("part", part), by=["fold", "part"])
+
+
 def roc_points(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """``threshold, fpr, tpr`` for every distinct score, and the origin with a NULL threshold."""
     counts = score_counts(df, score, label, by)

@@ -61,16 +61,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path beside the checkpoints, in the folder that every executor reaches."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write a wide intermediate frame once, as parquet beside the checkpoints, and read it back.
 
     Later passes then read only the columns they need instead of recomputing the frame.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/frame-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "frame")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def store_computed(df: DataFrame) -> DataFrame:

@@ -57,3 +57,61 @@ def test_ids_must_be_unique(spark, frame):
     tables.check_unique(frame, "id")
     with pytest.raises(ValueError):
         tables.check_unique(frame.unionByName(frame.limit(1)), "id")
+
+
+def test_repeated_params_add_nothing(spark, tmp_path):
+    path = f"{tmp_path}/params"
+    assert sinks.append_params(spark, path, "first", {"depth": 3}, 0.7)
+    assert not sinks.append_params(spark, path, "first", {"depth": 5}, 0.9)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("first", "depth", "3", 0.7)]
+
+
+def test_committed_runs(spark, frame, tmp_path):
+    path = f"{tmp_path}/runs of a job"
+    with pytest.raises(ValueError):
+        sinks.read_committed(spark, path)
+    assert sinks.commit_frame(frame, path, "one")
+    assert not sinks.commit_frame(frame.filter("id < 9"), path, "one")
+    assert sinks.commit_frame(frame.filter("id < 9"), path, "two", by=["label"])
+    frame.write.parquet(f"{path}/data/left-by-a-failure")
+    back = sinks.read_committed(spark, path)
+    assert {r["run"]: r["count"] for r in back.groupBy("run").count().collect()} == {"one": 250, "two": 9}
+    one = sinks.read_committed(spark, path, ["one"])
+    assert sorted(one.select(frame.columns).collect()) == sorted(frame.collect())
+    for bad in ("../x", "", "_a"):
+        with pytest.raises(ValueError):
+            sinks.commit_frame(frame, path, bad)
+    with pytest.raises(ValueError):
+        sinks.read_committed(spark, path, ["three"])
+    assert sinks.commit_frame(frame.filter("id < 0"), path, "empty", by=["label"])
+    assert sinks.read_committed(spark, path, ["empty"]).count() == 0
+
+
+def test_a_late_attempt_leaves_nothing(spark, frame, tmp_path, monkeypatch):
+    path = f"{tmp_path}/late"
+    real, calls = sinks._files, []
+
+    class Late:
+        """A file system on which another attempt commits while this one writes."""
+
+        def __init__(self, files):
+            self.files = files
+
+        def create(self, draft, overwrite):
+            if not calls:
+                calls.append(1)
+                monkeypatch.setattr(sinks, "_files", real)
+                assert sinks.commit_frame(frame.filter("id < 5"), path, "one")
+            return self.files.create(draft, overwrite)
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+    def watched(session, where):
+        files, to_path = real(session, where)
+        return Late(files), to_path
+
+    monkeypatch.setattr(sinks, "_files", watched)
+    assert not sinks.commit_frame(frame, path, "one")
+    assert sinks.read_committed(spark, path).count() == 5
+    assert len(list((tmp_path / "late" / "data").iterdir())) == 1
