@@ -85,9 +85,13 @@ def attach_codes(
     out: dict[str, str],
     fold: str | None = None,
     none: bool = True,
-    limit_bytes: int = BROADCAST_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
-    """Add each column's ``code``; ``state`` as given by :func:`code_state`."""
+    """Add each column's ``code``; ``state`` as given by :func:`code_state`.
+
+    ``limit_bytes`` (``BROADCAST_BYTES`` if None) holds for all columns together: tables are broadcast from the smallest on while their sum stays
+    below it, the others are joined.
+    """
     mapped = {
         out[c]: _map_lookup(state["maps"][c], category_value(c, none), fold)
         for c in columns
@@ -95,6 +99,13 @@ def attach_codes(
     }
     df = df.withColumns(mapped) if mapped else df
     keys = [fold] if fold else []
+    left = BROADCAST_BYTES if limit_bytes is None else limit_bytes
+    small = set()
+    for c in sorted((c for c in columns if c not in state["maps"]), key=lambda c: state["sizes"].get(c, 0)):
+        left -= state["sizes"].get(c, 0)
+        if left < 0:
+            break
+        small.add(c)
     for c in columns:
         if c in state["maps"]:
             continue
@@ -106,8 +117,9 @@ def attach_codes(
             table,
             ["_value", *keys],
             weight="n",
-            limit_bytes=limit_bytes,
-            measured=state["sizes"].get(c, 0),
+            # A column without a table (nothing was learned) counts as empty.
+            limit_bytes=0,
+            measured=0 if c in small else max(1, state["sizes"].get(c, 0)),
         ).drop("_value")
     return df
 

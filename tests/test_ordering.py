@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import ordering
-from scoreloom.operators.lookup import attach, estimated_bytes
+from scoreloom.operators import encode, ordering
+from scoreloom.operators.lookup import attach, estimated_bytes, hot_keys
 
 
 @pytest.fixture
@@ -100,3 +100,46 @@ def test_lookup_is_the_same_beyond_the_broadcast_limit(spark, limit):
     codes = {r["k"]: r["v"] for r in table.collect()}
     assert got == {i: codes.get(k) for i, k in rows}
     assert attach(df, table, ["k"], "n", limit_bytes=limit).columns == ["id", "k", "v"]
+
+
+def test_hot_keys_are_found_and_spread(spark):
+    rows = [(i, "gone" if i % 3 == 0 else (None if i % 3 == 1 else f"k{i}")) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "id long, k string").repartition(6)
+    named = {r["h"]: r["k"] for r in df.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    assert {named[h] for h in hot_keys(df, ["k"])} == {"gone", None}
+    assert hot_keys(df.filter("id < 0"), ["k"]) == []
+    # The hottest key is not in the table at all; no weight says which keys are hot.
+    table = df.filter("k is null or k <> 'gone'").groupBy("k").agg(F.max("id").alias("v"))
+    joined = attach(df, table, ["k"], limit_bytes=0)
+    codes = {r["k"]: r["v"] for r in table.collect()}
+    assert {r["id"]: r["v"] for r in joined.collect()} == {i: codes.get(k) for i, k in rows}
+    assert "_spread" in joined._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        attach(df.withColumn("k", F.col("id").cast("int")), df.select(F.col("id").alias("k")), ["k"], limit_bytes=0)
+
+
+@pytest.mark.parametrize("kind", ["frequency", "label", "mean", "fold mean"])
+def test_encoders_beyond_the_broadcast_limit(spark, monkeypatch, kind):
+    rows = [
+        (i, "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"k{i % 400}"), f"m{i % 300}", i % 5 // 3) for i in range(3000)
+    ]
+    train = spark.createDataFrame(rows, "id long, c string, d string, y int").repartition(4)
+    test = train.withColumn("c", F.when(F.col("id") % 2 == 0, "new and hot").otherwise(F.col("c")))
+    made = {
+        "frequency": lambda: encode.FrequencyEncoder(["c", "d"]),
+        "label": lambda: encode.LabelEncoder(["c", "d"], "id"),
+        "mean": lambda: encode.MeanEncoder(["c", "d"], "y", alpha=5, folds=3, id_col="id"),
+        "fold mean": lambda: encode.KFoldTargetEncoder(["c", "d"], "y", "id"),
+    }[kind]()
+    monkeypatch.setattr(encode, "MAP_ENTRIES", 0)
+    model = made.fit(train)
+
+    def results():
+        frames = [model.transform(test)]
+        if hasattr(model, "transform_train"):
+            frames.append(model.transform_train(train))
+        return [sorted(map(tuple, f.collect()), key=lambda r: r[0]) for f in frames]
+
+    wide = results()
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 0)
+    assert results() == wide
