@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import hash_prefix, shuffled_row_number
+from .ordering import hash_prefix, row_hash, shuffled_row_number
 
 
 def hash_fold(df: DataFrame, id_col: str, folds: int = 5, seed: int = 10000, out: str = "fold") -> DataFrame:
@@ -28,9 +28,19 @@ def stratified_fold(
 
 
 def sample_rows(df: DataFrame, id_col: str, rows: int, seed: int = 0) -> DataFrame:
-    """Exactly ``rows`` rows (or all, if fewer) in md5 order, without a single-task sort."""
-    numbered = shuffled_row_number(df, id_col, seed, out="_rn")
-    return numbered.filter(F.col("_rn") <= rows).drop("_rn")
+    """Exactly ``rows`` rows (or all, if fewer) with the smallest md5, then id.
+
+    Only ids are numbered, to find the last row of the draw; the rows themselves are filtered and never
+    shuffled.
+    """
+    if rows < 1:
+        return df.limit(0)
+    numbered = shuffled_row_number(df.select(id_col), id_col, seed, out="_rn")
+    last = numbered.filter(F.col("_rn") == rows).select(row_hash(id_col, seed).alias("hash"), F.col(id_col).alias("id")).first()
+    if last is None:
+        return df
+    ours = row_hash(id_col, seed)
+    return df.filter((ours < last["hash"]) | ((ours == last["hash"]) & (F.col(id_col) <= F.lit(last["id"]))))
 
 
 def hold_out(df: DataFrame, id_col: str, share: float = 0.2, seed: int = 0, out: str = "is_dev") -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import encode, ordering
+from scoreloom.operators import encode, ordering, split
 from scoreloom.operators.lookup import attach, estimated_bytes, hot_keys
 
 
@@ -143,3 +143,14 @@ def test_encoders_beyond_the_broadcast_limit(spark, monkeypatch, kind):
     wide = results()
     monkeypatch.setattr(encode, "BROADCAST_BYTES", 0)
     assert results() == wide
+
+
+def test_samples_are_exact_and_do_not_move_rows(numbers):
+    ranked = [r["id"] for r in numbers.withColumn("h", ordering.row_hash("id", 4)).orderBy("h", "id").collect()]
+    for rows in (0, 1, 777, 3000, 5000):
+        drawn = split.sample_rows(numbers, "id", rows, 4)
+        assert sorted(r["id"] for r in drawn.collect()) == sorted(ranked[:rows])
+        assert drawn.columns == numbers.columns
+    one = numbers.coalesce(1).limit(1)
+    assert "Window" not in split.sample_rows(numbers, "id", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert split.sample_rows(one.filter("id < 0"), "id", 3).count() == 0
