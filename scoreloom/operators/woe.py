@@ -21,7 +21,7 @@ from ..base import TableEstimator, TableModel
 from ..functions.values import type_groups
 from ..session import materialize, store_computed
 from .encode import attach_codes, code_state, long_categories
-from .ordering import QUANTILE_POINTS, ColumnStats, column_stats, exact_quantiles
+from .ordering import QUANTILE_POINTS, ColumnStats, column_stats, exact_quantiles, near_quantiles
 
 BIN_SCHEMA = (
     "VARNAME string, BIN int, MIN_VALUE double, MAX_VALUE double, "
@@ -254,7 +254,7 @@ def numeric_edges(
         tried = {*range(2, max_bins + 1), force_bins}
         needed = {i / n for n in tried for i in range(n + 1)}
     if approximate:
-        quantiles, counts = sketch_quantiles(df, columns, sorted(needed))
+        quantiles, counts = near_quantiles(df, columns, sorted(needed))
     else:
         quantiles, counts = exact_quantiles(df, {c: sorted(needed) for c in columns}, stats)
     filled = [c for c in columns if counts[c]]
@@ -312,17 +312,6 @@ def woe_numeric(df: DataFrame, columns: Sequence[str], target: str, **how) -> Da
     return numeric_woe_table(df.sparkSession, edges, cells)
 
 
-def sketch_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]):
-    """Approximate quantiles of all columns in one pass, with exact ends."""
-    values = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    row = df.agg(
-        *[F.percentile_approx(v, list(fractions), 100_000).alias(f"q{i}") for i, v in enumerate(values.values())],
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
-    ).first()
-    found = {c: dict(zip(fractions, row[f"q{i}"] or [None] * len(fractions))) for i, c in enumerate(columns)}
-    return found, {c: row[f"n{i}"] for i, c in enumerate(columns)}
-
-
 def split_kinds(df: DataFrame, columns: Sequence[str]):
     """Numeric columns with more than two distinct values (NULL is one), all others, statistics.
 

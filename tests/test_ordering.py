@@ -59,6 +59,14 @@ def test_statistics_of_columns(numbers):
     assert nothing.rows == 0 and nothing.counts == {"a": 0} and nothing.points("a") == []
 
 
+def test_near_quantiles(spark):
+    df = spark.range(100_000).select(F.col("id").cast("double").alias("a"), F.lit(None).cast("double").alias("b")).repartition(6)
+    found, counts = ordering.near_quantiles(df, ["a", "b"], [0.0, 0.25, 0.5, 1.0])
+    assert counts == {"a": 100_000, "b": 0} and set(found["b"].values()) == {None}
+    assert (found["a"][0.0], found["a"][1.0]) == (0.0, 99_999.0)
+    assert all(abs(found["a"][p] - p * 1e5) < 500 for p in (0.25, 0.5))
+
+
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     found, counts = ordering.exact_quantiles(df, {"a": [0.5], "b": [0.5]})
