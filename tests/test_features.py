@@ -47,11 +47,16 @@ def test_cluster_distances(cloud, target):
     assert np.allclose(got, np.linalg.norm(x[:, None] - centers[None], axis=2))
 
 
-@pytest.mark.parametrize("cell_points", [20, 2000])
-def test_neighbours_equal_brute_force(spark, monkeypatch, cell_points):
+@pytest.mark.parametrize(("cell_points", "fanout"), [(20, 1000), (2000, 1000), (8, 3), (2, 4)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, cell_points, fanout):
+    """One level, one cell, several levels, and cells that hold fewer than k points."""
     monkeypatch.setattr(neighbors, "MIN_CELL_POINTS", cell_points)
+    monkeypatch.setattr(neighbors, "FANOUT", fanout)
+    monkeypatch.setattr(neighbors, "ROOM", 50)
     rng = np.random.default_rng(4)
-    x = np.unique(np.round(rng.gamma(1.0, 2.0, size=(400, 2)), 4), axis=0)
+    # A wide cloud and a clump a thousand times as dense: cells of one level differ much in size.
+    x = np.concatenate([rng.gamma(1.0, 2.0, size=(200, 2)), 1 + rng.gamma(1.0, 0.002, size=(200, 2))])
+    x = np.unique(np.round(x, 4), axis=0)
     rows = [(str(i), int(i % 3 + 1), *map(float, p)) for i, p in enumerate(x)]
     df = spark.createDataFrame(rows, "k string, n int, a double, b double").repartition(5)
     out = neighbors.nearest_neighbors(df, ["a", "b"], "k", "n", 5).toPandas()
