@@ -5,7 +5,8 @@ A shard file holds, in this order:
 * payload: the ids of its documents one after another, raw little-endian, 2 or 4 bytes each;
 * directory: per document the key (int64), whether it has one (uint8), and the first id (uint64, one more
   entry for the end);
-* index: per level a bit array; a key's level and the rank of its bit give its slot;
+* index: per level a bit array in words of 64 and the rank of every word; a key's level and the rank of its
+  bit give its slot;
 * slots: a fingerprint (uint32) and the directory row (uint32) of each key;
 * footer: JSON with the counts and the place of every section, its length (uint32) and ``IDSHARD1``.
 
@@ -13,6 +14,10 @@ The index is built level by level: every key sets one bit of an array twice as l
 keys that are alone on their bit stay, the others go to the next level with another hash.  The rank of a
 key's bit among all set bits is its slot, so n keys fill exactly n slots and a lookup reads a constant
 expected number of bits.  A key that was never stored is refused by its fingerprint.
+
+``manifest.json`` in the folder is written last and names the shards with the first and last key of each, so
+a store can be opened again: a key's range gives its shard, the shard's index its place, and a single look-up
+reads a handful of numbers from the file, whatever its size.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +40,13 @@ from .common import shared_folder, texts, to_arrow
 from .encoder import encoder, vocabulary
 
 MAGIC = b"IDSHARD1"
-MANIFEST = "shard long, file string, docs long, keys long, ids long"
+MANIFEST = "shard long, file string, docs long, keys long, ids long, first long, last long"
+MANIFEST_FILE = "manifest.json"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ROWS = 4096
+READ_IDS = 2**24
+SHARD_BYTES = 2**30  # text per shard: bounds the keys a writer holds
+FEW = 16
 
 
 def mix64(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -50,23 +61,21 @@ def mix64(keys: np.ndarray, seed: int) -> np.ndarray:
 class PerfectHash:
     """Minimal perfect hash over distinct 64-bit keys with a stored fingerprint per slot."""
 
-    def __init__(self, levels: list[np.ndarray], fingerprints: np.ndarray):
-        self.levels = levels
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]], fingerprints: np.ndarray):
+        self.levels = levels  # number of bits, words, slots before each word
         self.fingerprints = fingerprints
-        self.ranks, base = [], 0
-        for bits in levels:
-            ones = np.concatenate(([0], np.cumsum(bits, dtype=np.int64)[:-1])) + base
-            self.ranks.append(ones)
-            base += int(bits.sum())
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        left, levels = keys, []
+        left, levels, base = keys, [], 0
         while len(left):
             size = max(64, 2 * len(left))
             place = mix64(left, len(levels)) % np.uint64(size)
             alone = np.bincount(place.astype(np.int64), minlength=size) == 1
-            levels.append(alone)
+            words = np.packbits(np.pad(alone, (0, -size % 64)), bitorder="little").view("<u8")
+            ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+            levels.append((size, words, (base + np.append(0, ones[:-1])).astype("<u4")))
+            base += int(ones[-1])
             left = left[~alone[place.astype(np.int64)]]
         index = cls(levels, np.zeros(len(keys), np.uint32))
         index.fingerprints[index._slots(keys)] = cls._fingerprint(keys)
@@ -79,10 +88,13 @@ class PerfectHash:
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         slots = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
-        for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks)):
-            place = (mix64(keys[open_], level) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[place]
-            slots[open_[hit]] = ranks[place[hit]]
+        for level, (size, words, ranks) in enumerate(self.levels):
+            place = mix64(keys[open_], level) % np.uint64(size)
+            at, bit = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
+            word = words[at]
+            hit = (word >> bit) & np.uint64(1) == 1
+            below = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            slots[open_[hit]] = ranks[at[hit]] + np.bitwise_count(below).astype(np.int64)
             open_ = open_[~hit]
             if not len(open_):
                 break
@@ -94,7 +106,7 @@ class PerfectHash:
         if not len(self.fingerprints):
             return np.full(len(keys), -1, np.int64)
         slots = self._slots(keys)
-        own = (slots >= 0) & (self.fingerprints[slots] == self._fingerprint(keys))
+        own = (slots >= 0) & (self.fingerprints[np.maximum(slots, 0)] == self._fingerprint(keys))
         return np.where(own, slots, -1)
 
 
@@ -111,18 +123,18 @@ class ShardWriter:
         fs, path = _filesystem(uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out, self.width, self.ids = fs.open_output_stream(path), width, 0
-        self.keys: list[int | None] = []
-        self.starts = [0]
+        self.keys, self.valid, self.starts = array("q"), bytearray(), array("Q", [0])
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
         self.out.write(ids.astype(f"<u{self.width}").tobytes())
         self.ids += len(ids)
-        self.keys.append(key)
+        self.keys.append(0 if key is None else key)
+        self.valid.append(key is not None)
         self.starts.append(self.ids)
 
-    def close(self) -> tuple[int, int, int]:
-        valid = np.array([k is not None for k in self.keys], np.uint8)
-        keys = np.array([k if k is not None else 0 for k in self.keys], "<i8")
+    def close(self) -> tuple[int, int, int, int | None, int | None]:
+        """Numbers of documents, distinct keys and ids, smallest and largest key."""
+        valid, keys = np.frombuffer(self.valid, np.uint8), np.array(self.keys, "<i8")
         distinct, first = np.unique(keys[valid == 1], return_index=True)
         rows = np.flatnonzero(valid)[first].astype("<u4")
         index = PerfectHash.build(distinct)
@@ -130,21 +142,42 @@ class ShardWriter:
         by_slot[index._slots(distinct)] = rows
         sections, at = {}, self.ids * self.width
         parts = {"keys": keys, "valid": valid, "starts": np.array(self.starts, "<u8"), "fingerprints": index.fingerprints.astype("<u4"), "rows": by_slot}
-        parts |= {f"level{i}": np.packbits(bits) for i, bits in enumerate(index.levels)}
+        for i, (_, words, ranks) in enumerate(index.levels):
+            parts |= {f"level{i}": words, f"ranks{i}": ranks}
         for name, values in parts.items():
             data = values.tobytes()
             sections[name] = [at, len(data), str(values.dtype)]
             self.out.write(data)
             at += len(data)
-        footer = {"docs": len(keys), "keys": len(distinct), "ids": self.ids, "width": self.width, "levels": [len(b) for b in index.levels], "sections": sections}
+        footer = {"docs": len(keys), "keys": len(distinct), "ids": self.ids, "width": self.width, "levels": [size for size, *_ in index.levels], "sections": sections}
         data = json.dumps(footer).encode()
         self.out.write(data + struct.pack("<I", len(data)) + MAGIC)
         self.out.close()
-        return len(keys), len(distinct), self.ids
+        ends = (int(distinct[0]), int(distinct[-1])) if len(distinct) else (None, None)
+        return len(keys), len(distinct), self.ids, *ends
+
+
+class Section:
+    """One column of a shard file: a few elements are read where they lie, more load the column."""
+
+    def __init__(self, file, at: int, length: int, kind: str):
+        self.file, self.at, self.length, self.kind = file, at, length, np.dtype(kind)
+        self.loaded = None
+
+    def __len__(self) -> int:
+        return self.length // self.kind.itemsize
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        size = self.kind.itemsize
+        if self.loaded is None and len(rows) <= FEW:
+            return np.frombuffer(b"".join(self.file.read_at(size, self.at + int(r) * size) for r in rows), self.kind)
+        if self.loaded is None:
+            self.loaded = np.frombuffer(self.file.read_at(self.length, self.at), self.kind)
+        return self.loaded[rows]
 
 
 class ShardReader:
-    """Keyed access to one shard file."""
+    """Keyed access to one shard file; opening it reads the footer only."""
 
     def __init__(self, uri: str):
         fs, path = _filesystem(uri)
@@ -155,27 +188,39 @@ class ShardReader:
             raise ValueError(f"{uri} is not an id shard")
         self.meta = json.loads(self.file.read_at(length, size - 12 - length))
         self.keys, self.valid, self.starts = (self._section(n) for n in ("keys", "valid", "starts"))
-        levels = [np.unpackbits(self._section(f"level{i}"), count=n).astype(bool) for i, n in enumerate(self.meta["levels"])]
+        levels = [(n, self._section(f"level{i}"), self._section(f"ranks{i}")) for i, n in enumerate(self.meta["levels"])]
         self.index = PerfectHash(levels, self._section("fingerprints"))
         self.rows = self._section("rows")
 
-    def _section(self, name: str) -> np.ndarray:
-        at, length, kind = self.meta["sections"][name]
-        return np.frombuffer(self.file.read_at(length, at), kind)
+    def _section(self, name: str) -> Section:
+        return Section(self.file, *self.meta["sections"][name])
 
     def row(self, keys: np.ndarray) -> np.ndarray:
         """First directory row of each key, -1 where the shard does not hold it."""
         slots = self.index.find(keys)
-        return np.where(slots >= 0, self.rows[slots].astype(np.int64) if len(self.rows) else -1, -1)
-
-    def ids_of_row(self, row: int) -> np.ndarray:
-        width, start, end = self.meta["width"], int(self.starts[row]), int(self.starts[row + 1])
-        return np.frombuffer(self.file.read_at((end - start) * width, start * width), f"<u{width}").astype("<u4")
+        return np.where(slots >= 0, self.rows[np.maximum(slots, 0)].astype(np.int64) if len(self.rows) else -1, -1)
+
+    def ids_of_rows(self, first: int, end: int) -> list[np.ndarray]:
+        """The ids of each document from row ``first`` up to ``end``, by one read."""
+        width, starts = self.meta["width"], self.starts[np.arange(first, end + 1)].astype(np.int64)
+        data = self.file.read_at(int(starts[-1] - starts[0]) * width, int(starts[0]) * width)
+        ids = np.frombuffer(data, f"<u{width}").astype("<u4")
+        return np.split(ids, starts[1:-1] - starts[0])
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """Rows in runs of at most READ_ROWS documents and READ_IDS ids; a longer document is a run of its own."""
+        docs, at = self.meta["docs"], 0
+        starts = self.starts[np.arange(docs + 1)].astype(np.int64)
+        while at < docs:
+            end = int(np.searchsorted(starts, starts[at] + READ_IDS, "right")) - 1
+            end = max(at + 1, min(end, at + READ_ROWS, docs))
+            yield at, end
+            at = end
 
     def get(self, key: int) -> np.ndarray | None:
         """The ids stored under a key; None if there are none."""
         row = int(self.row(np.array([key], np.int64))[0])
-        return None if row < 0 else self.ids_of_row(row)
+        return None if row < 0 else self.ids_of_rows(row, row + 1)[0]
 
     def close(self) -> None:
         self.file.close()
@@ -184,8 +229,28 @@ class ShardReader:
 class TokenStore:
     """Shard files in ascending key order and the list of them (one row per shard)."""
 
-    def __init__(self, spark: SparkSession, shards: list[dict]):
-        self.spark, self.shards = spark, shards
+    def __init__(self, spark: SparkSession, folder: str, shards: list[dict]):
+        self.spark, self.folder, self.shards = spark, folder, shards
+        self.keyed = [s for s in shards if s["keys"]]
+        self.last_keys = [s["last"] for s in self.keyed]
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> TokenStore:
+        """A store that was written before; an unfinished one has no manifest and raises."""
+        fs, path = _filesystem(f"{folder}/{MANIFEST_FILE}")
+        with fs.open_input_file(path) as file:
+            return cls(spark, folder, json.loads(file.read()))
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids stored under a key (of the first document, where several share it); None if there are none."""
+        at = bisect_left(self.last_keys, key)
+        if at == len(self.keyed) or key < self.keyed[at]["first"]:
+            return None
+        reader = ShardReader(f"{self.folder}/{self.keyed[at]['file']}")
+        try:
+            return reader.get(key)
+        finally:
+            reader.close()
 
     @classmethod
     def write(cls, docs: DataFrame, vocabulary_path: str, end_id: int | None = 2, folder: str | None = None, shards: int | None = None) -> TokenStore:
@@ -197,10 +262,13 @@ class TokenStore:
         """
         spark = docs.sparkSession
         folder = folder or shared_folder(spark, "ids")
+        if shards is None:
+            size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            shards = max(shuffle_width(spark), -(-size // SHARD_BYTES))
         ordered = (
             texts(docs)
             .withColumn("tie", F.xxhash64("text"))
-            .repartitionByRange(shards or shuffle_width(spark), "doc_id", "tie")
+            .repartitionByRange(shards, "doc_id", "tie")
             .sortWithinPartitions("doc_id", "tie")
             .withColumn("shard", F.spark_partition_id().cast("long"))
             .drop("tie")
@@ -216,8 +284,8 @@ class TokenStore:
                     if writer is None:
                         words = encoder(vocabulary_path, True)
                         largest = max(words.vocabulary_size() - 1, end_id or 0)
-                        name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
-                        writer = ShardWriter(name, 2 if largest < 2**16 else 4)
+                        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids"
+                        writer = ShardWriter(f"{folder}/{name}", 2 if largest < 2**16 else 4)
                     ids = np.frombuffer(words.encode(text), np.uint32)
                     writer.add(key, ids if end_id is None else np.append(ids, np.uint32(end_id)))
             if writer is not None:
@@ -225,7 +293,12 @@ class TokenStore:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (shard, name, *counts)))], schema=schema)
 
         made = ordered.mapInArrow(run, MANIFEST).collect()  # one row per shard
-        return cls(spark, [r.asDict() for r in sorted(made)])
+        listed = [r.asDict() for r in sorted(made, key=lambda r: r["shard"])]
+        fs, path = _filesystem(f"{folder}/{MANIFEST_FILE}")
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(path) as file:
+            file.write(json.dumps(listed).encode())
+        return cls(spark, folder, listed)
 
     def read(self) -> DataFrame:
         """Per document, from the files: key, ids before it, number of ids, crc32 of the ids as 4-byte integers.
@@ -235,7 +308,7 @@ class TokenStore:
         """
         before, base = {}, 0
         for i, shard in enumerate(self.shards):
-            before[i] = (base, shard["file"])
+            before[i] = (base, f"{self.folder}/{shard['file']}")
             base += shard["ids"]
         schema = to_arrow(self.spark, ROWS)
 
@@ -244,22 +317,21 @@ class TokenStore:
                 for i in batch.column(0).to_pylist():
                     base, name = before[i]
                     reader = ShardReader(name)
-                    docs = reader.meta["docs"]
-                    for at in range(0, docs, READ_ROWS):
-                        here = np.arange(at, min(at + READ_ROWS, docs))
+                    for at, end in reader.runs():
+                        here = np.arange(at, end)
                         keys, valid = reader.keys[here], reader.valid[here] == 1
                         found = reader.row(keys)
-                        if (found[valid] < 0).any():
+                        if (found[valid] < 0).any() or (reader.keys[found[valid]] != keys[valid]).any():
                             raise ValueError(f"{name}: a stored key is not in its index")
-                        again = valid & (reader.keys[found] == keys) & (found < here)
-                        rows = np.where(valid & ~again, found, here)
-                        ids = [reader.ids_of_row(int(r)) for r in rows]
+                        # The index gives the first document of a key; later ones are read by their place.
+                        rows = np.where(valid & (found >= here), found, here)
+                        ids = reader.ids_of_rows(at, end)
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "doc_id": [int(k) if ok else None for k, ok in zip(keys, valid)],
-                                "start": [base + int(reader.starts[r]) for r in rows],
-                                "n_tokens": [len(x) for x in ids],
-                                "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids],
+                                "start": base + reader.starts[rows].astype(np.int64),
+                                "n_tokens": [len(ids[r - at]) for r in rows],
+                                "ids_crc32": [zlib.crc32(ids[r - at].tobytes()) for r in rows],
                             },
                             schema=schema,
                         )

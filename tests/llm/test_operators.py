@@ -129,6 +129,38 @@ def test_perfect_hash_is_minimal_and_refuses_foreign_keys(tmp_path):
     assert reader.get(9).tolist() == list(range(9)) and reader.get(5).tolist() == list(range(5)) and reader.get(7) is None
 
 
+def test_token_store_opens_again_and_finds_keys(spark, tmp_path):
+    plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = {i * 7: f"text {i} " + "word " * (i % 50) for i in range(300)} | {-5: "", 2**62: None}
+    rows = [*texts.items(), (None, "no key"), (None, None), (14, texts[14])]
+    folder = f"file://{tmp_path}/store"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written = token_store.TokenStore.write(docs, vocabulary("byte_bpe_50k.json"), folder=folder, shards=3)
+    store = token_store.TokenStore.open(spark, folder)
+    assert store.shards == written.shards and len(store.shards) == 3
+    for key, text in texts.items():
+        assert store.get(key).tolist() == plain.encode(text or "", add_special_tokens=False).ids + [2]
+    assert all(store.get(key) is None for key in (-6, 1, 15, 2**61, 2**63 - 1))
+    assert sorted(map(tuple, store.read().collect()), key=str) == sorted(map(tuple, written.read().collect()), key=str)
+    with pytest.raises(FileNotFoundError):
+        token_store.TokenStore.open(spark, f"file://{tmp_path}/none")
+
+
+def test_long_runs_are_cut(docs, monkeypatch, tmp_path):
+    writer = token_store.ShardWriter(f"file://{tmp_path}/a.ids", 4)
+    sizes = [0, 5, 30, 0, 2, 2, 9, 0]
+    for key, n in enumerate(sizes):
+        writer.add(key, np.arange(n, dtype=np.uint32))
+    writer.close()
+    reader = token_store.ShardReader(f"file://{tmp_path}/a.ids")
+    monkeypatch.setattr(token_store, "READ_IDS", 10)
+    monkeypatch.setattr(token_store, "READ_ROWS", 3)
+    runs = list(reader.runs())
+    assert [r for at, end in runs for r in range(at, end)] == list(range(len(sizes)))
+    assert all(end - at <= 3 and (end - at == 1 or sum(sizes[at:end]) <= 10) for at, end in runs)
+    assert [len(x) for at, end in runs for x in reader.ids_of_rows(at, end)] == sizes
+
+
 def test_encoder_cuts_like_the_library():
     odd = ["a  b\n\n c \t d's  ", "  x", "x\n", " 's it's\n 'll", "a b  c", "é́ ΑΣ Σ", "日本語 123  45", " \n\n a\r\nb", "٣٤ x²", "a\x1cb \x1c"]
     for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
