@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bpca, closest, features, impute, resample
+from ..operators import bpca, closest, features, impute, kmeans, resample
 from .base import loan_pair, loans, query, rounded, table, with_loans, with_pair
 
 
@@ -141,10 +141,34 @@ def pca_block(spark, sf):
 @query("kmeans_features")
 def kmeans_features(spark, sf):
     df = vectors(spark, sf)
-    model = features.KMeansFeaturizer(VECTOR_NAMES, k=10, target="label", seeds=20, max_iter=10).fit(df)
+    model = features.KMeansFeaturizer(VECTOR_NAMES, k=100, target="label", seeds=20, max_iter=20).fit(df)
     return model.transform(df).select("id", "cluster_distance")
 
 
+@query(
+    "two_means",
+    with_loans(
+        "SELECT round(s / n, 4) AS lower, round((ts - s) / (tn - n), 4) AS upper, n AS n_lower, tn - n AS n_upper FROM c WHERE tn > n "
+        "ORDER BY s * s / n + (ts - s) * (ts - s) / (tn - n) DESC LIMIT 1",
+        "v AS (SELECT amount / 1000.0 AS x, count(*) AS m FROM loans GROUP BY 1), "
+        "c AS (SELECT sum(m) OVER (ORDER BY x) AS n, sum(m * x) OVER (ORDER BY x) AS s, sum(m) OVER () AS tn, sum(m * x) OVER () AS ts FROM v)",
+    ),
+)
+def two_means(spark, sf):
+    """The best two clusters of one column; the twin tries every cut."""
+    x = F.expr("amount / 1000.0").cast("double")
+    df = loans(spark, sf).select(x.alias("x"))
+    found, _ = kmeans.ManyStarts(2, starts=20, max_iter=100, tol=1e-7).fit(df.select(F.array("x").alias("x")))
+    lower, upper = sorted(float(c) for c in found[:, 0])
+    side = F.abs(F.col("x") - F.lit(lower)) <= F.abs(F.col("x") - F.lit(upper))
+    return df.agg(
+        F.round(F.lit(lower), 4).alias("lower"),
+        F.round(F.lit(upper), 4).alias("upper"),
+        F.count(F.when(side, 1)).alias("n_lower"),
+        F.count(F.when(~side, 1)).alias("n_upper"),
+    )
+
+
 _CENTERS = [[0.0] * 64, [0.1] * 64, [(-1) ** i * 0.2 for i in range(64)]]
 
 

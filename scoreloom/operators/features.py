@@ -6,13 +6,13 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..base import TableEstimator, TableModel
+from .kmeans import ManyStarts
 
 
 class MinMaxModel(TableModel):
@@ -156,17 +156,8 @@ class KMeansFeaturizer(TableEstimator):
         if self.target:
             inputs.append((F.col(self.target) * F.lit(float(self.target_scale))).alias("_hint"))
         frame = df.select(*inputs)
-        vectors = VectorAssembler(inputCols=frame.columns, outputCol="features").transform(frame)
-        vectors = vectors.select("features").persist()
-        try:
-            fits = [
-                KMeans(k=self.k, seed=self.seed + i, maxIter=self.max_iter).fit(vectors)
-                for i in range(self.seeds)
-            ]
-        finally:
-            vectors.unpersist()
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        centers = [c.tolist() for c in best.clusterCenters()]
+        best, _ = ManyStarts(self.k, self.seeds, self.max_iter, seed=self.seed).fit(frame.select(F.array(*frame.columns).alias("x")))
+        centers = best.tolist()
         if self.target:
             centers = self._refine(frame, [c[:-1] for c in centers])
         return KMeansModel({"columns": self.columns, "centers": centers, "out": self.out})

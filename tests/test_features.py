@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from scoreloom.operators import features, neighbors, resample
+from scoreloom.operators import features, kmeans, neighbors, resample
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,32 @@ def test_cluster_distances(cloud, target):
     assert np.allclose(got, np.linalg.norm(x[:, None] - centers[None], axis=2))
 
 
+def test_clusters_of_many_starts(spark):
+    """The best start ends in a fixed point, finds separate clumps, and does not depend on partitions."""
+    rng = np.random.default_rng(8)
+    middle = np.array([[0, 0], [50, 0], [0, 50], [50, 50], [100, 100]], dtype=float) + 1e4
+    x = np.concatenate([m + rng.normal(size=(60, 2)) for m in middle])
+    frame = spark.createDataFrame([(p.tolist(),) for p in x], "x array<double>")
+    centers, cost = kmeans.ManyStarts(5, starts=4, max_iter=20, seed=3).fit(frame.repartition(3))
+    square = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
+    assert np.isclose(cost, square.min(axis=1).sum())
+    label = square.argmin(axis=1)
+    assert np.allclose(centers, [x[label == j].mean(axis=0) for j in range(5)])
+    assert np.allclose(sorted(np.round(centers, -1).tolist()), sorted(middle.tolist()))
+    again, _ = kmeans.ManyStarts(5, starts=4, max_iter=20, seed=3).fit(frame.coalesce(1))
+    assert np.allclose(centers, again)
+
+
+def test_fewer_points_than_clusters(spark):
+    frame = spark.createDataFrame([([1.0],), ([1.0],), ([4.0],)], "x array<double>")
+    centers, cost = kmeans.ManyStarts(5, starts=2).fit(frame)
+    assert sorted(centers.ravel()) == [1.0, 4.0] and cost == 0
+    with pytest.raises(Exception, match="complete rows"):
+        kmeans.ManyStarts(2, starts=2).fit(spark.createDataFrame([([1.0],), ([None],)], "x array<double>"))
+    with pytest.raises(ValueError, match="at least one row"):
+        kmeans.ManyStarts(2, starts=2).fit(frame.limit(0))
+
+
 @pytest.mark.parametrize(("cell_points", "fanout"), [(20, 1000), (2000, 1000), (8, 3), (2, 4)])
 def test_neighbours_equal_brute_force(spark, monkeypatch, cell_points, fanout):
     """One level, one cell, several levels, and cells that hold fewer than k points."""
