@@ -245,19 +245,19 @@ def target_profile(spark, sf):
 @query(
     "kde_by_class",
     with_loans(
-        "SELECT label, step, round(lo + step * (hi - lo) / 49, 4) AS x, "
-        "round(sum(rows * exp(-0.5 * pow((lo + step * (hi - lo) / 49 - (lo + (cell + 0.5) * (hi - lo) / 128)) / bw, 2))) "
+        "SELECT label, step, round(lo + step * (hi - lo) / 99, 4) AS x, "
+        "round(sum(rows * exp(-0.5 * pow((lo + step * (hi - lo) / 99 - (lo + (cell + 0.5) * (hi - lo) / 512)) / bw, 2))) "
         "/ (any_value(n) * any_value(bw) * sqrt(2 * pi())) * 1e6, 6) AS density_ppm "
-        "FROM hist JOIN scale USING (label), b, (SELECT CAST(i AS INTEGER) AS step FROM range(50) t(i)) "
+        "FROM hist JOIN scale USING (label), b, (SELECT CAST(i AS INTEGER) AS step FROM range(100) t(i)) "
         "GROUP BY label, step, lo, hi",
         "u AS (SELECT label, price AS v FROM loans WHERE price IS NOT NULL), b AS (SELECT min(v) AS lo, max(v) AS hi FROM u), "
         "scale AS (SELECT label, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS bw FROM u GROUP BY label), "
-        "hist AS (SELECT label, least(CAST(floor((v - lo) / ((hi - lo) / 128)) AS INTEGER), 127) AS cell, count(*) AS rows "
+        "hist AS (SELECT label, least(CAST(floor((v - lo) / ((hi - lo) / 512)) AS INTEGER), 511) AS cell, count(*) AS rows "
         "FROM u, b GROUP BY 1, 2)",
     ),
 )
 def kde_by_class(spark, sf):
-    curve = profile.kde_by_class(loans(spark, sf), "price", "label", grid=50, cells=128)
+    curve = profile.kde_by_class(loans(spark, sf), "price", "label", grid=100, cells=512)
     return curve.select("label", "step", F.round("x", 4).alias("x"), r6(F.col("density") * 1e6).alias("density_ppm"))
 
 
