@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import store
+from ..session import stored
 
 ROUNDS = 2
 CHUNK_CELLS = 2**21
@@ -66,7 +66,10 @@ class ManyStarts:
 
     def fit(self, vectors: DataFrame) -> tuple[np.ndarray, float]:
         """Centres and cost (summed squared distance) of the best start; fewer than ``k`` centres if there are fewer points."""
-        self.rows = store(vectors.select(F.xxhash64("x").alias("h"), "x"))
+        with stored(vectors.select(F.xxhash64("x").alias("h"), "x")) as self.rows:
+            return self._fit()
+
+    def _fit(self) -> tuple[np.ndarray, float]:
         centers = self._seed_centers()
         open_ = list(range(self.starts))
         for _ in range(self.max_iter):

@@ -77,6 +77,19 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """:func:`store` for the length of a fit whose result no longer reads the frame; its files are deleted afterwards."""
+    spark = df.sparkSession
+    path = shared_path(spark, "frame")
+    try:
+        df.write.parquet(path)
+        yield spark.read.parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def store_computed(df: DataFrame) -> DataFrame:
     """:func:`store` a frame that is joined, grouped or otherwise computed; one that only reads stays as it is."""
     node = df._jdf.queryExecution().optimizedPlan()

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from scoreloom import session
 from scoreloom.operators import features, kmeans, neighbors, resample
 
 
@@ -63,9 +64,11 @@ def test_clusters_of_many_starts(spark):
     assert np.allclose(centers, again)
 
 
-def test_fewer_points_than_clusters(spark):
+def test_fewer_points_than_clusters(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_path", lambda spark, kind: f"file://{tmp_path}/{kind}")
     frame = spark.createDataFrame([([1.0],), ([1.0],), ([4.0],)], "x array<double>")
     centers, cost = kmeans.ManyStarts(5, starts=2).fit(frame)
+    assert not (tmp_path / "frame").exists()
     assert sorted(centers.ravel()) == [1.0, 4.0] and cost == 0
     with pytest.raises(Exception, match="complete rows"):
         kmeans.ManyStarts(2, starts=2).fit(spark.createDataFrame([([1.0],), ([None],)], "x array<double>"))
