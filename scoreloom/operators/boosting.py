@@ -10,6 +10,9 @@ trees are replayed, so a lost block is made again from the frame and the trees.
 
 When all blocks together are small (``BROADCAST_BYTES``, measured), passes would spend their time on starting tasks.  The blocks
 are then broadcast and every model grows in a task of its own, by the same steps.
+
+A tree cannot tell rows apart whose bins are equal.  When the blocks are not small and no model samples rows, rows of equal bins, label,
+fold and flag are therefore counted first, in one shuffle, and all passes run over the counted cells.
 """
 
 from __future__ import annotations
@@ -166,25 +169,87 @@ def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> list[np.ndarr
     return edges
 
 
-def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], label: str, fold: str | None, valid: str | None, cells: int) -> RDD:
-    """Blocks of bin numbers, labels, folds, validation flags and a hash of the values of each row."""
-    small = max(map(len, edges), default=0) < 255
-    names = [f"c{i}" for i in range(len(columns))]
-    rows = df.select(
-        *[F.col(c).alias(n) for c, n in zip(columns, names)], F.col(label).cast("double").alias("y"),
+def _bin_type(edges: list[np.ndarray]) -> type:
+    return np.uint8 if max(map(len, edges), default=0) < 255 else np.uint16
+
+
+def _bins(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Bin numbers of one column; NaN has the bin behind the last."""
+    return np.where(np.isnan(values), len(edges), np.minimum(np.searchsorted(edges, values), max(0, len(edges) - 1)))
+
+
+def _training_rows(df: DataFrame, columns: Sequence[str], label: str, fold: str | None, valid: str | None) -> DataFrame:
+    """``c0, c1, ..., y, fold, valid`` without NULL in the last two."""
+    return df.select(
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(label).cast("double").alias("y"),
         (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"), (F.coalesce(F.col(valid).cast("boolean"), F.lit(False)) if valid else F.lit(False)).alias("valid"),
     )
 
+
+def _cells(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], label: str, fold: str | None, valid: str | None) -> DataFrame:
+    """``cell, n``: the rows with equal bins, label, fold and flag, whose bytes are ``cell``, and their number."""
+    names, kind = [f"c{i}" for i in range(len(columns))], _bin_type(edges)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = batch[names].to_numpy(float)
+            x = np.empty(values.shape, kind)
+            for i, e in enumerate(edges):
+                x[:, i] = _bins(values[:, i], e)
+            rest = [batch["y"].to_numpy(np.float64), batch["fold"].to_numpy(np.int32), batch["valid"].to_numpy(bool)]
+            cells, at = distinct_rows(np.hstack([np.ascontiguousarray(v).view(np.uint8).reshape(len(batch), -1) for v in (x, *rest)]))
+            yield pd.DataFrame({"cell": [c.tobytes() for c in cells], "n": np.bincount(at, minlength=len(cells))})
+
+    rows = _training_rows(df, columns, label, fold, valid).mapInPandas(count, "cell binary, n long")
+    return rows.groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a matrix of bytes, and the number among them of every row."""
+    if not x.size:
+        return x[: min(1, len(x))], np.zeros(len(x), np.int64)
+    x = np.ascontiguousarray(x)
+    _, first, at = np.unique(x.view(f"V{x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return x[first], at
+
+
+def _cell_blocks(cells: DataFrame, edges: list[np.ndarray], tasks: int) -> RDD:
+    """Blocks as those of :func:`_blocks`, over cells; ``n`` is the number of rows of a cell."""
+    d, kind = len(edges), _bin_type(edges)
+    wide = d * np.dtype(kind).itemsize
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"cells": [b"".join(batch["cell"])], "n": [batch["n"].to_numpy(np.float64).tobytes()]})
+
+    def read(r) -> dict:
+        n = np.frombuffer(r.n, np.float64)
+        cells = np.frombuffer(r.cells, np.uint8).reshape(len(n), -1)
+        x, y, fold, valid = (np.ascontiguousarray(v) for v in np.split(cells, [wide, wide + 8, wide + 12], axis=1))
+        return {
+            "x": x.view(kind).reshape(-1, d), "y": y.view(np.float64).ravel(), "fold": fold.view(np.int32).ravel(), "valid": valid.view(bool).ravel(),
+            "key": np.zeros(len(n), np.uint64), "n": n, "score": None,
+        }
+
+    return cells.coalesce(tasks).mapInPandas(pack, "cells binary, n binary").rdd.map(read)
+
+
+def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], label: str, fold: str | None, valid: str | None, cells: int) -> RDD:
+    """Blocks of bin numbers, labels, folds, validation flags and a hash of the values of each row."""
+    d, kind = len(columns), _bin_type(edges)
+    names = [f"c{i}" for i in range(d)]
+    rows = _training_rows(df, columns, label, fold, valid)
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), BLOCK_ROWS):
                 part = batch.iloc[at : at + BLOCK_ROWS]
                 values = part[names].to_numpy(float)
-                x = np.empty(values.shape, np.uint8 if small else np.uint16)
+                x = np.empty(values.shape, kind)
                 key = np.zeros(len(part), np.uint64)
                 for i, e in enumerate(edges):
                     v = values[:, i]
-                    x[:, i] = np.where(np.isnan(v), len(e), np.minimum(np.searchsorted(e, v), max(0, len(e) - 1)))
+                    x[:, i] = _bins(v, e)
                     key = (key ^ np.where(np.isnan(v), 0.5, v + 0.0).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(29)
                 yield pd.DataFrame(
@@ -195,7 +260,6 @@ def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], labe
                 )
 
     packed = rows.mapInPandas(make, "x binary, y binary, fold binary, valid binary, key binary")
-    d, kind = len(columns), np.uint8 if small else np.uint16
 
     def read(r) -> dict:
         x = np.frombuffer(r.x, kind).reshape(-1, d)
@@ -220,7 +284,7 @@ def _sampled(key: np.ndarray, seed: int, share: float) -> np.ndarray | bool:
 class _Spread:
     """Blocks in the tasks of a cluster."""
 
-    keep = KEEP
+    keep, first_scales = KEEP, SCALES
 
     def __init__(self, blocks: RDD):
         self.base = self.blocks = blocks
@@ -256,7 +320,7 @@ class _Spread:
 class _AtHand:
     """Blocks in the memory of one task."""
 
-    keep = 1
+    keep, first_scales = 1, (0.5, 1.0, 2.0)
 
     def __init__(self, blocks: list[dict]):
         self.blocks = blocks
@@ -347,13 +411,24 @@ class _Grower:
         natural = [i for i, t in trees.items() if t is not None and self.plans[i].settings.natural and t.depth]
         scale = dict.fromkeys(trees, 1.0)
         if natural:
-            found = self.blocks.add(_trials(self.plans, self.missing), (step, {i: (pending[i], trees[i]) for i in natural}))
-            scale.update({i: _step_size(x) for i, x in zip(natural, found)})
+            scale.update(self._step_sizes({i: (pending[i], trees[i]) for i in natural}))
         for i, tree in trees.items():
             if tree is not None:
                 tree.value = [v * scale[i] * self.plans[i].settings.rate for v in tree.value]
         return trees
 
+    def _step_sizes(self, trees: dict[int, tuple[list[Tree], Tree]]) -> dict[int, float]:
+        """The scale of every new tree; scales beyond the first ones are tried where these do not settle it."""
+        losses: dict[int, dict[float, float]] = {i: {} for i in trees}
+        found: dict[int, float | None] = dict.fromkeys(trees)
+        for scales in ((0.0, *self.blocks.first_scales), [k for k in SCALES if k not in self.blocks.first_scales]):
+            open_trees = {i: trees[i] for i, scale in found.items() if scale is None}
+            if open_trees:
+                for i, x in zip(open_trees, self.blocks.add(_trials(self.plans, self.missing, scales), open_trees)):
+                    losses[i].update(zip(scales, x))
+                    found[i] = _step_size(losses[i])
+        return found
+
     def _turns(self, frontier: dict[int, list[int]]) -> Iterator[dict[int, list[int]]]:
         """The open nodes in turns whose histograms stay below a bound."""
         turn: dict[int, list[int]] = {}
@@ -510,11 +585,10 @@ def _histograms(plans: list[Plan], cells: list, missing: np.ndarray):
     return work
 
 
-def _trials(plans: list[Plan], missing: np.ndarray):
-    """Losses of the training rows without a tree and with it at every trial scale."""
+def _trials(plans: list[Plan], missing: np.ndarray, scales: Sequence[float]):
+    """Losses of the training rows with a tree at every trial scale; 0 stands for none."""
 
-    def work(block: dict, state: tuple) -> list[np.ndarray]:
-        _, turn = state
+    def work(block: dict, turn: dict) -> list[np.ndarray]:
         out, y = [], block["y"]
         for i, (trees, tree) in turn.items():
             plan = plans[i]
@@ -524,22 +598,27 @@ def _trials(plans: list[Plan], missing: np.ndarray):
             for old in trees:
                 margin = margin + old.add(x, gaps)
             move, w = tree.add(x, gaps), np.where(y[rows] == 1, plan.settings.weights[1], plan.settings.weights[0]) * block["n"][rows]
-            out.append(np.array([(w * _loss(y[rows], margin + k * move)).sum() for k in (0.0, *SCALES)]))
+            out.append(np.array([(w * _loss(y[rows], margin + k * move)).sum() for k in scales]))
         return out
 
     return work
 
 
-def _step_size(losses: np.ndarray) -> float:
-    """Double from 1 while the loss stays below that without the tree; if it does not at 1, halve until it does."""
-    without, trial = losses[0], dict(zip(SCALES, losses[1:]))
-    scale = 1.0
-    if trial[scale] < without:
-        while scale < SCALES[-1] and trial[2 * scale] < without:
-            scale *= 2
-        return scale
-    while scale > SCALES[0] and not trial[scale] < without:
-        scale /= 2
+def _step_size(losses: dict[float, float]) -> float | None:
+    """Double from 1 while the loss stays below that without the tree; if it does not at 1, halve until it does.
+
+    None if that asks for a scale without a loss.
+    """
+    scale, factor = 1.0, 2.0 if losses[1.0] < losses[0.0] else 0.5
+    while SCALES[0] <= factor * scale <= SCALES[-1]:
+        if factor * scale not in losses:
+            return None
+        better = losses[factor * scale] < losses[0.0]
+        if factor > 1 and not better:
+            return scale
+        scale *= factor
+        if factor < 1 and better:
+            return scale
     return scale
 
 
@@ -558,27 +637,42 @@ def grow(
         seen = frame.filter(~F.coalesce(F.col(valid).cast("boolean"), F.lit(False))) if valid else frame
         edges = bin_edges(seen, names, min(bins))
         rows = frame.count()
-        work = sum(len(p.columns) for p in plans) * rows
-        blocks = _blocks(frame, names, edges, "_y", fold, valid, max(1, math.ceil(work / TASK_CELLS)))
-        if rows * (len(names) * (1 if max(map(len, edges)) < 255 else 2) + 37) <= BROADCAST_BYTES:
-            return _each_alone(list(plans), edges, blocks)
-        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        per_row = sum(len(p.columns) for p in plans)
+        size = len(names) * np.dtype(_bin_type(edges)).itemsize + 37
+        if rows * size <= BROADCAST_BYTES:
+            return _each_alone(list(plans), edges, _blocks(frame, names, edges, "_y", fold, valid, max(1, math.ceil(per_row * rows / TASK_CELLS))))
+        cells = None
+        if all(p.settings.rows_share >= 1 for p in plans):
+            cells = _cells(frame, names, edges, "_y", fold, valid).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return _Grower(list(plans), edges, _Spread(blocks)).run()
+            if cells is None:
+                blocks = _blocks(frame, names, edges, "_y", fold, valid, max(1, math.ceil(per_row * rows / TASK_CELLS)))
+            else:
+                rows = cells.count()
+                blocks = _cell_blocks(cells, edges, max(1, math.ceil(per_row * rows / TASK_CELLS)))
+                if rows * size <= BROADCAST_BYTES:
+                    return _each_alone(list(plans), edges, blocks, joined=True)
+            blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                return _Grower(list(plans), edges, _Spread(blocks)).run()
+            finally:
+                blocks.unpersist()
         finally:
-            blocks.unpersist()
+            if cells is not None:
+                cells.unpersist()
     finally:
         frame.unpersist()
 
 
-def _each_alone(plans: list[Plan], edges: list[np.ndarray], blocks: RDD) -> list[Boosted]:
-    """A task per model over the broadcast blocks."""
+def _each_alone(plans: list[Plan], edges: list[np.ndarray], blocks: RDD, joined: bool = False) -> list[Boosted]:
+    """A task per model over the broadcast blocks; ``joined`` makes them one, so that alike rows of a model meet whatever block they are in."""
     context = blocks.context
-    shared = context.broadcast(blocks.collect())  # the caller has measured them
+    found = blocks.collect()  # the caller has measured them
+    shared = context.broadcast([{k: None if k == "score" else np.concatenate([b[k] for b in found]) for k in found[0]}] if joined else found)
 
     def fit(plan: Plan) -> Boosted:
         own = Plan(list(range(len(plan.columns))), plan.settings, plan.fold)
-        at_hand = _AtHand([_merged(block, plan) for block in shared.value])
+        at_hand = _AtHand([part for block in shared.value for part in _cut(_merged(block, plan))])
         return _Grower([own], [edges[c] for c in plan.columns], at_hand).run()[0]
 
     try:
@@ -587,6 +681,12 @@ def _each_alone(plans: list[Plan], edges: list[np.ndarray], blocks: RDD) -> list
         shared.unpersist()
 
 
+def _cut(block: dict) -> list[dict]:
+    """The block in parts of at most ``BLOCK_ROWS`` rows."""
+    rows = len(block["y"])
+    return [{k: None if v is None else v[at : at + BLOCK_ROWS] for k, v in block.items()} for at in range(0, max(1, rows), BLOCK_ROWS)]
+
+
 def _merged(block: dict, plan: Plan) -> dict:
     """The block with the columns of one model; rows that are alike in them are one row with their number."""
     x = np.ascontiguousarray(block["x"][:, plan.columns])
