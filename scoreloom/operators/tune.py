@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..base import TableEstimator
 from ..functions.missing import quoted
 from ..session import cached, store
-from .boosting import column_matrix
+from .boosting import Boosted, column_matrix, distinct_rows
 from .encode import FrequencyEncoder, LabelEncoder, MeanEncoder, OneHotEncoder
 from .metrics import auc_gini
 from .models import TRANSLATIONS, BoostedModel, ScoreClassifier, fit_together
@@ -149,28 +149,55 @@ def _score_cells(margin: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, -(bits & 0x7FFFFFFF), bits) >> CELL_BITS
 
 
+def _cut_points(model: Boosted, columns: int) -> list[np.ndarray]:
+    """Per column the ascending cuts of all trees."""
+    found: list[set] = [set() for _ in range(columns)]
+    for tree in model.trees:
+        for f, cut in zip(tree.feature, tree.cut):
+            if f >= 0:
+                found[f].add(cut)
+    return [np.array(sorted(f)) for f in found]
+
+
 def staged_cells(marked: DataFrame, models: Sequence[BoostedModel], steps: Sequence[int]) -> DataFrame:
     """``model, split, iteration, cell, pos, neg``: rows of ``split, label`` and the models' columns counted in cells of their score.
 
-    A task keeps counters, not rows, for every model and number of trees, and hands them on when they are many.
+    Rows between the same cuts of a model have the same scores.  They are counted first, and its trees are applied once to every such kind
+    of row.  A task then keeps counters for every model and number of trees, and hands them on when they are many.
     """
     columns = list(dict.fromkeys(c for m in models for c in m.info["columns"]))
     place = {c: i for i, c in enumerate(columns)}
     parts = [(m.model, [place[c] for c in m.info["columns"]], [s for s in steps if s <= len(m.model.trees)]) for m in models]
+    cuts = [_cut_points(boosted, len(own)) for boosted, own, _ in parts]
     names = [f"c{i}" for i in range(len(columns))]
-    ddl = "model int, split int, iteration int, cell long, pos long, neg long"
+    counts = ["neg0", "pos0", "neg1", "pos1"]  # by split and label
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, group = batch[names].to_numpy(float), 2 * (batch["split"].to_numpy() == 1) + (batch["label"].to_numpy() == 1)
+            for number, ((_, own, _), points) in enumerate(zip(parts, cuts)):
+                places = np.zeros((len(x), len(own)), np.int32)
+                for i, (c, p) in enumerate(zip(own, points)):
+                    if len(p):
+                        places[:, i] = np.where(np.isnan(x[:, c]), len(p) + 1, np.searchsorted(p, x[:, c]))
+                kinds, at = distinct_rows(places.view(np.uint8))
+                found = np.bincount(at * 4 + group, minlength=4 * len(kinds)).reshape(-1, 4)
+                yield pd.DataFrame({"model": number, "kind": [k.tobytes() for k in kinds], **dict(zip(counts, found.T))})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting, size = [], 0
         for batch in batches:
-            x, y, split = batch[names].to_numpy(float), batch["label"].to_numpy() == 1, batch["split"].to_numpy()
-            for number, (boosted, own, wanted) in enumerate(parts):
-                for step, margin in zip(wanted, boosted.margins(x[:, own], wanted)):
+            for number, rows in batch.groupby("model"):
+                (boosted, own, wanted), points = parts[number], cuts[number]
+                places = np.frombuffer(b"".join(rows["kind"]), np.int32).reshape(len(rows), len(own))
+                x = np.column_stack([np.append(p, [np.inf, np.nan])[places[:, i]] for i, p in enumerate(points)])
+                number_of = rows[counts].to_numpy(float).reshape(-1, 2, 2)
+                for step, margin in zip(wanted, boosted.margins(x, wanted)):
                     for side in (0, 1):
-                        here = split == side
+                        here = number_of[:, side].any(axis=1)
                         cells, at = np.unique(_score_cells(margin[here]), return_inverse=True)
-                        pos, every = np.bincount(at, y[here], len(cells)).astype(np.int64), np.bincount(at, minlength=len(cells))
-                        waiting.append(pd.DataFrame({"model": number, "split": side, "iteration": step, "cell": cells, "pos": pos, "neg": every - pos}))
+                        neg, pos = (np.bincount(at, number_of[here, side, y], len(cells)).astype(np.int64) for y in (0, 1))
+                        waiting.append(pd.DataFrame({"model": number, "split": side, "iteration": step, "cell": cells, "pos": pos, "neg": neg}))
                         size += len(cells)
             if size > CELL_ROWS:
                 yield _summed(waiting)
@@ -179,8 +206,11 @@ def staged_cells(marked: DataFrame, models: Sequence[BoostedModel], steps: Seque
             yield _summed(waiting)
 
     rows = marked.select("split", F.col("label").cast("int").alias("label"), *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)])
+    kinds = rows.mapInPandas(alike, "model int, kind binary, neg0 long, pos0 long, neg1 long, pos1 long")
+    kinds = kinds.groupBy("model", "kind").agg(*[F.sum(c).alias(c) for c in counts])
     keys = ("model", "split", "iteration", "cell")
-    return rows.mapInPandas(count, ddl).groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    scored = kinds.mapInPandas(count, "model int, split int, iteration int, cell long, pos long, neg long")
+    return scored.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _summed(parts: list[pd.DataFrame]) -> pd.DataFrame:

@@ -106,6 +106,39 @@ def test_both_ways_of_growing_agree(data, monkeypatch):
         assert np.allclose(next(alone.margins(x[:, plan.columns], [99])), found[0][i], atol=1e-9)
 
 
+def test_large_frames_grow_over_counted_cells(data, monkeypatch):
+    x, y = values()
+    settings = Settings(trees=6, depth=2, rate=0.3, natural=True, min_rows=5)
+    plans = [Plan([0], settings), Plan([0], Settings(trees=4, depth=2, weights=(1.0, 3.0)), 2)]
+    alone = grow(data, ["c"], "label", plans, "fold")
+    monkeypatch.setattr(boosting, "BROADCAST_BYTES", 15_000)  # 700 rows are larger than that, their cells are not
+
+    def spread(blocks):
+        raise AssertionError("passes over rows that are alike")
+
+    monkeypatch.setattr(boosting, "_Spread", spread)
+    found = grow(data, ["c"], "label", plans, "fold")
+    for a, b in zip(alone, found):
+        assert np.allclose(*[next(m.margins(x[:, [2]], [9])) for m in (a, b)], atol=1e-9)
+    assert np.allclose(next(found[0].margins(x[:, [2]], [9])), slow_margins(x[:, [2]], y, settings), atol=1e-8)
+
+
+def test_first_scales_settle_as_all_do():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        losses = dict(zip((0.0, *boosting.SCALES), r.choice([0.0, 1.0, 2.0, math.nan], 1 + len(boosting.SCALES)).tolist()))
+        scale = 1.0
+        if losses[1.0] < losses[0.0]:
+            while scale < 256 and losses[2 * scale] < losses[0.0]:
+                scale *= 2
+        else:
+            while scale > 2.0**-8 and not losses[scale] < losses[0.0]:
+                scale /= 2
+        assert boosting._step_size(losses) == scale
+        first = boosting._step_size({k: losses[k] for k in (0.0, 0.5, 1.0, 2.0)})
+        assert first is None or first == scale
+
+
 def test_gaps_go_where_they_help(data):
     model = models.registered("XGBoost", ["a"], n_estimators=1, max_depth=1, scale_pos_weight=1.0).fit(data)
     tree = model.model.trees[0]
@@ -172,6 +205,27 @@ def test_cell_aucs_are_close_to_exact_ones(data):
                 assert got[m, step][name] == pytest.approx(metrics.auc_gini(model.transform(frame)).first()["auc"], abs=2e-3)
 
 
+def test_curves_apply_trees_once_to_rows_that_are_alike(spark):
+    class Few(Boosted):
+        def margins(self, x, steps):
+            assert len(x) <= 4  # two sides of the cut, the gaps, beyond the last cut
+            yield from Boosted.margins(self, x, steps)
+
+    tree = Tree()
+    tree.split(0, 0, 2.0, 1, False, (-1.0, 1.0))
+    tree.depth = 1
+    model = models.BoostedModel({"kind": "xgboost", "columns": ["a"], "label": "label"}, Few(0.0, [tree], [1.0]))
+    rows = [(i % 2, i % 3 % 2 if i % 50 else None, None if i % 7 == 0 else float("nan") if i % 7 == 1 else i / 100) for i in range(1000)]
+    marked = spark.createDataFrame(rows, "split int, label int, a double").repartition(3).filter("label is not null")
+    got = {(r["split"], r["cell"]): (r["pos"], r["neg"]) for r in tune.staged_cells(marked, [model], [1]).collect()}
+    for split in (0, 1):
+        kept = [(y, a is not None and a <= 2) for s, y, a in rows if s == split and y is not None]
+        for left in (False, True):
+            cell = int(tune._score_cells(np.array([-1.0 if left else 1.0]))[0])
+            assert got.pop((split, cell)) == (sum(y == 1 for y, at in kept if at == left), sum(y == 0 for y, at in kept if at == left))
+    assert not got
+
+
 def test_score_cells_keep_the_order():
     x = np.sort(np.concatenate([np.random.default_rng(0).normal(size=500), [0.0, -0.0, 1e-9, -1e-9, 30.0, -30.0]]))
     assert (np.diff(tune._score_cells(x)) >= 0).all()
