@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..base import TableEstimator, TableModel
 from .boosting import Boosted, Plan, Settings, grow, score_column
-from .features import MinMaxModel, MinMaxScaler
+from .features import MinMaxModel
 from .split import hold_out, stratified_fold
 
 # Known parameter names and the Spark parameters they stand for.
@@ -223,10 +223,7 @@ class ScoreClassifier(TableEstimator):
 
     def class_sizes(self, df: DataFrame) -> dict:
         """Rows per class; rows without a label raise."""
-        sizes = {r[0]: r[1] for r in df.groupBy(self.label).count().collect()}
-        if missing := sizes.pop(None, 0):
-            raise ValueError(f"{missing} rows have no {self.label}; filter them before training")
-        return sizes
+        return row_facts(df, self.label).of(self)[0]
 
     def grower(self, sizes: dict) -> Settings:
         """How a boosted learner grows its trees."""
@@ -238,15 +235,17 @@ class ScoreClassifier(TableEstimator):
     def _fit(self, df: DataFrame) -> ScoreModel:
         if self.kind in BOOSTED:
             return fit_together(df, [(self, None)])[0]
-        sizes = self.class_sizes(df)
-        known = df
-        ranges = MinMaxScaler(self.columns).fit(known).info["ranges"] if self.scale else None
+        return self.fit_known(df, *row_facts(df, self.label, self.columns).of(self))
+
+    def fit_known(self, df: DataFrame, sizes: dict, ranges: dict) -> ScoreModel:
+        """The fit of a learner that is not boosted, on a frame whose class sizes and column ranges are known."""
+        ranges = ranges if self.scale else None
         weights = self._weights(sizes)
         weight = F.lit(1.0)
         for value, w in weights.items():
             weight = F.when(F.col("_label") == value, F.lit(float(w))).otherwise(weight)
         frame = (
-            feature_vector(known, self.columns, ranges)
+            feature_vector(df, self.columns, ranges)
             .select("_features", F.col(self.label).cast("double").alias("_label"))
             .withColumn("_weight", weight)
             .persist()
@@ -282,11 +281,45 @@ class ScoreClassifier(TableEstimator):
         return learner(**params)
 
 
+@dataclass
+class RowFacts:
+    """Per fold and class the number of rows, and the smallest and largest value of columns."""
+
+    columns: list[str]
+    rows: list
+
+    def of(self, estimator: ScoreClassifier, without=None) -> tuple[dict, dict]:
+        """Class sizes and ranges of the estimator's columns in the rows of other folds (None: in all rows); rows without a label raise."""
+        rows = [r for r in self.rows if without is None or r["_fold"] is not None and r["_fold"] != without]
+        sizes: dict = {}
+        for r in rows:
+            sizes[r["_label"]] = sizes.get(r["_label"], 0) + r["_n"]
+        if missing := sizes.pop(None, 0):
+            raise ValueError(f"{missing} rows have no {estimator.label}; filter them before training")
+        ranges = {}
+        for i, c in enumerate(self.columns):
+            if c in estimator.columns:
+                ends = []
+                for end, best in (("lo", min), ("hi", max)):
+                    values = [r[f"{end}{i}"] for r in rows if r[f"{end}{i}"] is not None]
+                    ends.append(best(values, key=lambda v: (v != v, v), default=None))  # NaN is the largest, as in Spark
+                ranges[c] = ends
+        return sizes, ranges
+
+
+def row_facts(df: DataFrame, label: str, columns: Sequence[str] = (), fold: str | None = None) -> RowFacts:
+    """What the fits on a frame and on its folds need to know of the rows beforehand, from one scan."""
+    values = [(i, F.col(f"`{c}`").cast("double")) for i, c in enumerate(columns)]
+    ends = [e for i, v in values for e in (F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))]
+    by = [F.col(f"`{label}`").alias("_label"), (F.col(fold) if fold else F.lit(0)).alias("_fold")]
+    return RowFacts(list(columns), df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).collect())
+
+
 def fit_together(df: DataFrame, jobs: Sequence[tuple[ScoreClassifier, object]], fold: str | None = None, parallelism: int = 4) -> list[ScoreModel]:
     """Fit several learners on one frame, each without the rows of its own fold (None: on all rows).
 
     Boosted learners with the same label, validation rows and number of bins grow side by side; the result equals separate
-    fits.  The others are fitted from a few threads.
+    fits.  The others are fitted from a few threads, after one scan for the class sizes and ranges of all folds.
     """
     models: list = [None] * len(jobs)
     together: dict[tuple, list[int]] = {}
@@ -305,7 +338,19 @@ def fit_together(df: DataFrame, jobs: Sequence[tuple[ScoreClassifier, object]],
         for i, model in zip(found, grow(df, columns, label, plans, fold, validation)):
             estimator = jobs[i][0]
             models[i] = BoostedModel({"kind": estimator.kind, "columns": estimator.columns, "label": label, "ranges": None}, model)
-    rest = [(lambda e=e, k=k: e.fit(df if k is None else df.filter(F.col(fold) != k))) for e, k in (jobs[i] for i in alone)]
+    single = [i for i in alone if isinstance(jobs[i][0], ScoreClassifier)]
+    facts = {}
+    for label in dict.fromkeys(jobs[i][0].label for i in single):
+        columns = dict.fromkeys(c for i in single if jobs[i][0].label == label for c in jobs[i][0].columns)
+        facts[label] = row_facts(df, label, list(columns), fold)
+
+    def fit(estimator, k):
+        rows = df if k is None else df.filter(F.col(fold) != k)
+        if isinstance(estimator, ScoreClassifier):
+            return estimator.fit_known(rows, *facts[estimator.label].of(estimator, k))
+        return estimator.fit(rows)
+
+    rest = [(lambda e=e, k=k: fit(e, k)) for e, k in (jobs[i] for i in alone)]
     for i, model in zip(alone, run_parallel(rest, parallelism)):
         models[i] = model
     return models

@@ -115,6 +115,32 @@ def test_registered_curves_blending_and_selection_are_not_cut(spark, data, monke
     assert len(learning.model_blending(spark, "").base) == 5 and learning.feature_select(spark, "") == 5
 
 
+def test_folds_share_one_scan_for_sizes_and_ranges(data, monkeypatch):
+    forest = models.ScoreClassifier("random_forest", COLUMNS, params={"n_estimators": 2, "max_depth": 3, "class_weight": "balanced"})
+    line = models.ScoreClassifier("logistic_regression", COLUMNS[:2])
+    jobs = [(e, k) for e in (forest, line) for k in (0, 1, None)]
+    with_gap = data.withColumn("c", F.when(F.col("fold") == 0, F.col("c") + 100).otherwise(F.col("c"))).persist()
+    alone = [e.fit(with_gap if k is None else with_gap.filter(F.col("fold") != k)) for e, k in jobs]
+    scans, scan = [], models.row_facts
+    monkeypatch.setattr(models, "row_facts", lambda *a: scans.append(a) or scan(*a))
+    together = models.fit_together(with_gap, jobs, "fold")
+    assert len(scans) == 1
+    for a, b in zip(alone, together):
+        assert a.info == b.info
+        assert a.transform(data).orderBy("id").select("score").collect() == b.transform(data).orderBy("id").select("score").collect()
+
+
+def test_ranges_hold_gaps_and_nan_as_in_spark(spark):
+    rows = [(0, 0, 1.0, None), (0, 1, float("nan"), None), (1, 1, 3.0, None), (None, 1, 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "fold int, label int, a double, b double")
+    facts, estimator = models.row_facts(df, "label", ["a", "b"], "fold"), models.ScoreClassifier("random_forest", ["a", "b"])
+    assert facts.of(estimator, 0) == ({1: 1}, {"a": [3.0, 3.0], "b": [None, None]})
+    sizes, ranges = facts.of(estimator)
+    assert sizes == {0: 1, 1: 3} and ranges["a"][0] == 1.0 and ranges["a"][1] != ranges["a"][1] and ranges["b"] == [1.0, 1.0]
+    with pytest.raises(ValueError, match="1 rows have no label"):
+        models.row_facts(df.withColumn("label", F.when(F.col("a") != 3, 1)), "label", ["a"], "fold").of(estimator, 0)
+
+
 def test_cross_validation_measures_both_splits(data):
     estimator = models.ScoreClassifier("logistic_regression", COLUMNS)
     out = tune.cross_validate(data, estimator).toPandas()
