@@ -183,14 +183,9 @@ def cv_auc(spark, sf):
 
 @query("algos_compare")
 def algos_compare(spark, sf):
-    return tune.compare(
-        folded(spark, sf),
-        {
-            "logistic": learner("logistic_regression", max_iter=10),
-            "forest": learner("random_forest", n_estimators=3, max_depth=4),
-            "blending": models.Blending([learner(n_estimators=2, max_depth=3), learner("random_forest", n_estimators=3, max_depth=4)]),
-        },
-    )
+    """All registered pipelines, each with its registered settings, compared on five folds."""
+    names = [*models.REGISTRY, "Stacking", "Blending"]
+    return tune.compare(folded(spark, sf), {name: models.registered(name, FEATURES) for name in names})
 
 
 @query("learning_curve")

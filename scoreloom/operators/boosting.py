@@ -11,15 +11,16 @@ trees are replayed, so a lost block is made again from the frame and the trees.
 When all blocks together are small (``BROADCAST_BYTES``, measured), passes would spend their time on starting tasks.  The blocks
 are then broadcast and every model grows in a task of its own, by the same steps.
 
-A tree cannot tell rows apart whose bins are equal.  When the blocks are not small and no model samples rows, rows of equal bins, label,
-fold and flag are therefore counted first, in one shuffle, and all passes run over the counted cells.
+A tree cannot tell rows apart whose bins are equal.  When the blocks are not small, rows of equal bins are therefore counted first, in one
+shuffle: a cell holds, for the training rows of every model and each label, how many rows it stands for, however many folds (and folds
+of folds) they come from.  All passes then run over the cells.  Models that sample rows keep the rows themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,10 @@ BLOCK_ROWS = 16_384
 TASK_CELLS = 400_000
 PASS_CELLS = 4_000_000
 BROADCAST_BYTES = 16 << 20
+#: Counted cells may be so many times larger than blocks to be broadcast: a task reads the numbers of its own model only.
+CELLS_FACTOR = 4
+#: Rows counted at once, bytes of counts that a task keeps, and histogram cells whose cuts are tried at once.
+COUNT_ROWS, COUNT_BYTES, CHOICE_CELLS = 1 << 17, 64 << 20, 400_000
 KEEP = 16
 SCALES = [2.0**k for k in range(-8, 9)]
 LEAST_GAIN = 1e-12
@@ -83,14 +88,14 @@ class Tree:
             self.value.append(value)
         return left, left + 1
 
-    def leaves(self, x: np.ndarray, missing: np.ndarray | None = None) -> np.ndarray:
-        """The leaf of every row of bins (``missing``: each column's bin of gaps) or of values."""
-        at = np.zeros(len(x), np.int64)
-        if not self.depth:
+    def leaves(self, x: np.ndarray, missing: np.ndarray | None = None, known: tuple[np.ndarray, int] | None = None) -> np.ndarray:
+        """The leaf of every row of bins (``missing``: each column's bin of gaps) or of values; ``known``: their nodes at some depth."""
+        at, done = known or (np.zeros(len(x), np.int64), 0)
+        if done >= self.depth:
             return at
         feature, left, right, gap_left = (np.array(v) for v in (self.feature, self.left, self.right, self.missing_left))
         cut, rows = np.array(self.cut if missing is None else self.bin), np.arange(len(x))
-        for _ in range(self.depth):
+        for _ in range(done, self.depth):
             f = feature[at]
             v = x[rows, np.maximum(f, 0)]
             gap = np.isnan(v) if missing is None else v == missing[f]
@@ -129,17 +134,27 @@ class Boosted:
 
 @dataclass
 class Plan:
-    """One model to grow: positions of its columns in the frame, settings, and the fold it must not see."""
+    """One model to grow: positions of its columns in the frame, settings, and the fold it must not see.
+
+    With several fold columns ``fold`` has a number for each of them, None where it may see all.  ``part`` is the place of its
+    training rows in the numbers of counted cells.
+    """
 
     columns: list[int]
     settings: Settings
-    fold: int | None = None
+    fold: int | tuple | None = None
+    part: int = 0
 
+    def without(self) -> tuple[tuple[int, int], ...]:
+        """Fold columns and the values whose rows are not learned from."""
+        folds = self.fold if isinstance(self.fold, tuple) else (self.fold,)
+        return tuple((i, k) for i, k in enumerate(folds) if k is not None)
 
-def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> list[np.ndarray]:
-    """Ascending upper edges per column: all distinct values if they are at most ``bins``, else about ``bins`` quantiles.
 
-    A task reports at most ``bins`` + 1 distinct values of a column; the quantiles are Spark's mergeable sketches.
+def few_values(df: DataFrame, columns: Sequence[str], bins: int) -> dict[int, list[float]]:
+    """The distinct finite values of the columns that have at most ``bins``; other columns are listed with None.
+
+    A task reports at most ``bins`` + 1 distinct values of a column.
     """
     numbers = df.select(*columns)
 
@@ -152,16 +167,31 @@ def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> list[np.ndarr
                     found[i] = np.unique(np.append(found[i], x[np.isfinite(x)]))[: bins + 1]
         yield pd.DataFrame({"i": np.repeat(np.arange(len(columns)), [len(f) for f in found]), "v": np.concatenate(found) if found else []})
 
-    values = numbers.mapInPandas(distinct, "i int, v double").distinct()
-    counts = {r.i: r.n for r in values.groupBy("i").agg(F.count("*").alias("n")).collect()}
+    values = numbers.mapInPandas(distinct, "i int, v double").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = {r.i: r.n for r in values.groupBy("i").agg(F.count("*").alias("n")).collect()}
+        few = sorted(i for i, n in counts.items() if n <= bins)
+        listed: dict = {i: [] if i in few else None for i in counts}
+        for r in values.filter(F.col("i").isin(few)).collect() if few else []:  # at most ``bins`` per column
+            listed[r.i].append(r.v)
+    finally:
+        values.unpersist()
+    return listed
+
+
+def bin_edges(df: DataFrame, columns: Sequence[str], bins: int, listed: dict | None = None) -> list[np.ndarray]:
+    """Ascending upper edges per column: all distinct values if they are at most ``bins``, else about ``bins`` quantiles.
+
+    The quantiles are Spark's mergeable sketches.  ``listed`` is what :func:`few_values` found for as many bins or more.
+    """
+    listed = few_values(df, columns, bins) if listed is None else listed
     edges = [np.empty(0)] * len(columns)
-    many, few = sorted(i for i, n in counts.items() if n > bins), sorted(i for i, n in counts.items() if n <= bins)
-    listed: dict[int, list[float]] = {i: [] for i in few}
-    for r in values.filter(F.col("i").isin(few)).collect() if few else []:  # at most ``bins`` per column
-        listed[r.i].append(r.v)
+    many = sorted(i for i, v in listed.items() if v is None or len(v) > bins)
     for i, v in listed.items():
-        edges[i] = np.array(sorted(v))
+        if i not in many:
+            edges[i] = np.array(sorted(v))
     if many:
+        numbers = df.select(*columns)
         shares = [k / bins for k in range(1, bins)] + [1.0]
         clean = numbers.select(*[F.when(~F.isnan(columns[i]) & (F.abs(columns[i]) < float("inf")), F.col(columns[i])).alias(columns[i]) for i in many])
         for i, q in zip(many, clean.approxQuantile([columns[i] for i in many], shares, 0.25 / bins)):
@@ -178,30 +208,100 @@ def _bins(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(values), len(edges), np.minimum(np.searchsorted(edges, values), max(0, len(edges) - 1)))
 
 
-def _training_rows(df: DataFrame, columns: Sequence[str], label: str, fold: str | None, valid: str | None) -> DataFrame:
-    """``c0, c1, ..., y, fold, valid`` without NULL in the last two."""
+def _training_rows(df: DataFrame, columns: Sequence[str], label: str, folds: Sequence[str], valid: str | None) -> DataFrame:
+    """``c0, c1, ..., y, fold0, fold1, ..., valid`` without NULL in the last ones."""
     return df.select(
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(label).cast("double").alias("y"),
-        (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"), (F.coalesce(F.col(valid).cast("boolean"), F.lit(False)) if valid else F.lit(False)).alias("valid"),
+        *[F.col(f"`{c}`").cast("int").alias(f"fold{i}") for i, c in enumerate(folds)],
+        (F.coalesce(F.col(valid).cast("boolean"), F.lit(False)) if valid else F.lit(False)).alias("valid"),
     )
 
 
-def _cells(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], label: str, fold: str | None, valid: str | None) -> DataFrame:
-    """``cell, n``: the rows with equal bins, label, fold and flag, whose bytes are ``cell``, and their number."""
+def _fold_matrix(batch: pd.DataFrame, folds: Sequence[str]) -> np.ndarray:
+    return np.column_stack([np.empty((len(batch), 0), np.int32), *[batch[f"fold{i}"].to_numpy(np.int32) for i in range(len(folds))]])
+
+
+def _counted(
+    df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], label: str, folds: Sequence[str], valid: str | None, parts: Sequence[tuple]
+) -> DataFrame:
+    """``cells, counts, n``: chunks of ``n`` cells of equal bins, and their numbers of rows by part and label.
+
+    A part is what :meth:`Plan.without` leaves out of the training rows; the validation rows are a last part.
+    """
     names, kind = [f"c{i}" for i in range(len(columns))], _bin_type(edges)
+    wide, slots = len(columns) * np.dtype(kind).itemsize, len(parts) + 1
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.empty((len(batch), len(names)), kind)
+            for i, (c, e) in enumerate(zip(names, edges)):
+                x[:, i] = _bins(batch[c].to_numpy(float), e)
+            marks = np.column_stack([(batch["y"].to_numpy() == 1).astype(np.int32), batch["valid"].to_numpy(bool).astype(np.int32), _fold_matrix(batch, folds)])
+            yield pd.DataFrame({"cell": [r.tobytes() for r in x], "marks": [r.tobytes() for r in marks]})
+
+    def tally(cells: list[bytes], marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), wide)
+        m = np.frombuffer(b"".join(marks), np.int32).reshape(len(cells), -1)
+        found, at = distinct_rows(x)
+        counts, place, flagged = np.zeros((len(found), slots, 2), np.uint32), 2 * at + m[:, 0], m[:, 1] == 1
+        for i, part in enumerate([*parts, None]):
+            rows = flagged if part is None else ~flagged
+            for c, value in part or ():
+                rows = rows & (m[:, 2 + c] != value)
+            counts[:, i] = np.bincount(place[rows], minlength=2 * len(found)).reshape(-1, 2)
+        return found, counts
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.empty((0, wide), np.uint8), np.empty((0, slots, 2), np.uint32)
+        cells: list[bytes] = []
+        marks: list[bytes] = []
         for batch in batches:
-            values = batch[names].to_numpy(float)
-            x = np.empty(values.shape, kind)
-            for i, e in enumerate(edges):
-                x[:, i] = _bins(values[:, i], e)
-            rest = [batch["y"].to_numpy(np.float64), batch["fold"].to_numpy(np.int32), batch["valid"].to_numpy(bool)]
-            cells, at = distinct_rows(np.hstack([np.ascontiguousarray(v).view(np.uint8).reshape(len(batch), -1) for v in (x, *rest)]))
-            yield pd.DataFrame({"cell": [c.tobytes() for c in cells], "n": np.bincount(at, minlength=len(cells))})
+            cells += list(batch["cell"])
+            marks += list(batch["marks"])
+            if len(cells) >= COUNT_ROWS:
+                held, cells, marks = _joined(held, tally(cells, marks)), [], []
+                if held[1].nbytes > COUNT_BYTES:
+                    yield _chunk(*held)
+                    held = held[0][:0], held[1][:0]
+        if cells:
+            held = _joined(held, tally(cells, marks))
+        if len(held[0]):
+            yield _chunk(*held)
+
+    rows = _training_rows(df, columns, label, folds, valid).mapInPandas(code, "cell binary, marks binary")
+    return rows.repartition("cell").mapInPandas(count, "cells binary, counts binary, n long")
+
 
-    rows = _training_rows(df, columns, label, fold, valid).mapInPandas(count, "cell binary, n long")
-    return rows.groupBy("cell").agg(F.sum("n").alias("n"))
+def _chunk(cells: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"cells": [cells.tobytes()], "counts": [counts.tobytes()], "n": [len(cells)]})
+
+
+def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of both, with their numbers added up."""
+    if not len(a[0]):
+        return b
+    return _added(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))
+
+
+def _added(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells and the sums of their numbers."""
+    found, at = distinct_rows(cells)
+    order = np.argsort(at, kind="stable")
+    return found, np.add.reduceat(counts[order], np.flatnonzero(np.diff(at[order], prepend=-1)), axis=0)
+
+
+def _read_chunk(r, width: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the cells of a chunk, and their numbers by part and label."""
+    return np.frombuffer(r.cells, kind).reshape(r.n, width), np.frombuffer(r.counts, np.uint32).reshape(r.n, -1, 2)
+
+
+def _cell_block(x: np.ndarray, counts: np.ndarray) -> dict:
+    """A block of cells: a row for each label that a cell has, ``n`` the numbers by part."""
+    kept = [np.flatnonzero(counts[:, :, y].any(axis=1)) for y in (0, 1)]
+    return {
+        "x": np.concatenate([x[k] for k in kept]), "y": np.repeat([0.0, 1.0], [len(k) for k in kept]),
+        "n": np.concatenate([counts[k, :, y] for y, k in enumerate(kept)]), "score": None,
+    }
 
 
 def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,32 +313,11 @@ def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], at
 
 
-def _cell_blocks(cells: DataFrame, edges: list[np.ndarray], tasks: int) -> RDD:
-    """Blocks as those of :func:`_blocks`, over cells; ``n`` is the number of rows of a cell."""
-    d, kind = len(edges), _bin_type(edges)
-    wide = d * np.dtype(kind).itemsize
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"cells": [b"".join(batch["cell"])], "n": [batch["n"].to_numpy(np.float64).tobytes()]})
-
-    def read(r) -> dict:
-        n = np.frombuffer(r.n, np.float64)
-        cells = np.frombuffer(r.cells, np.uint8).reshape(len(n), -1)
-        x, y, fold, valid = (np.ascontiguousarray(v) for v in np.split(cells, [wide, wide + 8, wide + 12], axis=1))
-        return {
-            "x": x.view(kind).reshape(-1, d), "y": y.view(np.float64).ravel(), "fold": fold.view(np.int32).ravel(), "valid": valid.view(bool).ravel(),
-            "key": np.zeros(len(n), np.uint64), "n": n, "score": None,
-        }
-
-    return cells.coalesce(tasks).mapInPandas(pack, "cells binary, n binary").rdd.map(read)
-
-
-def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], label: str, fold: str | None, valid: str | None, cells: int) -> RDD:
+def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], label: str, folds: Sequence[str], valid: str | None, cells: int) -> RDD:
     """Blocks of bin numbers, labels, folds, validation flags and a hash of the values of each row."""
     d, kind = len(columns), _bin_type(edges)
     names = [f"c{i}" for i in range(d)]
-    rows = _training_rows(df, columns, label, fold, valid)
+    rows = _training_rows(df, columns, label, folds, valid)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -254,7 +333,7 @@ def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], labe
                     key ^= key >> np.uint64(29)
                 yield pd.DataFrame(
                     {
-                        "x": [x.tobytes()], "y": [part["y"].to_numpy(np.float64).tobytes()], "fold": [part["fold"].to_numpy(np.int32).tobytes()],
+                        "x": [x.tobytes()], "y": [part["y"].to_numpy(np.float64).tobytes()], "fold": [_fold_matrix(part, folds).tobytes()],
                         "valid": [part["valid"].to_numpy(bool).tobytes()], "key": [key.tobytes()],
                     }
                 )
@@ -264,7 +343,7 @@ def _blocks(df: DataFrame, columns: Sequence[str], edges: list[np.ndarray], labe
     def read(r) -> dict:
         x = np.frombuffer(r.x, kind).reshape(-1, d)
         return {
-            "x": x, "y": np.frombuffer(r.y, np.float64), "fold": np.frombuffer(r.fold, np.int32), "valid": np.frombuffer(r.valid, bool),
+            "x": x, "y": np.frombuffer(r.y, np.float64), "fold": np.frombuffer(r.fold, np.int32).reshape(len(x), -1), "valid": np.frombuffer(r.valid, bool),
             "key": np.frombuffer(r.key, np.uint64), "n": np.ones(len(x)), "score": None,
         }
 
@@ -459,6 +538,11 @@ class _Grower:
         return step - best[i][1] < self.plans[i].settings.patience
 
     def _choose(self, i: int, nodes: list[int], hist: np.ndarray, columns: np.ndarray) -> list[tuple]:
+        """The best cut of every node, found for a few nodes at a time."""
+        size = max(1, CHOICE_CELLS // self.cells[i][1])
+        return [cut for at in range(0, len(nodes), size) for cut in self._best_cuts(i, nodes[at : at + size], hist[:, at : at + size], columns)]
+
+    def _best_cuts(self, i: int, nodes: list[int], hist: np.ndarray, columns: np.ndarray) -> list[tuple]:
         """The best cut of every node: ``(node, gain, column, bin, missing_left, sums of the left and the right side)``."""
         plan, (first, total) = self.plans[i], self.cells[i]
         s = plan.settings
@@ -513,9 +597,9 @@ def _tally(plans: list[Plan]):
     def work(block: dict, _) -> list[np.ndarray]:
         out = []
         for p in plans:
-            rows = _training(block, p)
+            train, _ = _numbers(block, p)
             w0, w1 = p.settings.weights
-            pos, n = float(block["n"][rows] @ block["y"][rows]), float(block["n"][rows].sum())
+            pos, n = float(train @ block["y"]), float(train.sum())
             out.append(np.array([w1 * pos + w0 * (n - pos), w1 * pos]))
         return out
 
@@ -537,7 +621,25 @@ def _scored(plans: list[Plan], missing: np.ndarray, starts: list[float]):
 
 def _training(block: dict, plan: Plan) -> np.ndarray:
     rows = ~block["valid"]
-    return rows if plan.fold is None else rows & (block["fold"] != plan.fold)
+    for c, value in plan.without():
+        rows = rows & (block["fold"][:, c] != value)
+    return rows
+
+
+def _numbers(block: dict, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """How many training rows, and validation rows, of a plan each row of the block stands for."""
+    n = block["n"]
+    if n.ndim == 2:
+        return n[:, plan.part].astype(float), n[:, -1].astype(float)
+    return np.where(_training(block, plan), n, 0.0), np.where(block["valid"], n, 0.0)
+
+
+def _nodes(block: dict, i: int, tree: Tree, x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """Where the rows stand in the tree; a block that stays in the task goes on from the last level."""
+    before = block.get(("nodes", i))
+    at = tree.leaves(x, missing, before[1:] if before is not None and before[0] is tree else None)
+    block["nodes", i] = tree, at, tree.depth
+    return at
 
 
 def _margin(block: dict, i: int, x: np.ndarray, trees: list[Tree], missing: np.ndarray) -> np.ndarray:
@@ -560,16 +662,18 @@ def _histograms(plans: list[Plan], cells: list, missing: np.ndarray):
             s, (first, total) = plan.settings, cells[i]
             x, gaps = block["x"][:, plan.columns], missing[plan.columns]
             margin = _margin(block, i, x, trees, gaps)
-            rows = _training(block, plan)
-            weight = np.where(y == 1, s.weights[1], s.weights[0]) * block["n"]
-            loss = np.zeros(4)
+            train, valid = _numbers(block, plan)
+            each = np.where(y == 1, s.weights[1], s.weights[0])
+            weight, loss = each * train, np.zeros(4)
             if level == 0:
-                each = weight * _loss(y, margin)
-                loss[:] = each[rows].sum(), weight[rows].sum(), each[block["valid"]].sum(), weight[block["valid"]].sum()
+                here = _loss(y, margin)
+                for k, n in ((0, train), (2, valid)):
+                    loss[k], loss[k + 1] = (each * n * here)[n > 0].sum(), (each * n)[n > 0].sum()
             slot = np.full(len(tree.feature), -1)
             slot[nodes] = np.arange(len(nodes))
-            at = slot[tree.leaves(x, gaps)]
-            chosen = np.flatnonzero(rows & _sampled(block["key"], s.seed * 1_000_003 + step, s.rows_share) & (at >= 0))
+            at = slot[_nodes(block, i, tree, x, gaps)]
+            drawn = s.rows_share >= 1 or _sampled(block["key"], s.seed * 1_000_003 + step, s.rows_share)
+            chosen = np.flatnonzero((train > 0) & drawn & (at >= 0))
             p = 1 / (1 + np.exp(-np.clip(margin[chosen], -30, 30)))
             curve = p * (1 - p)
             w = weight[chosen]
@@ -577,7 +681,7 @@ def _histograms(plans: list[Plan], cells: list, missing: np.ndarray):
             index = (x[chosen].astype(np.int64) + first + (at[chosen] * total)[:, None]).ravel()
             size, d = len(nodes) * total, len(first)
             sums = [np.bincount(index, np.repeat(v, d), size) for v in (g, h)]
-            sums.append(np.bincount(index, np.repeat(block["n"][chosen], d), size))
+            sums.append(np.bincount(index, np.repeat(train[chosen], d), size))
             out.append(np.stack(sums).reshape(3, len(nodes), total))
             out.append(loss)
         return out
@@ -592,12 +696,13 @@ def _trials(plans: list[Plan], missing: np.ndarray, scales: Sequence[float]):
         out, y = [], block["y"]
         for i, (trees, tree) in turn.items():
             plan = plans[i]
-            rows = _training(block, plan)
+            train, _ = _numbers(block, plan)
+            rows = train > 0
             x, gaps = block["x"][rows][:, plan.columns], missing[plan.columns]
             margin = block["score"][i][rows]
             for old in trees:
                 margin = margin + old.add(x, gaps)
-            move, w = tree.add(x, gaps), np.where(y[rows] == 1, plan.settings.weights[1], plan.settings.weights[0]) * block["n"][rows]
+            move, w = tree.add(x, gaps), np.where(y[rows] == 1, plan.settings.weights[1], plan.settings.weights[0]) * train[rows]
             out.append(np.array([(w * _loss(y[rows], margin + k * move)).sum() for k in scales]))
         return out
 
@@ -623,52 +728,76 @@ def _step_size(losses: dict[float, float]) -> float | None:
 
 
 def grow(
-    df: DataFrame, columns: Sequence[str], label: str, plans: Sequence[Plan], fold: str | None = None, valid: str | None = None
+    df: DataFrame, columns: Sequence[str], label: str, plans: Sequence[Plan], fold: str | Sequence[str] | None = None, valid: str | None = None
 ) -> list[Boosted]:
-    """Fit all plans over one frame; ``columns`` are numbers, ``label`` 0 or 1, both without further preparation."""
+    """Fit all plans over one frame; ``columns`` are numbers, ``label`` 0 or 1, both without further preparation.
+
+    ``fold`` may name several columns; plans then have a value for each.  Plans with the same number of bins grow side by side.
+    """
     names = [f"c{i}" for i in range(len(columns))]
-    extra = [F.col(f"`{c}`") for c in dict.fromkeys((fold, valid)) if c]
+    folds = [fold] if isinstance(fold, str) else list(fold or ())
+    extra = [F.col(f"`{c}`") for c in dict.fromkeys((*folds, valid)) if c]
     frame = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)], F.col(f"`{label}`").cast("double").alias("_y"), *extra)
-    bins = {p.settings.bins for p in plans}
-    if len(bins) > 1:
-        raise ValueError("models that grow together need the same number of bins")
+    groups: dict[int, list[int]] = {}
+    for i, p in enumerate(plans):
+        groups.setdefault(p.settings.bins, []).append(i)
+    found: list = [None] * len(plans)
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         seen = frame.filter(~F.coalesce(F.col(valid).cast("boolean"), F.lit(False))) if valid else frame
-        edges = bin_edges(seen, names, min(bins))
-        rows = frame.count()
-        per_row = sum(len(p.columns) for p in plans)
-        size = len(names) * np.dtype(_bin_type(edges)).itemsize + 37
-        if rows * size <= BROADCAST_BYTES:
-            return _each_alone(list(plans), edges, _blocks(frame, names, edges, "_y", fold, valid, max(1, math.ceil(per_row * rows / TASK_CELLS))))
-        cells = None
-        if all(p.settings.rows_share >= 1 for p in plans):
-            cells = _cells(frame, names, edges, "_y", fold, valid).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if cells is None:
-                blocks = _blocks(frame, names, edges, "_y", fold, valid, max(1, math.ceil(per_row * rows / TASK_CELLS)))
-            else:
-                rows = cells.count()
-                blocks = _cell_blocks(cells, edges, max(1, math.ceil(per_row * rows / TASK_CELLS)))
-                if rows * size <= BROADCAST_BYTES:
-                    return _each_alone(list(plans), edges, blocks, joined=True)
-            blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                return _Grower(list(plans), edges, _Spread(blocks)).run()
-            finally:
-                blocks.unpersist()
-        finally:
-            if cells is not None:
-                cells.unpersist()
+        listed = few_values(seen, names, max(groups)) if len(groups) > 1 else None
+        rows = None
+        for bins, group in groups.items():
+            edges = bin_edges(seen, names, bins, listed) if listed is not None else bin_edges(seen, names, bins)
+            rows = frame.count() if rows is None else rows
+            for some in _as_counted([plans[i] for i in group], group, rows * (len(names) * np.dtype(_bin_type(edges)).itemsize + 37)):
+                for i, model in zip(some, _grown(frame, names, edges, [plans[i] for i in some], folds, valid, rows)):
+                    found[i] = model
+        return found
     finally:
         frame.unpersist()
 
 
-def _each_alone(plans: list[Plan], edges: list[np.ndarray], blocks: RDD, joined: bool = False) -> list[Boosted]:
-    """A task per model over the broadcast blocks; ``joined`` makes them one, so that alike rows of a model meet whatever block they are in."""
+def _as_counted(plans: Sequence[Plan], numbers: list[int], size: int) -> list[list[int]]:
+    """The plans that grow over the same blocks: all over small ones, else those that sample rows by themselves."""
+    if size <= BROADCAST_BYTES:
+        return [numbers]
+    drawn = [p.settings.rows_share < 1 for p in plans]
+    return [some for s in (False, True) if (some := [i for i, d in zip(numbers, drawn) if d == s])]
+
+
+def _grown(frame: DataFrame, names: list[str], edges: list[np.ndarray], plans: list[Plan], folds: list[str], valid: str | None, rows: int) -> list[Boosted]:
+    """The models of plans with equal bins: over broadcast blocks or cells if these are small, else over those of all tasks."""
+    kind, per_row = _bin_type(edges), sum(len(p.columns) for p in plans)
+    small = rows * (len(names) * np.dtype(kind).itemsize + 37) <= BROADCAST_BYTES
+    if small or any(p.settings.rows_share < 1 for p in plans):
+        blocks = _blocks(frame, names, edges, "_y", folds, valid, max(1, math.ceil(per_row * rows / TASK_CELLS)))
+        return _each_alone(plans, edges, blocks) if small else _spread(plans, edges, blocks)
+    parts = list(dict.fromkeys(p.without() for p in plans))
+    plans = [replace(p, part=parts.index(p.without())) for p in plans]
+    counted = _counted(frame, names, edges, "_y", folds, valid, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cells = counted.agg(F.sum("n")).first()[0] or 0
+        if cells * (len(names) * np.dtype(kind).itemsize + 8 * (len(parts) + 1)) <= CELLS_FACTOR * BROADCAST_BYTES:
+            return _alone_over_cells(plans, edges, [_read_chunk(r, len(names), kind) for r in counted.collect()], frame)
+        blocks = counted.rdd.flatMap(lambda r: _cut(_cell_block(*_read_chunk(r, len(names), kind))))
+        return _spread(plans, edges, blocks.coalesce(min(blocks.getNumPartitions(), max(1, math.ceil(2 * per_row * cells / TASK_CELLS)))))
+    finally:
+        counted.unpersist()
+
+
+def _spread(plans: list[Plan], edges: list[np.ndarray], blocks: RDD) -> list[Boosted]:
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _Grower(plans, edges, _Spread(blocks)).run()
+    finally:
+        blocks.unpersist()
+
+
+def _each_alone(plans: list[Plan], edges: list[np.ndarray], blocks: RDD) -> list[Boosted]:
+    """A task per model over the broadcast blocks."""
     context = blocks.context
-    found = blocks.collect()  # the caller has measured them
-    shared = context.broadcast([{k: None if k == "score" else np.concatenate([b[k] for b in found]) for k in found[0]}] if joined else found)
+    shared = context.broadcast(blocks.collect())  # the caller has measured them
 
     def fit(plan: Plan) -> Boosted:
         own = Plan(list(range(len(plan.columns))), plan.settings, plan.fold)
@@ -681,6 +810,26 @@ def _each_alone(plans: list[Plan], edges: list[np.ndarray], blocks: RDD, joined:
         shared.unpersist()
 
 
+def _alone_over_cells(plans: list[Plan], edges: list[np.ndarray], chunks: list[tuple[np.ndarray, np.ndarray]], frame: DataFrame) -> list[Boosted]:
+    """A task per model over the broadcast cells, of which it takes the numbers of its own rows."""
+    context = frame.sparkSession.sparkContext
+    shared = context.broadcast(tuple(np.concatenate(v) for v in zip(*chunks)))
+
+    def fit(plan: Plan) -> Boosted:
+        x, counts = shared.value
+        x, counts = x[:, plan.columns], counts[:, [plan.part, -1]]
+        if len(plan.columns) < shared.value[0].shape[1]:
+            cells, counts = _added(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), counts)
+            x = cells.view(x.dtype).reshape(len(cells), -1)
+        own = Plan(list(range(len(plan.columns))), plan.settings)
+        return _Grower([own], [edges[c] for c in plan.columns], _AtHand(_cut(_cell_block(x, counts)))).run()[0]
+
+    try:
+        return context.parallelize(plans, len(plans)).map(fit).collect()
+    finally:
+        shared.unpersist()
+
+
 def _cut(block: dict) -> list[dict]:
     """The block in parts of at most ``BLOCK_ROWS`` rows."""
     rows = len(block["y"])
@@ -688,7 +837,7 @@ def _cut(block: dict) -> list[dict]:
 
 
 def _merged(block: dict, plan: Plan) -> dict:
-    """The block with the columns of one model; rows that are alike in them are one row with their number."""
+    """The block with the columns of one model; rows that are alike in them are one row with its numbers."""
     x = np.ascontiguousarray(block["x"][:, plan.columns])
     if plan.settings.rows_share < 1 or not len(x):
         return {**block, "x": x}
@@ -696,11 +845,8 @@ def _merged(block: dict, plan: Plan) -> dict:
     signs = np.column_stack([block["y"] == 1, block["valid"], trained]).astype(x.dtype)
     whole = np.ascontiguousarray(np.hstack([x, signs]))
     _, first, at = np.unique(whole.view(f"V{whole.dtype.itemsize * whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    fold = np.where(trained[first], -2, plan.fold if plan.fold is not None else -2).astype(np.int32)
-    return {
-        "x": x[first], "y": block["y"][first], "valid": block["valid"][first], "fold": fold, "key": block["key"][first],
-        "n": np.bincount(at, block["n"], len(first)), "score": None,
-    }
+    n = np.bincount(at, block["n"], len(first))
+    return {"x": x[first], "y": block["y"][first], "n": np.column_stack([n * trained[first], n * block["valid"][first]]), "score": None}
 
 
 def column_matrix(batch: tuple[pd.Series, ...] | pd.Series) -> np.ndarray:
@@ -719,3 +865,16 @@ def score_column(model: Boosted, columns: Sequence[Column]) -> Column:
             yield pd.Series(1 / (1 + np.exp(-margin)))
 
     return score(*[c.cast("double") for c in columns])
+
+
+def score_array(models: Sequence[Boosted], places: Sequence[Sequence[int]], columns: Sequence[Column]) -> Column:
+    """Probabilities of class 1 of several models as one vectorised expression; ``places``: each model's columns among all."""
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = column_matrix(batch)
+            margins = [next(m.margins(x[:, list(p)], [len(m.trees)])) for m, p in zip(models, places)]
+            yield pd.Series(list(1 / (1 + np.exp(-np.column_stack(margins)))))
+
+    return score(*[c.cast("double") for c in columns])

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..base import TableEstimator, TableModel
-from .boosting import Boosted, Plan, Settings, grow, score_column
+from ..session import stored
+from .boosting import Boosted, Plan, Settings, grow, score_array, score_column
 from .features import MinMaxModel
-from .split import hold_out, stratified_fold
+from .split import folds_of_folds, hold_out, stratified_fold
 
 # Known parameter names and the Spark parameters they stand for.
 TRANSLATIONS = {
@@ -221,6 +222,10 @@ class ScoreClassifier(TableEstimator):
             self.kind, columns, self.label, self.settings, self.scale, self.validation, self.seed
         )
 
+    def key(self) -> tuple:
+        """Equal for learners that learn the same from the same rows."""
+        return self.kind, tuple(self.columns), self.label, json.dumps(self.settings, sort_keys=True), self.scale, self.validation, self.seed
+
     def class_sizes(self, df: DataFrame) -> dict:
         """Rows per class; rows without a label raise."""
         return row_facts(df, self.label).of(self)[0]
@@ -283,14 +288,21 @@ class ScoreClassifier(TableEstimator):
 
 @dataclass
 class RowFacts:
-    """Per fold and class the number of rows, and the smallest and largest value of columns."""
+    """Per fold and class the number of rows, and the smallest and largest value of columns; with marks also per value of each."""
 
     columns: list[str]
     rows: list
+    marks: list[str]
+
+    def of(self, estimator: ScoreClassifier, without=None, mark: tuple | None = None) -> tuple[dict, dict]:
+        """Class sizes and ranges of the estimator's columns in the rows of other folds (None: in all rows); rows without a label raise.
 
-    def of(self, estimator: ScoreClassifier, without=None) -> tuple[dict, dict]:
-        """Class sizes and ranges of the estimator's columns in the rows of other folds (None: in all rows); rows without a label raise."""
+        ``mark``: a marking column and the value whose rows are left out as well.
+        """
         rows = [r for r in self.rows if without is None or r["_fold"] is not None and r["_fold"] != without]
+        if self.marks:
+            at = self.marks.index(mark[0]) if mark else 0
+            rows = [r for r in rows if r["_at"] == at and (mark is None or r["_mark"] != mark[1])]
         sizes: dict = {}
         for r in rows:
             sizes[r["_label"]] = sizes.get(r["_label"], 0) + r["_n"]
@@ -307,50 +319,106 @@ class RowFacts:
         return sizes, ranges
 
 
-def row_facts(df: DataFrame, label: str, columns: Sequence[str] = (), fold: str | None = None) -> RowFacts:
-    """What the fits on a frame and on its folds need to know of the rows beforehand, from one scan."""
+def row_facts(df: DataFrame, label: str, columns: Sequence[str] = (), fold: str | None = None, marks: Sequence[str] = ()) -> RowFacts:
+    """What the fits on a frame and on its folds need to know of the rows beforehand, from one scan.
+
+    ``marks`` are whole-numbered columns that cut the folds further, each by itself.
+    """
     values = [(i, F.col(f"`{c}`").cast("double")) for i, c in enumerate(columns)]
-    ends = [e for i, v in values for e in (F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))]
     by = [F.col(f"`{label}`").alias("_label"), (F.col(fold) if fold else F.lit(0)).alias("_fold")]
-    return RowFacts(list(columns), df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).collect())
+    if marks:
+        df = df.select(*[v.alias(f"v{i}") for i, v in values], *by, F.posexplode(F.array(*[F.col(m) for m in marks])).alias("_at", "_mark"))
+        by, values = [F.col(c) for c in ("_label", "_fold", "_at", "_mark")], [(i, F.col(f"v{i}")) for i, _ in values]
+    ends = [e for i, v in values for e in (F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))]
+    return RowFacts(list(columns), df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).collect(), list(marks))
 
 
-def fit_together(df: DataFrame, jobs: Sequence[tuple[ScoreClassifier, object]], fold: str | None = None, parallelism: int = 4) -> list[ScoreModel]:
+def fit_together(df: DataFrame, jobs: Sequence[tuple[TableEstimator, object]], fold: str | None = None, parallelism: int = 4) -> list[TableModel]:
     """Fit several learners on one frame, each without the rows of its own fold (None: on all rows).
 
-    Boosted learners with the same label, validation rows and number of bins grow side by side; the result equals separate
-    fits.  The others are fitted from a few threads, after one scan for the class sizes and ranges of all folds.
+    Boosted learners with the same label and validation rows grow side by side.  The others are fitted from a few threads, after one
+    scan for the class sizes and ranges of all folds.  The base learners of ensembles that leave out a fold are fitted with the single
+    ones, over the same frame, and those that learn from the same rows with the same settings only once.  Bin edges and the class sizes that
+    weigh boosted learners are those of the whole frame.
     """
+    nested = [e for e, k in jobs if isinstance(e, (Stacking, Blending)) and k is not None]
+    if not nested:
+        return _fit_parts(df, [(e, k, None) for e, k in jobs], fold, parallelism)
+    marked, marks = _marked(df, jobs, fold)
+    with stored(marked) as frame:  # tasks of the many fits then carry a short plan
+        parts: dict[tuple, tuple] = {}
+        wanted = []
+        for i, (e, k) in enumerate(jobs):
+            own = e.base_parts(k, marks.get((i, k))) if e in nested and k is not None else [(e, k, None)]
+            keys = [(part[0].key() if isinstance(part[0], ScoreClassifier) else id(part[0]), *part[1:]) for part in own]
+            parts.update({key: part for key, part in zip(keys, own) if key not in parts})
+            wanted.append(keys)
+        fitted = dict(zip(parts, _fit_parts(frame, list(parts.values()), fold, parallelism, sorted({m for m in marks.values() if m}))))
+
+        def finish(i: int):
+            (e, k), models = jobs[i], [fitted[key] for key in wanted[i]]
+            if e not in nested or k is None:
+                return models[0]
+            return e.blend(frame.filter(F.col(fold) != k), models, marks.get((i, k)))
+
+        return run_parallel([(lambda i=i: finish(i)) for i in range(len(jobs))], parallelism)
+
+
+def _marked(df: DataFrame, jobs: Sequence[tuple], fold: str) -> tuple[DataFrame, dict]:
+    """The frame with the columns that ensembles cut their rows by, and which of them the ensemble at a place among the jobs uses."""
+    found: dict[tuple, str] = {}
+    marks: dict[tuple, str | None] = {}
+    stacked: dict[tuple, dict] = {}
+    for i, (e, k) in enumerate(jobs):
+        if isinstance(e, Stacking) and k is not None:
+            outs = stacked.setdefault((e.id_col, e.label, e.folds, e.seed), {})
+            marks[i, k] = outs.setdefault(k, f"_inner{len(stacked)}_{k}")
+        elif isinstance(e, Blending) and k is not None:
+            marks[i, k] = None if e.in_sample else found.setdefault((e.id_col, e.dev_size, e.seed), f"_dev{len(found)}")
+    for (id_col, label, folds, seed), outs in stacked.items():
+        df = folds_of_folds(df, id_col, label, fold, outs, folds, seed)
+    for (id_col, share, seed), out in found.items():
+        df = hold_out(df, id_col, share, seed, out).withColumn(out, F.col(out).cast("int"))
+    return df, marks
+
+
+def _fit_parts(df: DataFrame, jobs: Sequence[tuple], fold: str | None, parallelism: int, marks: Sequence[str] = ()) -> list[TableModel]:
+    """Fit learners, each without the rows of a fold and without those that have a value of a marking column (None: with them)."""
     models: list = [None] * len(jobs)
     together: dict[tuple, list[int]] = {}
     alone = []
-    for i, (estimator, _) in enumerate(jobs):
+    for i, (estimator, _, _) in enumerate(jobs):
         if isinstance(estimator, ScoreClassifier) and estimator.kind in BOOSTED:
-            bins = estimator.spark_params.get("bins", DEFAULTS[estimator.kind].bins)
-            together.setdefault((estimator.label, estimator.validation, bins), []).append(i)
+            together.setdefault((estimator.label, estimator.validation), []).append(i)
         else:
             alone.append(i)
-    for (label, validation, _), found in together.items():
+    for (label, validation), found in together.items():
         columns = list(dict.fromkeys(c for i in found for c in jobs[i][0].columns))
         place = {c: n for n, c in enumerate(columns)}
         sizes = jobs[found[0]][0].class_sizes(df)
-        plans = [Plan([place[c] for c in jobs[i][0].columns], jobs[i][0].grower(sizes), jobs[i][1]) for i in found]
-        for i, model in zip(found, grow(df, columns, label, plans, fold, validation)):
+        plans = []
+        for i in found:
+            estimator, k, mark = jobs[i]
+            left_out = (k, *[mark[1] if mark and mark[0] == m else None for m in marks])
+            plans.append(Plan([place[c] for c in estimator.columns], estimator.grower(sizes), left_out if fold else None))
+        for i, model in zip(found, grow(df, columns, label, plans, [fold, *marks] if fold else None, validation)):
             estimator = jobs[i][0]
             models[i] = BoostedModel({"kind": estimator.kind, "columns": estimator.columns, "label": label, "ranges": None}, model)
     single = [i for i in alone if isinstance(jobs[i][0], ScoreClassifier)]
     facts = {}
     for label in dict.fromkeys(jobs[i][0].label for i in single):
         columns = dict.fromkeys(c for i in single if jobs[i][0].label == label for c in jobs[i][0].columns)
-        facts[label] = row_facts(df, label, list(columns), fold)
+        facts[label] = row_facts(df, label, list(columns), fold, marks)
 
-    def fit(estimator, k):
+    def fit(estimator, k, mark):
         rows = df if k is None else df.filter(F.col(fold) != k)
-        if isinstance(estimator, ScoreClassifier):
-            return estimator.fit_known(rows, *facts[estimator.label].of(estimator, k))
-        return estimator.fit(rows)
+        rows = rows if mark is None else rows.filter(F.col(mark[0]) != mark[1])
+        if not isinstance(estimator, ScoreClassifier):
+            return estimator.fit(rows)
+        sizes, ranges = facts[estimator.label].of(estimator, k, mark)
+        return estimator.fit_known(rows, sizes, ranges)
 
-    rest = [(lambda e=e, k=k: fit(e, k)) for e, k in (jobs[i] for i in alone)]
+    rest = [(lambda job=jobs[i]: fit(*job)) for i in alone]
     for i, model in zip(alone, run_parallel(rest, parallelism)):
         models[i] = model
     return models
@@ -394,7 +462,7 @@ def run_parallel(tasks: Sequence[Callable], parallelism: int) -> list:
         return [task() for task in tasks]
     with ThreadPool(min(parallelism, len(tasks))) as pool:
         session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-        return pool.map(lambda task: inheritable_thread_target(session)(task)(), tasks)
+        return pool.map(lambda task: inheritable_thread_target(session)(task)(), tasks, chunksize=1)
 
 
 class EnsembleModel(TableModel):
@@ -426,13 +494,45 @@ class EnsembleModel(TableModel):
         return cls(info, parts[:-1], parts[-1])
 
 
-def base_scores(df: DataFrame, models: Sequence[ScoreModel]) -> DataFrame:
-    """Add ``score_0, score_1, ...`` of several models in one pass."""
+def base_scores(df: DataFrame, models: Sequence[ScoreModel], names: Sequence[str] | None = None) -> DataFrame:
+    """Add ``score_0, score_1, ...`` (or ``names``) of several models in one pass, those of all boosted ones in one go."""
+    names = names or [f"score_{i}" for i in range(len(models))]
+    boosted = [i for i, model in enumerate(models) if isinstance(model, BoostedModel)]
+    if len(boosted) > 1:
+        columns = list(dict.fromkeys(c for i in boosted for c in models[i].info["columns"]))
+        places = [[columns.index(c) for c in models[i].info["columns"]] for i in boosted]
+        df = df.withColumn("_boosted", score_array([models[i].model for i in boosted], places, [F.col(f"`{c}`") for c in columns]))
+        df = df.withColumns({names[i]: F.col("_boosted")[n] for n, i in enumerate(boosted)}).drop("_boosted")
     for i, model in enumerate(models):
-        df = model.add_score(df, f"score_{i}")
+        if len(boosted) < 2 or i not in boosted:
+            df = model.add_score(df, names[i])
     return df
 
 
+def add_scores(df: DataFrame, models: Sequence[TableModel], names: Sequence[str]) -> DataFrame:
+    """Add the scores of several models of any kind; a base learner that several ensembles share scores the rows once."""
+    singles: dict[int, TableModel] = {}
+    for model in models:
+        singles.update({id(m): m for m in (model.base if isinstance(model, EnsembleModel) else [model])})
+    place = {key: f"_single{i}" for i, key in enumerate(singles)}
+    kept = df.columns
+    df = base_scores(df, list(singles.values()), list(place.values()))
+    for model, name in zip(models, names):
+        if isinstance(model, EnsembleModel):
+            have = df.columns
+            hidden = {f"score_{i}": F.col(place[id(m)]) for i, m in enumerate(model.base)}
+            kept_aside = {f"_own_{c}": F.col(f"`{c}`") for c in hidden if c in have}
+            df = model.meta.add_score(df.withColumns(kept_aside).withColumns(hidden), name)
+            df = df.withColumns({c: F.col(f"_own_{c}") for c in hidden if c in have}).drop(*kept_aside, *[c for c in hidden if c not in have])
+        else:
+            df = df.withColumn(name, F.col(place[id(model)]))
+    return df.select(*[F.col(f"`{c}`") for c in kept if c not in names], *names)
+
+
+def _fit_meta(meta: ScoreClassifier, scored: DataFrame) -> ScoreModel:
+    return meta.fit(scored)
+
+
 def _meta(size: int, label: str, features: Sequence[str], params: dict | None) -> ScoreClassifier:
     columns = [*features, *[f"score_{i}" for i in range(size)]]
     return ScoreClassifier(
@@ -466,15 +566,21 @@ class Stacking(TableEstimator):
         folded = stratified_fold(df, self.id_col, self.label, self.folds, self.seed, "_fold").persist()
         jobs = [(b, k) for k in [*range(self.folds), None] for b in self.base]
         try:
-            models = fit_together(folded, jobs, "_fold", self.parallelism)
-            size = len(self.base)
-            out = None
-            for k in range(self.folds):
-                part = base_scores(folded.filter(F.col("_fold") == k), models[k * size : (k + 1) * size])
-                out = part if out is None else out.unionByName(part)
-            meta = _meta(size, self.label, [], self.meta_params).fit(out)
+            return self.blend(folded, fit_together(folded, jobs, "_fold", self.parallelism), "_fold")
         finally:
             folded.unpersist()
+
+    def base_parts(self, k, mark: str) -> list[tuple]:
+        """Base learners without fold ``k``: those without a fold of the other rows too, then those of all the others."""
+        return [(b, k, None if i is None else (mark, i)) for i in [*range(self.folds), None] for b in self.base]
+
+    def blend(self, rows: DataFrame, models: Sequence[ScoreModel], mark: str) -> EnsembleModel:
+        """The ensemble of fitted base learners, in the order of :meth:`base_parts`; ``mark`` is the column of folds."""
+        size, out = len(self.base), None
+        for k in range(self.folds):
+            part = base_scores(rows.filter(F.col(mark) == k), models[k * size : (k + 1) * size])
+            out = part if out is None else out.unionByName(part)
+        meta = _fit_meta(_meta(size, self.label, [], self.meta_params), out)
         return EnsembleModel({"size": size}, models[self.folds * size :], meta)
 
 
@@ -507,10 +613,20 @@ class Blending(TableEstimator):
         else:
             marked = hold_out(df, self.id_col, self.dev_size, self.seed, "_dev")
             train, dev = marked.filter(~F.col("_dev")), marked.filter(F.col("_dev"))
-        models = fit_together(train, [(b, None) for b in self.base], None, self.parallelism)
+        return self._blended(dev, fit_together(train, [(b, None) for b in self.base], None, self.parallelism))
+
+    def base_parts(self, k, mark: str | None) -> list[tuple]:
+        """Base learners without fold ``k`` and, unless they learn in sample, without the marked rows."""
+        return [(b, k, None if mark is None else (mark, 1)) for b in self.base]
+
+    def blend(self, rows: DataFrame, models: Sequence[ScoreModel], mark: str | None) -> EnsembleModel:
+        """The ensemble of fitted base learners; the meta learner learns from the marked rows."""
+        return self._blended(rows if mark is None else rows.filter(F.col(mark) == 1), models)
+
+    def _blended(self, dev: DataFrame, models: Sequence[ScoreModel]) -> EnsembleModel:
         features = self.base[0].columns if self.use_features else []
         meta = _meta(len(models), self.label, features, self.meta_params)
-        return EnsembleModel({"size": len(models)}, models, meta.fit(base_scores(dev, models)))
+        return EnsembleModel({"size": len(models)}, models, _fit_meta(meta, base_scores(dev, models)))
 
 
 def importance_table(spark: SparkSession, columns: Sequence[str], importances: Sequence[float]) -> DataFrame:

@@ -75,6 +75,31 @@ def shuffled_row_number(
     )
 
 
+def running_row_numbers(df: DataFrame, id_col: str, seed: int | str, by: Sequence[str], kept: Mapping[str, Column]) -> DataFrame:
+    """For every name of ``kept`` the :func:`shuffled_row_number` among the rows that its condition keeps, 0 for the others."""
+    slices = min(MAX_BUCKETS, 4 * shuffle_width(df.sparkSession))
+    tagged = df.withColumn("_h", row_hash(id_col, seed)).withColumn(
+        "_slice",
+        F.floor(hash_prefix(id_col, seed) * F.lit(slices) / F.lit(float(2**32))).cast("int"),
+    )
+    tagged = tagged.withColumns({name: condition.cast("int") for name, condition in kept.items()})
+    keys = [*by, "_slice"]
+    counts = tagged.groupBy(*keys).agg(*[F.sum(name).alias(f"_n{i}") for i, name in enumerate(kept)])
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)],
+        *[F.coalesce(F.sum(f"_n{i}").over(before), F.lit(0)).alias(f"_before{i}") for i in range(len(kept))],
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    inside = Window.partitionBy(*keys).orderBy("_h", id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbers = {name: F.when(F.col(name) == 1, F.sum(name).over(inside) + F.col(f"_before{i}")).otherwise(0) for i, name in enumerate(kept)}
+    return (
+        tagged.join(F.broadcast(offsets), on, "inner")
+        .withColumns(numbers)
+        .drop("_h", "_slice", *[f"_before{i}" for i in range(len(kept))], *[f"_g{i}" for i in range(len(keys))])
+    )
+
+
 @dataclass
 class ColumnStats:
     """Row count, and per column the non-null count, range and near-equal split points."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import hash_prefix, row_hash, shuffled_row_number
+from .ordering import hash_prefix, row_hash, running_row_numbers, shuffled_row_number
 
 
 def hash_fold(df: DataFrame, id_col: str, folds: int = 5, seed: int = 10000, out: str = "fold") -> DataFrame:
@@ -27,6 +29,19 @@ def stratified_fold(
     return numbered.withColumn(out, F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int")).drop("_rn")
 
 
+def folds_of_folds(
+    df: DataFrame, id_col: str, label: str, fold: str, outs: Mapping[int, str], folds: int = 5, seed: int = 913100
+) -> DataFrame:
+    """For every outer fold of ``outs`` a column with the :func:`stratified_fold` of the rows outside it, -1 for the others.
+
+    All of them come from one shuffle.
+    """
+    numbers = {out: F.coalesce(F.col(fold) != k, F.lit(False)) for k, out in outs.items()}
+    numbered = running_row_numbers(df, id_col, seed, [label], numbers)
+    inner = {out: F.when(F.col(out) > 0, F.pmod(F.col(out) - 1, F.lit(folds))).otherwise(-1).cast("int") for out in numbers}
+    return numbered.withColumns(inner)
+
+
 def sample_rows(df: DataFrame, id_col: str, rows: int, seed: int = 0) -> DataFrame:
     """Exactly ``rows`` rows (or all, if fewer) with the smallest md5, then id.
 

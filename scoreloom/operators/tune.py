@@ -18,7 +18,7 @@ from ..session import cached, store
 from .boosting import Boosted, column_matrix, distinct_rows
 from .encode import FrequencyEncoder, LabelEncoder, MeanEncoder, OneHotEncoder
 from .metrics import auc_gini
-from .models import TRANSLATIONS, BoostedModel, ScoreClassifier, fit_together
+from .models import TRANSLATIONS, BoostedModel, ScoreClassifier, add_scores, fit_together
 
 #: Low bits of a score's float that its cell leaves out, and the counters a task keeps.
 CELL_BITS, CELL_ROWS = 11, 500_000
@@ -66,8 +66,7 @@ def fold_aucs(df: DataFrame, estimators: Sequence[TableEstimator], label: str =
     scores = None
     for i, k in enumerate(folds):
         part, names = df.filter(F.col(fold) == k), [f"_by_{e}" for e in range(len(estimators))]
-        for name, model in zip(names, models[i :: len(folds)]):
-            part = model.add_score(part, name)
+        part = add_scores(part, models[i :: len(folds)], names)
         pairs = F.posexplode(F.array(*names)).alias("estimator", "score")
         part = part.select(F.lit(k).alias("fold"), F.col(label).alias("label"), pairs)
         scores = part if scores is None else scores.unionByName(part)
