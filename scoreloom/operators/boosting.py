@@ -32,7 +32,7 @@ BLOCK_ROWS = 16_384
 TASK_CELLS = 400_000
 PASS_CELLS = 4_000_000
 BROADCAST_BYTES = 16 << 20
-#: Counted cells may be so many times larger than blocks to be broadcast: a task reads the numbers of its own model only.
+#: Counted cells with the numbers of all models may be so many times larger, since a task goes over those of its own model only.
 CELLS_FACTOR = 4
 #: Rows counted at once, bytes of counts that a task keeps, and histogram cells whose cuts are tried at once.
 COUNT_ROWS, COUNT_BYTES, CHOICE_CELLS = 1 << 17, 64 << 20, 400_000
@@ -769,7 +769,8 @@ def _as_counted(plans: Sequence[Plan], numbers: list[int], size: int) -> list[li
 def _grown(frame: DataFrame, names: list[str], edges: list[np.ndarray], plans: list[Plan], folds: list[str], valid: str | None, rows: int) -> list[Boosted]:
     """The models of plans with equal bins: over broadcast blocks or cells if these are small, else over those of all tasks."""
     kind, per_row = _bin_type(edges), sum(len(p.columns) for p in plans)
-    small = rows * (len(names) * np.dtype(kind).itemsize + 37) <= BROADCAST_BYTES
+    wide = len(names) * np.dtype(kind).itemsize
+    small = rows * (wide + 37) <= BROADCAST_BYTES
     if small or any(p.settings.rows_share < 1 for p in plans):
         blocks = _blocks(frame, names, edges, "_y", folds, valid, max(1, math.ceil(per_row * rows / TASK_CELLS)))
         return _each_alone(plans, edges, blocks) if small else _spread(plans, edges, blocks)
@@ -778,7 +779,8 @@ def _grown(frame: DataFrame, names: list[str], edges: list[np.ndarray], plans: l
     counted = _counted(frame, names, edges, "_y", folds, valid, parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cells = counted.agg(F.sum("n")).first()[0] or 0
-        if cells * (len(names) * np.dtype(kind).itemsize + 8 * (len(parts) + 1)) <= CELLS_FACTOR * BROADCAST_BYTES:
+        # A model's own rows are two a cell at most.
+        if 2 * cells * (wide + 37) <= BROADCAST_BYTES and cells * (wide + 8 * (len(parts) + 1)) <= CELLS_FACTOR * BROADCAST_BYTES:
             return _alone_over_cells(plans, edges, [_read_chunk(r, len(names), kind) for r in counted.collect()], frame)
         blocks = counted.rdd.flatMap(lambda r: _cut(_cell_block(*_read_chunk(r, len(names), kind))))
         return _spread(plans, edges, blocks.coalesce(min(blocks.getNumPartitions(), max(1, math.ceil(2 * per_row * cells / TASK_CELLS)))))

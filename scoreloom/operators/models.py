@@ -530,7 +530,9 @@ def add_scores(df: DataFrame, models: Sequence[TableModel], names: Sequence[str]
 
 
 def _fit_meta(meta: ScoreClassifier, scored: DataFrame) -> ScoreModel:
-    return meta.fit(scored)
+    """The meta learner's fit; the base learners score each row once, and its tasks do not carry their models."""
+    with stored(scored.select(*[F.col(f"`{c}`") for c in (meta.label, *meta.columns)])) as rows:
+        return meta.fit(rows)
 
 
 def _meta(size: int, label: str, features: Sequence[str], params: dict | None) -> ScoreClassifier:

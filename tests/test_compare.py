@@ -81,6 +81,15 @@ def test_scores_keep_columns_of_the_same_name(data):
     assert np.allclose(got["s"], model.transform(data).orderBy("id").toPandas()["score"])
 
 
+def test_meta_learner_reads_scores_that_are_stored(data, monkeypatch):
+    plans, fit = [], models.ScoreClassifier._fit
+    monkeypatch.setattr(models.ScoreClassifier, "_fit", lambda self, df: plans.append(df._jdf.queryExecution().toString()) or fit(self, df))
+    base = [models.ScoreClassifier("lightgbm", COLUMNS, params={"n_estimators": n, "max_depth": 2}) for n in (1, 2)]
+    for ensemble in (models.Stacking(base, folds=2), models.Blending(base)):
+        assert metrics.auc_gini(ensemble.fit(data).transform(data)).first()["auc"] > 0.6
+    assert len(plans) == 2 and not [p for p in plans if "EvalPython" in p]
+
+
 def test_rows_of_many_folds_share_their_cells(data, monkeypatch):
     """Cells do not multiply by folds, nested folds and labels; passes over the tasks' blocks are not needed."""
     marked = data.withColumn("inner", (F.col("id") % 7).cast("int")).withColumn("late", F.col("id") % 11 == 0).repartition(4).persist()
