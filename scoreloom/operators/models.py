@@ -8,6 +8,7 @@ being ignored.  Every model adds ``score`` (probability of class 1) and ``predic
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
@@ -91,6 +92,8 @@ TRANSLATIONS = {
     },
     "neural_network": {"epochs": "maxIter", "tol": "tol"},
 }
+#: Rows a task of a fit takes where the fits of many ensembles run side by side.
+FIT_ROWS = 200_000
 BOOSTED = {"lightgbm", "xgboost", "catboost", "ngboost"}
 # Parameters that act on the training frame instead of the Spark estimator.
 FRAME_PARAMETERS = {"class_weight", "scale_pos_weight", "C", "hidden", "random_state"}
@@ -416,6 +419,8 @@ def _fit_parts(df: DataFrame, jobs: Sequence[tuple], fold: str | None, paralleli
         if not isinstance(estimator, ScoreClassifier):
             return estimator.fit(rows)
         sizes, ranges = facts[estimator.label].of(estimator, k, mark)
+        if marks:  # many fits at once: their passes are cheap, starting tasks is not
+            rows = rows.coalesce(max(1, math.ceil(sum(sizes.values()) / FIT_ROWS)))
         return estimator.fit_known(rows, sizes, ranges)
 
     rest = [(lambda job=jobs[i]: fit(*job)) for i in alone]
